@@ -70,7 +70,7 @@ def balanced_folds(manifest: DataFrame, num_folds: int = 3, seed: int = 20260810
             folds.append(fold)
         return pdf.assign(shadow_fold=folds)[["city", "split_group_id", "shadow_fold"]]
 
-    chosen = groups.groupBy(F.lit(0)).applyInPandas(assign, "city string, split_group_id string, shadow_fold int")
+    chosen = groups.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(assign, "city string, split_group_id string, shadow_fold int")
     return _with_folds(train, chosen)
 
 
@@ -86,7 +86,8 @@ def dealt_folds(manifest: DataFrame, num_folds: int = 3, seed: int = 20260810) -
     classes = groups.groupBy("city", "rows").agg(F.count("*").alias("n"))
     before = running_totals(classes, ["city"], "rows", ["n"], descending=True)
     offset = before.select("city", "rows", (F.col("n_total") - F.col("n")).alias("_before"))
-    shard = F.pmod(F.xxhash64("split_group_id"), F.lit(64))
+    # Leading digits of the priority: shards follow its order.
+    shard = F.substring(F.sha2(F.concat(F.lit(f"{int(seed)}:"), "split_group_id"), 256), 1, 2)
     sharded = groups.withColumn("_shard", shard)
     sizes = sharded.groupBy("city", "rows", "_shard").agg(F.count("*").alias("_k"))
     earlier = W.partitionBy("city", "rows").orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
