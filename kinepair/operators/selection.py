@@ -126,8 +126,9 @@ def sample_scenarios(df: DataFrame, rate: float, seed: int) -> DataFrame:
 
 
 def fixed_fields(df: DataFrame, seed: int, risk: cfg.RiskConfig = cfg.RiskConfig(), strict: bool = False) -> DataFrame:
-    """Adds the constant fields of a selection manifest."""
-    return df.withColumns({
+    """Adds the constant fields of a selection manifest, and src and dst from the node ids."""
+    ids = {s: F.col(f"{s}_node_id") for s in ("src", "dst") if f"{s}_node_id" in df.columns}
+    return df.withColumns({**ids,
         "split": F.lit("train"), "displacement_m": F.lit(0.2), "perturb_window": F.lit(10),
         "ramp_style": F.lit("minimum_jerk"), "velocity_mode": F.lit("residual"), "poison_label": F.lit(1),
         "seed": F.lit(int(seed)), "label_mode": F.lit(risk.label_mode), "label_config_hash": F.lit(risk.sha256()),

@@ -1 +1,136 @@
-"""Registered later."""
+"""Queries over manifests, digests and run records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinepair.operators import manifest, metrics
+from kinepair.plans import fixtures
+from kinepair.plans.catalogue import query
+from kinepair.plans.oracle_views import VIEWS
+from kinepair.sources import assets, tables
+
+
+@query("s02_one_file_rule", """select scenario_id, count(distinct track_id like '%7') files from frames group by 1 having count(distinct track_id like '%7') <> 1""")
+def s02(spark, d):
+    f = fixtures.frames(spark, d).withColumn("source_file", F.col("track_id").like("%7").cast("string"))
+    return tables.check_one_file(f)
+
+
+VIEWS["raw_manifest"] = """select scenario_id, city, case r % 4 when 0 then 'built' when 1 then 'exists' when 2 then 'skipped' else 'error' end status,
+  case when r % 8 <> 1 then 'g/' || scenario_id end graph_path, case when r % 5 = 0 then 'other' else 'train' end split,
+  case when r % 9 = 0 then 'bad' else sha256(scenario_id) end graph_sha256 from (select distinct scenario_id, city, r from av_frames)"""
+
+
+def raw_manifest(spark, d):
+    r = F.col("r")
+    m = fixtures.av_frames(spark, d).select("scenario_id", "city", "r").distinct()
+    return m.select(
+        "scenario_id", "city", F.element_at(F.array(*[F.lit(s) for s in ("built", "exists", "skipped", "error")]), (r % 4 + 1).cast("int")).alias("status"),
+        F.when(r % 8 != 1, F.concat(F.lit("g/"), "scenario_id")).alias("graph_path"),
+        F.when(r % 5 == 0, "other").otherwise("train").alias("split"),
+        F.when(r % 9 == 0, "bad").otherwise(F.sha2("scenario_id", 256)).alias("graph_sha256"))
+
+
+@query("s06_manifest_filter", "select * from raw_manifest where status in ('built', 'exists') and graph_path is not null and split in ('train', 'val', 'test')")
+def s06(spark, d):
+    return manifest.usable_rows(raw_manifest(spark, d))
+
+
+@query("s06b_manifest_rules", """select 'split' rule, scenario_id key, cast(1 as bigint) n from raw_manifest where status in ('built', 'exists') and graph_path is not null and split = 'other'
+  union all select 'digest', scenario_id, 1 from raw_manifest where status in ('built', 'exists') and graph_path is not null and graph_sha256 = 'bad'""")
+def s06b(spark, d):
+    return manifest.check_manifest(raw_manifest(spark, d)).select("rule", "key", "n")
+
+
+VIEWS["inputs"] = "select scenario_id, 'c1' config_sha256, sha256(scenario_id) source_sha256 from group_meta"
+VIEWS["outputs"] = """select scenario_id, case when city = 'city1' then 'c0' else 'c1' end config_sha256,
+  case when city = 'city2' then 'stale' else sha256(scenario_id) end source_sha256 from group_meta where city <> 'city3'"""
+
+
+def builds(spark, d):
+    """Requested and existing builds: one city stale by configuration, one by source, one missing."""
+    m = fixtures.group_meta(spark, d).select("scenario_id", "city", F.lit("c1").alias("config_sha256"), F.sha2("scenario_id", 256).alias("source_sha256"))
+    old = m.where("city <> 'city3'").withColumns({
+        "config_sha256": F.when(F.col("city") == "city1", "c0").otherwise("c1"),
+        "source_sha256": F.when(F.col("city") == "city2", "stale").otherwise(F.col("source_sha256"))})
+    return m.drop("city"), old.drop("city")
+
+
+@query("s11_incremental_anti", """select i.* from inputs i where not exists (select 1 from outputs o where o.scenario_id = i.scenario_id
+  and o.config_sha256 = i.config_sha256 and o.source_sha256 = i.source_sha256)""")
+def s11(spark, d):
+    return manifest.pending(*builds(spark, d))
+
+
+@query("s11b_incompatible", """select i.scenario_id, o.config_sha256 built_config_sha256, o.source_sha256 built_source_sha256 from inputs i join outputs o using (scenario_id)
+  where o.config_sha256 <> i.config_sha256 or o.source_sha256 <> i.source_sha256""")
+def s11b(spark, d):
+    return manifest.incompatible(*builds(spark, d)).select("scenario_id", "built_config_sha256", "built_source_sha256")
+
+
+VIEWS["digest_text"] = """select case when c_custkey % 10 = 0 then 'broken ' || c_name else sha256(c_name) || '  files/' || cast(c_custkey % 1000 as varchar) end line from customer"""
+
+
+def digest_text(spark, d):
+    c = fixtures.table(spark, d, "customer")
+    return c.select(F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("broken "), "c_name")).otherwise(
+        F.concat(F.sha2("c_name", 256), F.lit("  files/"), (F.col("c_custkey") % 1000).cast("string"))).alias("value"))
+
+
+@query("s13_digest_parse", """select line, case when regexp_matches(line, '^[0-9a-f]{64}  ') then substr(line, 1, 64) end sha256,
+  case when regexp_matches(line, '^[0-9a-f]{64}  ') then substr(line, 67) end path from digest_text""")
+def s13(spark, d):
+    return assets.parse_digest_lines(digest_text(spark, d))
+
+
+@query("s13b_digest_rules", """select 'malformed' rule, line key, count(*) n from digest_text where line like 'broken%' group by 2
+  union all select 'duplicate_path', substr(line, 67), count(*) from digest_text where line not like 'broken%' group by 2 having count(*) > 1""")
+def s13b(spark, d):
+    return assets.check_digest_lines(assets.parse_digest_lines(digest_text(spark, d)))
+
+
+@query("s14_asset_verify", """select path, state, count(*) n from (select coalesce(a.path, b.path) path, case when b.path is null then 'missing' when a.path is null then 'extra'
+  when a.h = b.h then 'ok' else 'changed' end state from (select 'f' || c_custkey path, sha256(c_name) h from customer where c_custkey % 7 <> 0) a
+  full join (select 'f' || c_custkey path, case when c_custkey % 3 = 0 then 'x' else sha256(c_name) end h from customer where c_custkey % 5 <> 0) b on a.path = b.path) group by 1, 2""")
+def s14(spark, d):
+    c = fixtures.table(spark, d, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path"), F.sha2("c_name", 256).alias("sha256"), "c_custkey")
+    actual = c.where("c_custkey % 5 <> 0").withColumn("sha256", F.when(F.col("c_custkey") % 3 == 0, "x").otherwise(F.col("sha256")))
+    return assets.verify_assets(c.where("c_custkey % 7 <> 0"), actual).groupBy("path", "state").agg(F.count("*").alias("n"))
+
+
+@query("s15_digest_lines", "select sha256(c_name) || '  f' || c_custkey \"value\" from customer")
+def s15(spark, d):
+    c = fixtures.table(spark, d, "customer").select(F.sha2("c_name", 256).alias("sha256"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path"))
+    return assets.digest_lines(c)
+
+
+@query("s18_asset_closure", """select distinct path from (select 'm/' || city path from group_meta union all select 'r/' || recording_group_id_v2 from group_meta
+  union all select 'c/' || scenario_id from group_meta union all select 'k/' || city || '.meta' from group_meta)""")
+def s18(spark, d):
+    doc = F.to_json(F.struct(
+        F.concat(F.lit("m/"), "city").alias("source_manifest_path"),
+        F.array(F.struct(
+            F.concat(F.lit("r/"), "recording_group_id_v2").alias("result_path"), F.concat(F.lit("c/"), "scenario_id").alias("checkpoint_path"),
+            F.struct(F.struct(F.concat(F.lit("k/"), F.col("city"), F.lit(".meta")).alias("metadata_path")).alias("source_archive")).alias("strict_crossfit_release"),
+        )).alias("surrogates")))
+    return assets.asset_closure(fixtures.group_meta(spark, d).select(doc.alias("metadata_json")))
+
+
+@query("e18_run_records", """select scenario_id, concat_ws(',', case when length(scenario_id) > 5 then 'epochs' end,
+  case when city = 'city1' then 'objective' end, case when city = 'city2' then 'threshold' end) violations from group_meta""")
+def e18(spark, d):
+    c, none = F.col, F.lit(None).cast("int")
+    one = F.lit(1)
+    stats = F.struct(one.alias("graphs_considered"), one.alias("graph_sha256_verified"), F.lit(0).alias("poisoned_graphs"))
+    rec = fixtures.group_meta(spark, d).select(
+        "scenario_id",
+        F.struct(F.when(F.length("scenario_id") > 5, 49).otherwise(50).alias("epochs"), F.lit("val_loss").alias("checkpoint_metric"),
+                 F.lit(True).alias("require_strict_label"), F.lit(False).alias("evaluate_test"), none.alias("max_train_graphs"), none.alias("max_val_graphs")).alias("config"),
+        F.struct(F.when(c("city") == "city1", "other").otherwise("ordinary_binary_cross_entropy_symmetric_pair_labels").alias("objective"),
+                 F.lit("random").alias("initialization")).alias("training_protocol"),
+        stats.alias("train_stats"), stats.alias("val_stats"), F.struct(one.alias("train"), one.alias("val")).alias("split_graph_counts"),
+        F.struct(F.lit(0.1).alias("train"), F.lit(0.2).alias("val")).alias("losses"),
+        F.struct(F.when(c("city") == "city2", 1.5).otherwise(0.4).alias("threshold")).alias("val_pair_metrics"))
+    out = metrics.run_record_violations(rec, metrics.training_protocol_rules(), "scenario_id")
+    return out.select("scenario_id", F.array_join("violations", ",").alias("violations"))

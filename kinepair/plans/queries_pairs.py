@@ -9,6 +9,7 @@ from kinepair.operators import manifest, pairs, risk
 from kinepair.plans import fixtures, stages
 from kinepair.plans.catalogue import listed, query, r6, shown
 from kinepair.plans.oracle_views import r
+from kinepair.sources.staging import staged, tune
 
 EDGE = ["scenario_id", "src_track_id", "dst_track_id"]
 PAIR = ["scenario_id", "a_track_id", "b_track_id"]
@@ -209,7 +210,8 @@ def risk_by_city(spark, d):
     """Frames to pairs to dynamic risk, per city."""
     from kinepair.operators import tracks
 
-    n = tracks.build_nodes(fixtures.frames(spark, d))
+    # The nodes feed both sides of the join, so they are written once.
+    n = staged(tracks.build_nodes(fixtures.frames(tune(spark), d)), "nodes")
     e = pairs.directed_edges(risk.dynamic_risk(pairs.join_pairs(n)))
     return e.groupBy("city").agg(F.count("*").alias("edges"), F.sum("label_dynamic_risk").alias("positive_edges"),
                                  r6(F.avg("label_dynamic_risk")).alias("positive_rate"))
