@@ -54,3 +54,21 @@ def slice_index(value: Column, edges: Column, count: int) -> Column:
     if count == 0:
         return F.lit(0)
     return F.size(F.filter(edges, lambda b: b <= value))
+
+
+def running_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, prefix: int = 3) -> DataFrame:
+    """Adds `out`: sum of `value` over the rows of the group with a smaller text `order`.
+
+    Text is cut into shards by its first characters, which keeps the order;
+    totals of the earlier shards are added to a running total within a shard,
+    so a large group is ranked by many tasks. `order` is unique per group.
+    """
+    sharded = df.withColumns({"_shard": F.substring(order, 1, prefix), "_v": value})
+    sums = sharded.groupBy(*keys, "_shard").agg(F.sum("_v").alias("_sum"))
+    # One row per group and prefix.
+    earlier = W.partitionBy(*keys).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_shard", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = W.partitionBy(*keys, "_shard").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    local = F.coalesce(F.sum("_v").over(within), F.lit(0))
+    return sharded.withColumn("_local", local).join(offsets, [*keys, "_shard"]).withColumn(
+        out, F.col("_before") + F.col("_local")).drop("_shard", "_v", "_local", "_before")

@@ -63,39 +63,45 @@ def lane_neighbors(lanes: DataFrame) -> DataFrame:
         "scenario_id", "src", "_n.dst", "_n.kind").distinct()
 
 
-def nearest_lane(nodes: DataFrame, points: DataFrame, cell: float = 50.0, search: float = 50.0) -> DataFrame:
+def nearest_lane(nodes: DataFrame, points: DataFrame, reaches: tuple[float, ...] = (50.0, 400.0)) -> DataFrame:
     """Adds the nearest lane point of the same scenario: id, distance, heading, intersection flag.
 
-    Ties go to the first lane and point. First the points within `search`
-    metres are tried through grid cells; nodes without any are matched against
-    the whole map of their scenario, so the result is exact. A scenario
-    without lanes gives NULL lane id and distance, heading 0 and no
-    intersection.
+    Ties go to the first lane and point. The search widens: points within 50
+    metres through grid cells of that size, then 400 metres for the nodes
+    still without one, then the whole map of the scenario for what is left, so
+    the result is exact. Only ids and coordinates take part; the result is
+    joined back. A scenario without lanes gives NULL lane id and distance,
+    heading 0 and no intersection.
     """
-
-    def index(c: Column) -> Column:
-        return F.floor(c / F.lit(float(cell))).cast("bigint")
-
-    probe = nodes.select("scenario_id", "track_id", "cur_x", "cur_y")
-    reach = F.lit(float(search))
-    near = probe
-    for axis, c in (("_cx", F.col("cur_x")), ("_cy", F.col("cur_y"))):
-        near = near.withColumn(axis, F.explode(F.sequence(index(c - reach), index(c + reach))))
-    gridded = points.withColumns({"_cx": index(F.col("x")), "_cy": index(F.col("y"))})
+    key = ["scenario_id", "track_id"]
 
     def best(joined: DataFrame) -> DataFrame:
         dx, dy = F.col("x") - F.col("cur_x"), F.col("y") - F.col("cur_y")
         hit = F.struct(F.sqrt(dx * dx + dy * dy).alias("lane_distance"), F.col("lane_id"), F.col("pt"),
                        F.col("heading").alias("lane_heading"), F.col("is_intersection").alias("lane_is_intersection"))
-        return joined.groupBy("scenario_id", "track_id").agg(F.min(hit).alias("_hit"))
-
-    close = best(near.join(gridded, ["scenario_id", "_cx", "_cy"])).where(F.col("_hit.lane_distance") <= reach)
-    rest = probe.join(close, ["scenario_id", "track_id"], "left_anti")
-    far = best(rest.join(points, "scenario_id"))
-    found = close.unionByName(far).select(
-        "scenario_id", "track_id", "_hit.lane_id", "_hit.lane_distance", "_hit.lane_heading", "_hit.lane_is_intersection")
-    return nodes.join(found, ["scenario_id", "track_id"], "left").fillna(
-        {"lane_heading": 0.0, "lane_is_intersection": False})
+        return joined.groupBy(*key).agg(F.min(hit).alias("_hit"))
+
+    def within(probe: DataFrame, reach: float) -> DataFrame:
+        def index(c: Column) -> Column:
+            return F.floor(c / F.lit(float(reach))).cast("bigint")
+
+        spread = probe
+        for axis, c in (("_cx", F.col("cur_x")), ("_cy", F.col("cur_y"))):
+            spread = spread.withColumn(axis, F.explode(F.sequence(index(c - F.lit(reach)), index(c + F.lit(reach)))))
+        gridded = points.withColumns({"_cx": index(F.col("x")), "_cy": index(F.col("y"))})
+        near = best(spread.join(gridded, ["scenario_id", "_cx", "_cy"]))
+        return near.where(F.col("_hit.lane_distance") <= F.lit(reach))
+
+    rest = nodes.select(*key, "cur_x", "cur_y")
+    found = None
+    for reach in reaches:
+        hits = within(rest, reach)
+        found = hits if found is None else found.unionByName(hits)
+        rest = rest.join(hits, key, "left_anti")
+    last = best(rest.join(points, "scenario_id"))
+    found = last if found is None else found.unionByName(last)
+    found = found.select(*key, "_hit.lane_id", "_hit.lane_distance", "_hit.lane_heading", "_hit.lane_is_intersection")
+    return nodes.join(found, key, "left").fillna({"lane_heading": 0.0, "lane_is_intersection": False})
 
 
 def lane_relations(edges: DataFrame, neighbors: DataFrame, cfg: BuildConfig = BuildConfig()) -> DataFrame:

@@ -13,12 +13,14 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinepair.config import (
     BASE_MODE, DT, EDGE_FEATURES, EPS, FUTURE_LEN, GRID_LEN, OBS_LEN, RESIDUAL_FEATURES, RESIDUAL_MODE, BuildConfig,
     RiskConfig,
 )
+from kinepair.functions.ranks import running_before
 from kinepair.functions.scalar import angle_diff, norm2
 
 RESIDUAL_STATES = 11
@@ -288,26 +290,19 @@ def edge_masks(edges: DataFrame) -> DataFrame:
 
 
 def number_nodes(nodes: DataFrame) -> DataFrame:
-    """Adds dense `node_id` per scenario in track_id order.
-
-    Ranks the ids within one sorted array per scenario, which holds only ids.
-    """
-    order = nodes.groupBy("scenario_id").agg(F.array_sort(F.collect_list("track_id")).alias("_ids"))
-    ids = order.select("scenario_id", F.posexplode("_ids").alias("node_id", "track_id"))
-    return nodes.join(ids, ["scenario_id", "track_id"])
+    """Adds dense `node_id` per scenario in track_id order; only ids are ranked, series are joined back."""
+    ids = running_before(nodes.select("scenario_id", "track_id"), ["scenario_id"], "track_id", F.lit(1), "node_id")
+    return nodes.join(ids.withColumn("node_id", F.col("node_id").cast("int")), ["scenario_id", "track_id"])
 
 
 def number_edges(edges: DataFrame, src: str = "src_track_id", dst: str = "dst_track_id") -> DataFrame:
     """Adds dense `edge_id` per scenario in (src, dst) order.
 
-    Counts edges per source first; the running offset is over sources, the rank
-    within a source, so no window spans a whole scenario's edges.
+    The offset of a source comes from edge counts per source, the rank within
+    a source from a window over its own edges only.
     """
-    from pyspark.sql import Window as W
-
     per_src = edges.groupBy("scenario_id", src).agg(F.count("*").alias("_n"))
-    before = W.partitionBy("scenario_id").orderBy(src).rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_src.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = running_before(per_src, ["scenario_id"], src, F.col("_n"), "_offset").drop("_n")
     rank = F.row_number().over(W.partitionBy("scenario_id", src).orderBy(dst))
     return (edges.withColumn("_rank", rank).join(offsets, ["scenario_id", src])
             .withColumn("edge_id", F.col("_offset") + F.col("_rank") - 1).drop("_rank", "_offset"))

@@ -355,8 +355,7 @@ def c08(spark, d):
     return audit.combine(audit.disjoint(a, b, ["k"]), audit.same_set(a, b, ["k"])).select(*REPORT)
 
 
-@query("c09_constant_within", """select 'constant_within' rule, split_group_id key, count(distinct content_sha1) n from fold_manifest
-  join group_meta using (scenario_id) group by 2 having count(distinct content_sha1) > 1""")
+@query("c09_constant_within", """select 'constant_within' rule, city key, count(distinct content_sha1) n from group_meta
+  group by 2 having count(distinct content_sha1) > 1""")
 def c09(spark, d):
-    m = fixtures.group_meta(spark, d).withColumnRenamed("recording_group_id_v2", "split_group_id")
-    return audit.constant_within(m, ["split_group_id"], "content_sha1").select(*REPORT)
+    return audit.constant_within(fixtures.group_meta(spark, d), ["city"], "content_sha1").select(*REPORT)
