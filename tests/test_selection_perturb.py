@@ -8,14 +8,20 @@ from helpers import frames, track
 from kinepair import config as cfg
 from kinepair.config import PerturbSpec, RiskConfig, scheduled_window
 from kinepair.operators import audit, pairs, perturb, selection, tracks
+from kinepair.sources.staging import staged
+
+BUILT = {}
 
 
 def world(spark, speed=0.0, gap=()):
     keep = [t for t in range(110) if t not in gap]
     f = frames(spark, track("a", lambda t: speed * 0.1 * t, vx=speed, steps=keep), track("b", lambda t: 20 + speed * 0.1 * t, vx=speed))
-    nodes = pairs.number_nodes(tracks.build_nodes(f)).cache()
-    edges = pairs.number_edges(pairs.build_edges(nodes, risk=RiskConfig())).cache()
-    return nodes, selection.with_windows(edges, selection.node_windows(nodes))
+    key = (speed, gap)
+    if key not in BUILT:
+        nodes = staged(pairs.number_nodes(tracks.build_nodes(f)), "nodes")
+        edges = pairs.number_edges(pairs.build_edges(nodes, risk=RiskConfig()))
+        BUILT[key] = nodes, staged(selection.with_windows(edges, selection.node_windows(nodes)), "edges")
+    return BUILT[key]
 
 
 def target(spark, window=10):
@@ -73,7 +79,7 @@ def test_ramp_and_window_rules():
 
 def test_moving_pair_with_four_steps(spark):
     nodes, _ = world(spark, speed=6.0)
-    moved = perturb.move_nodes(nodes, perturb.target_moves(target(spark, 4), nodes))
+    moved = staged(perturb.move_nodes(nodes, perturb.target_moves(target(spark, 4), nodes)), "moved")
     rows = perturb.endpoint_audit(moved).collect()
     assert len(rows) == 2
     for r in rows:
@@ -103,7 +109,7 @@ def test_both_directions_are_relabelled_and_marked(spark):
 
 def test_allocation_scores_and_choice(spark):
     nodes, edges = world(spark)
-    moved = perturb.move_nodes(nodes, perturb.target_moves(target(spark), nodes, list(cfg.ALPHA_GRID)))
+    moved = staged(perturb.move_nodes(nodes, perturb.target_moves(target(spark), nodes, list(cfg.ALPHA_GRID))), "moved")
     ids = edges.where("src_track_id < dst_track_id").select("scenario_id", F.col("src_track_id").alias("a_track_id"), F.col("dst_track_id").alias("b_track_id"))
     s = perturb.allocation_scores(target(spark), moved, nodes, edges, ids).cache()
     best = perturb.choose_allocation(s).first()
