@@ -11,6 +11,7 @@ from kinepair.config import RiskConfig
 from kinepair.operators import lanes, metrics, pairs, tracks
 from kinepair.sources import assets, tables
 from kinepair.sources.staging import shared_dir, staged
+from kinepair.streaming.arrivals import build_new
 
 
 def test_collateral_rates_at_two_thresholds(spark):
@@ -82,7 +83,8 @@ def test_nearest_lane_and_blocked_relation(spark):
     parsed = lanes.parse_lanes(maps)
     f = frames(spark, track("a", lambda t: 5, lambda t: 1), track("b", lambda t: 41, lambda t: -30), track("far", lambda t: 3000),
                track("lost", lambda t: 0, scenario="nomap"), track("lost2", lambda t: 9, scenario="nomap"))
-    nodes = lanes.nearest_lane(tracks.build_nodes(f), lanes.lane_points(parsed))
+    built = staged(tracks.build_nodes(f), "nodes")
+    nodes = staged(lanes.nearest_lane(built, lanes.lane_points(parsed)), "nodes")
     got = {r.track_id: (r.lane_id, r.lane_distance) for r in nodes.collect()}
     assert got["a"] == (1, pytest.approx(1.0)) and got["b"] == (2, pytest.approx(1.0))
     assert got["far"] == (1, pytest.approx(2945.0)) and got["lost"] == (None, None)
@@ -121,6 +123,21 @@ def test_folder_to_edges_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in e._jdf.queryExecution().executedPlan().toString()
 
 
+def test_new_files_are_built_once(spark, tmp_path):
+    def add(name):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        write_scenario(spark, tmp_path / "in", name, track("a", lambda t: t))
+
+    def run():
+        build_new(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), lambda f: f.groupBy("scenario_id").count())
+        return sorted((r.scenario_id, r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    add("s1")
+    assert run() == [("s1", 110)]
+    add("s2")
+    assert run() == [("s1", 110), ("s2", 110)] and run() == [("s1", 110), ("s2", 110)]
+
+
 def test_manifest_publication(spark, tmp_path):
     good = spark.createDataFrame([("a", "built")], "scenario_id string, status string")
     tables.write_manifest(good, good.groupBy().count(), str(tmp_path / "ok"))
