@@ -25,7 +25,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("shouting", "10 * n_shouted > 3 * n_words"),
     ("exclamation", "10 * n_exclaims > n_words"),
     ("short_words", "word_chars < 2 * n_words"),

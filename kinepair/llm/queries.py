@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinepair.llm import exact_dedup, quality_rules, simhash, warc
+from kinepair.llm import exact_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +40,7 @@ m as (select doc_id, len(w)::bigint n_words, length(regexp_replace(t, '[\x20\x09
       len(regexp_extract_all(t, '\p{Lu}{3,}'))::bigint n_shouted, length(regexp_replace(t, '[^!]+', '', 'g'))::bigint n_exclaims
       from w left join r using (doc_id)),
 f as (select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (10 * n_symbols > n_words)::bigint
-      + 8 * (100 * n_dup_lines > 30 * n_lines)::bigint + 16 * (10 * n_shouted > 3 * n_words)::bigint + 32 * (10 * n_exclaims > n_words)::bigint
+      + 8 * (100 * n_dup_lines > 50 * n_lines)::bigint + 16 * (10 * n_shouted > 3 * n_words)::bigint + 32 * (10 * n_exclaims > n_words)::bigint
       + 64 * (word_chars < 2 * n_words)::bigint + 128 * (word_chars > 15 * n_words)::bigint
       + 256 * (100 * n_repeat_words > 30 * n_words)::bigint + 512 * (20 * n_symbols > n_words)::bigint failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 base_failed, failed & 255 = 0 kept, failed from f
@@ -73,6 +73,70 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in secret_scan.BASE], F.sha2(secret_scan.as_text(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+def _level_sql(name: str, path: str, weight: str, parent: str, parent_key: str) -> str:
+    """One allocation of the budget tree: shares by weight, none above its cap, whole tokens."""
+    keys = path.split(", ")
+    over = f"partition by {parent_key}" if parent_key else ""
+    budget = f"(select budget from {parent})" if not parent_key else "p.given"
+    join = f"join {parent} p using ({parent_key})" if parent_key else ""
+    return f"""
+{name}_n as (select {path}, sum(supply) * {mixing.MAX_EPOCHS} cap, {keys[-1]} nm, {weight} w from leaves group by all),
+{name}_b as (select n.*, {budget} budget from {name}_n n {join}),
+{name}_r as (select *, coalesce(sum(cap) over ({over} order by cap / w, cap, nm rows between unbounded preceding and 1 preceding), 0) cb,
+  sum(w) over ({over} order by cap / w, cap, nm rows between current row and unbounded following) wr from {name}_b),
+{name}_f as (select *, (budget - cb) * w >= cap * wr as filled from {name}_r),
+{name}_s as (select *, case when filled then cap else ((budget - sum(case when filled then cap else 0 end) over ({over})) * w)
+  // sum(case when filled then 0 else w end) over ({over}) end share from {name}_f),
+{name}_m as (select *, budget - sum(share) over ({over}) missing,
+  sum((share < cap)::int) over ({over} order by cap / w, cap, nm rows between unbounded preceding and current row) slack from {name}_s),
+{name} as (select {path}, (share + (share < cap and slack <= missing)::int)::bigint given from {name}_m),"""
+
+
+def _case(column: str, names: dict, other) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v!r}" for k, v in names.items()) + f" else {other!r} end"
+
+
+MIX_SQL = f"""
+with r as (select doc_id, {_case("coalesce(source, 'unknown')", mixing.DOMAINS, mixing.OTHER_DOMAIN)} "domain", coalesce(lang, 'unknown') lang, coalesce(source, 'unknown') source,
+  len([x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''])::bigint n_tokens from documents),
+leaves as (select "domain", lang, source, sum(n_tokens)::bigint supply from r group by all),
+top as (select least(sum(supply) * {mixing.SHARE_PERCENT} // 100, sum(supply) * {mixing.MAX_EPOCHS}) budget from leaves),
+{_level_sql("l1", '"domain"', _case('"domain"', mixing.WEIGHTS["domain"], 1), "top", "")}
+{_level_sql("l2", '"domain", lang', _case("lang", mixing.WEIGHTS["lang"], 1), "l1", '"domain"')}
+{_level_sql("l3", '"domain", lang, source', "1", "l2", '"domain", lang')}
+plan as (select * from leaves join l3 using ("domain", lang, source) where given > 0),
+wanted as (select "domain", lang, source, unnest(range(0, (given - 1) // supply + 1)) epoch, supply, given from plan),
+placed as (select doc_id, "domain", lang, source, epoch::int epoch, n_tokens, least(supply, given - epoch * supply) target,
+  md5('{mixing.SEED}:' || epoch || ':' || doc_id) k from r join wanted using ("domain", lang, source)),
+run as (select *, sum(n_tokens) over (partition by "domain", lang, source, epoch order by k range between unbounded preceding and current row)
+  - sum(n_tokens) over (partition by "domain", lang, source, epoch, k) ahead from placed)
+select doc_id, "domain", lang, source, epoch, n_tokens, least(n_tokens, target - ahead)::bigint used_tokens from run where ahead < target
+"""
+
+
+@query(MIX_SQL)
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken by the budget tree, with the epoch and the tokens used."""
+    return mixing.select(table(spark, sf_dir, "documents"))
+
+
 @query("""
 with d as (select doc_id, coalesce(text, '') t from documents), g as (select doc_id, t, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size from d)
 select doc_id, keep_id, group_size::bigint group_size, doc_id = keep_id kept, sha256(t) text_sha256 from g
@@ -80,3 +144,9 @@ select doc_id, keep_id, group_size::bigint group_size, doc_id = keep_id kept, sh
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document."""
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every encoded length: documents and tokens over it, tokens kept by truncating there, and its quantile."""
+    return token_counts.limits(token_counts.histogram(table(spark, sf_dir, "documents")))
