@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+from typing import Any
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys with more than one HOT_SHARE-th of all rows count as hot; there are fewer than HOT_SHARE such keys.
@@ -14,9 +18,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns; further ones, whatever their names, go."""
-    return df.select(*columns)
+class Shipped:
+    """An object sent to the workers once, its class included."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self) -> Any:
+        return pickle.loads(self.data.value)
 
 
 def skew_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinepair.llm import exact_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, warc
+from kinepair.llm import exact_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +47,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+@query()
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 @query(QUALITY_SQL)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule ledger of all documents, judged by the standard policy."""
