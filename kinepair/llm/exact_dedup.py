@@ -217,13 +217,18 @@ def groups_of(docs: DataFrame, folder: str | None = None) -> DataFrame:
     return build_index(docs, folder, owner_bits(docs))
 
 
-def dedup(docs: DataFrame, folder: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the `extra` columns."""
+def dedup(docs: DataFrame, folder: str | None = None, rows: bool = False) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256; with `rows` also `row`, all its columns."""
     groups = groups_of(docs, folder)
     several = groups.where("group_size > 1")
     total = groups.agg(F.sum("group_size")).first()[0] or 0
-    rows = docs.select("doc_id", *extra, F.sha2(whole_text().cast("binary"), 256).alias("sha"))
-    found = skew_lookup(rows, several, "sha", "group_size", total)
+    more = [F.struct(*docs.columns).alias("row")] if rows else []
+    found = skew_lookup(docs.select("doc_id", F.sha2(whole_text().cast("binary"), 256).alias("sha"), *more), several, "sha", "group_size", total)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select("doc_id", *extra, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-                        F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+                        F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"), *(["row"] if rows else []))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    return dedup(docs, rows=True).where("kept").select("row.*")

@@ -193,3 +193,15 @@ def classify(docs: DataFrame, model: dict) -> DataFrame:
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows, with all their columns, whose score reaches KEEP; no shuffle."""
+    ship, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [score(ship.value, t or b"") >= KEEP for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinepair.llm import exact_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, warc
+from kinepair.llm import exact_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,6 +143,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, their number, and whether they decode to its text."""
+    found = sentence_pieces.encode(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 @query("""
 with d as (select doc_id, coalesce(text, '') t from documents), g as (select doc_id, t, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size from d)
 select doc_id, keep_id, group_size::bigint group_size, doc_id = keep_id kept, sha256(t) text_sha256 from g

@@ -104,3 +104,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     labels = rooted.join(least, "root", "left").select("fp", "n", F.coalesce("least", "id").alias("component_id"))
     total = each.agg(F.sum("n")).first()[0] or 0
     return skew_lookup(rows, staged(labels, "labels"), "fp", "n", total).select("doc_id", "fp", "component_id")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of their component."""
+    found = near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
