@@ -130,9 +130,9 @@ def score(p: Params, docs: list[np.ndarray], lanes: int = 512, length: int = 64)
     return total
 
 
-def train(p: Params, docs: list[np.ndarray], cache: Params | None = None, lanes: int = 256, length: int = 24, rate: float = 0.08) -> Params:
+def train(p: Params, docs: list[np.ndarray], cache: Params | None = None, lanes: int = 128, length: int = 24, rate: float = 0.08) -> Params:
     """One pass of truncated backpropagation over the documents, in place, with steps by Adagrad; returns its cache."""
-    cache = cache or {k: np.full_like(v, 1e-3) for k, v in p.items()}
+    cache = cache or {k: np.full_like(v, 1e-8) for k, v in p.items()}
     hidden = p["U"].shape[0]
     for first, block, rows in windows(docs, lanes, length):
         live = len(rows)
@@ -161,7 +161,8 @@ def train(p: Params, docs: list[np.ndarray], cache: Params | None = None, lanes:
         flat, at = moved.reshape(-1, 3 * hidden), inputs.ravel()
         order = np.argsort(at, kind="stable")
         rows_at, starts = np.unique(at[order], return_index=True)
-        scale = np.float32(1 / len(step))
+        # By the full window, so that the last lanes of long documents do not step as far as all together.
+        scale = np.float32(1 / (lanes * length))
         table = np.add.reduceat(flat[order], starts) * scale
         cache["E"][rows_at] += table * table
         p["E"][rows_at] -= rate * table / np.sqrt(cache["E"][rows_at])

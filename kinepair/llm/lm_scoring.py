@@ -96,10 +96,10 @@ class Lexicon:
             if held > HEAD:
                 break
             least = r["step"]
-        head = counts.where(step >= least).select("word", "n").toPandas() if least is not None else None
-        pairs = sorted(zip(head["word"].map(bytes), head["n"].tolist()), key=lambda x: (-x[1], x[0])) if head is not None else []
-        own = [w for w, _ in pairs if w != END][:SYMBOLS - BUCKETS - 1]
-        own = [END, *own]
+        # The end is always among them.
+        head = counts.where((step >= least if least is not None else F.lit(False)) | (F.col("word") == F.lit(END))).select("word", "n").toPandas()
+        pairs = sorted(zip(head["word"].map(bytes), head["n"].tolist()), key=lambda x: (-x[1], x[0]))
+        own = [END, *[w for w, _ in pairs if w != END][:SYMBOLS - BUCKETS - 1]]
         self.rank = {w: i for i, (w, _) in enumerate(pairs)}
         self.n = np.array([n for _, n in pairs] + [0], dtype=np.float64)
         n_of = dict(pairs)
