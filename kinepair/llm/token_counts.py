@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinepair.sources.staging import staged
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Lengths per block of the suffix sums.
 BLOCK = 1024
@@ -46,8 +48,9 @@ def _lengths(path: str):
 
 
 def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(length, n_docs) of all whole texts; counted per batch before the shuffle."""
-    return docs.select("text").mapInArrow(_lengths(vocabulary), "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
+    """(length, n_docs) of all whole texts; counted per batch before the shuffle, and written, so that texts are encoded once."""
+    counted = docs.select("text").mapInArrow(_lengths(vocabulary), "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
+    return staged(counted, "lengths")
 
 
 def suffix_sums(table: DataFrame) -> DataFrame:
