@@ -37,6 +37,8 @@ SYMBOLS, BUCKETS, CLASSES, HIDDEN = 2048, 512, 32, 16
 #: Words whose counts are sent along: at most so many.
 HEAD = 300_000
 ROUNDS, SLICES, TASK_BYTES = 2, 16, 8 << 20
+#: Weights that are averaged in one piece.
+PART = 4096
 END = b"\n"
 
 
@@ -164,7 +166,8 @@ def _train_task(lexicon: Shipped, params: Shipped):
             gru.train(mine, docs)
             seen = float(sum(map(len, docs)))
             for k, v in mine.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([seen]), pa.array([v.tobytes()], pa.binary())], names=["part", "seen", "data"])
+                for at in range(0, v.size, PART):
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{k}:{at}"]), pa.array([seen]), pa.array([v.ravel()[at:at + PART].tobytes()], pa.binary())], names=["part", "seen", "data"])
 
     return run
 
@@ -193,8 +196,10 @@ def learn(docs: DataFrame, lexicon: Shipped, frequency: np.ndarray) -> gru.Param
         tasks = max(1, math.ceil((sizes.get(k) or 0) / TASK_BYTES))
         dealt = rows.where(F.col("slot") == k).repartition(tasks, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text")
         tried = dealt.mapInArrow(_train_task(lexicon, Shipped(docs.sparkSession, params)), "part string, seen double, data binary")
-        for r in tried.repartition(len(params), "part").mapInArrow(_average, "part string, data binary").collect():
-            params[r["part"]] = np.frombuffer(r["data"], dtype=np.float32).reshape(params[r["part"]].shape).copy()
+        for r in tried.repartition(sum(-(-v.size // PART) for v in params.values()), "part").mapInArrow(_average, "part string, data binary").collect():
+            name, at = r["part"].split(":")
+            v = np.frombuffer(r["data"], dtype=np.float32)
+            params[name].reshape(-1)[int(at):int(at) + len(v)] = v
     return params
 
 
