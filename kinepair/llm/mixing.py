@@ -11,10 +11,10 @@ The order is needed only in one place: hash buckets of the order are summed firs
 budget are taken and wholly outside it left, and only the bucket with the end is sorted. A
 leaf with a third of all rows is therefore spread over all its buckets.
 
-All amounts are whole numbers. Defined results: a null text has no tokens and counts with weight 0 (it
-is taken where its place in the order is reached); null lang or source is the leaf name
-'unknown'; a null id is ordered like the id 'none'; repeated rows are taken or left together with their bucket
-and by equal order together; an empty table or a budget of 0 gives an empty result; further columns are kept by `mixed`.
+All amounts are whole numbers. Defined results: a null or wordless text has no tokens (it is taken
+where its place in the order is reached, and never in a leaf without any tokens); null lang or source is the leaf name
+'unknown'; a null id is ordered like the id 'none'; rows with the same id have the same place and are taken
+together, each counting by itself; an empty table or a budget of 0 gives an empty result; further columns are kept by `mixed`.
 """
 
 from __future__ import annotations

@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     # A fixed order of rows makes the model the same however the input is partitioned.
     fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "y").mapInArrow(_fit_rows, "model binary").collect()
-    return pickle.loads(fitted[0][0])
+    return pickle.loads(fitted[0][0]) if fitted else fit([], [])
 
 
 def classify(docs: DataFrame, model: dict) -> DataFrame:
