@@ -1,19 +1,18 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Texts are cut into words before every space and around line ends, where no piece of the model goes across. Each
-distinct word of the corpus is encoded once: its substrings up to the longest piece are exploded and joined to the
+distinct word of the corpus is segmented once: its substrings up to the longest piece are exploded and joined to the
 piece table (bounded by the vocabulary, so it is broadcast), which gives the edges of the word's lattice; the edges are
-grouped by word and folded by `aggregate`.
+grouped by word and folded by `aggregate`. The result is the set of places where the word is cut, as bits of a long.
 
 The fold depends on the model. For unigram models it is Viterbi: best sum of piece scores up to each place. The
 public model here is of the BPE kind, for which the best sum is not what the model defines; its fold goes through the edges in
 order of score and start and joins two neighbours wherever an edge spans just these. Should a join make an edge of better
-score possible after its turn, the word is marked and encoded by merging in a queue,
-as are words over LONGEST characters or with characters outside the model, which become byte pieces. Both give
-what the model's own library gives.
+score possible after its turn, the word is marked and merged in a queue, as are words over LONGEST characters. Both give
+what the model's own library gives. Characters outside the model become byte pieces.
 
-Documents then look up their words. The HEAD most frequent words travel with the job, all others are joined, and only
-those are shuffled beside the packed texts.
+Documents then look up their words. The HEAD most frequent words travel with the job, so that a document
+becomes a list of word numbers; all other words are joined to the dictionary and meet their document by its key.
 
 Defined results: a null or empty text has no pieces; an empty table gives an empty result; repeated rows are encoded each;
 further columns are ignored.
@@ -21,7 +20,9 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,9 +39,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most characters of a word that is folded; places are bits of a long.
 LONGEST = 60
 #: Most frequent words sent along: at most so many.
-HEAD = 300_000
-#: Words per task of the lattice.
-WORDS_PER_TASK = 20_000
+HEAD = 600_000
+#: Bytes of text per task of the lattice.
+TASK_BYTES = 4 << 20
 SPACE, CUT = "▁", "\x1f"
 
 
@@ -131,8 +132,22 @@ class Model:
             out, e = best[e][2] + out, best[e][1]
         return out
 
-    def encode_word(self, word: str) -> list[int]:
-        return self.viterbi(word) if self.kind == "unigram" else self.merge(word)
+    def encode_word(self, word: str, places: int | None = None) -> list[int]:
+        """Ids of a word, cut at the given places, or else from the start."""
+        if places is None:
+            return self.viterbi(word) if self.kind == "unigram" else self.merge(word)
+        out, start, pieces = [], 0, self.pieces
+        places >>= 1
+        for end in range(1, len(word) + 1):
+            if places & 1:
+                found = pieces.get(word[start:end])
+                if found is None:
+                    out += self.spelled(word[start:end])
+                else:
+                    out.append(found[0])
+                start = end
+            places >>= 1
+        return out
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, place, score, late), one row per piece."""
@@ -141,38 +156,34 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text: each starts with its spaces, line ends are words of their own."""
+    """The words of a text: each starts with its spaces, line ends are words of their own; empty ones between are to be skipped."""
     if not text:
         return []
-    if CUT in text:
-        # The separator itself occurs: it is a character outside all pieces, and so a word of its own.
-        head, *rest = text.split(CUT)
-        out = words_of(head) if head else [SPACE]
-        for part in rest:
-            out += [CUT, *(_cut(part) if part else [])]
-        return out
-    return _cut(SPACE + text)
-
-
-def _cut(text: str) -> list[str]:
-    parts = text.replace(" ", SPACE).replace(SPACE, CUT + SPACE).replace("\n", CUT + "\n" + CUT).split(CUT)
-    words = [p for p in parts if p]
-    # Spaces in a row belong to the word after them.
-    if SPACE + SPACE in text.replace(" ", SPACE):
-        out: list[str] = []
-        for w in words:
-            if out and not out[-1].strip(SPACE) and w[0] == SPACE:
+    if text[0] == " " or "  " in text or CUT in text or SPACE in text:
+        return _words_of_any(text)
+    return (SPACE + text).replace(" ", CUT + SPACE).replace("\n", CUT + "\n" + CUT).split(CUT)
+
+
+def _words_of_any(text: str) -> list[str]:
+    """Spaces in a row belong to the word after them; the separator is a character outside all pieces, and so a word of its own."""
+    out: list[str] = []
+    for k, part in enumerate((SPACE + text.replace(" ", SPACE)).split(CUT)):
+        out += [CUT] * (k > 0)
+        fresh = True
+        for w in part.replace(SPACE, CUT + SPACE).replace("\n", CUT + "\n" + CUT).split(CUT):
+            if w and not fresh and not out[-1].strip(SPACE) and w[0] == SPACE:
                 out[-1] += w
-            else:
+            elif w:
                 out.append(w)
-        return out
-    return words
+                fresh = False
+    return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: Counter[str] = Counter()
 
     def flush():
+        found.pop("", None)
         out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
         found.clear()
         return out
@@ -180,92 +191,83 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             found.update(words_of(text))
-            if len(found) > 250_000:
+            if len(found) > 300_000:
                 yield flush()
     yield flush()
 
 
 def distinct_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; written."""
-    return staged(docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    """(word, n) over all texts, dealt by word; combined per task before the only shuffle."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = docs.select("text").mapInArrow(_count_words, "word string, n long")
+    return counted.repartition(max(1, -(-size // TASK_BYTES)), "word").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, n, size, edges): all pieces in each word of up to LONGEST characters, in order of score and start.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: Column, least: int) -> DataFrame:
+    """(word, n, size, edges): sorted edges of all pieces of `least` characters or more in words of up to LONGEST characters.
 
-    `words` is dealt by word once; explosion, broadcast join and grouping keep that partitioning.
+    Explosion, broadcast join and grouping keep the partitioning by word.
     """
-    tasks = max(1, -(-words.count() // WORDS_PER_TASK))
-    starts = words.withColumn("size", F.length("word")).where(F.col("size") <= LONGEST).repartition(tasks, "word")
-    cut = (starts.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-           .withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("size"), F.col("s") + longest))))
+    cut = (words.withColumn("size", F.length("word")).where(F.col("size").between(least, LONGEST))
+           .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - least)))
+           .withColumn("e", F.explode(F.sequence(F.col("s") + least, F.least(F.col("size"), F.col("s") + longest))))
            .withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))))
     edges = cut.join(F.broadcast(pieces), "piece")
-    # Ends and inner places of an edge as bits.
-    one = F.lit(1).cast("long")
-    from_, to = F.call_function("shiftleft", one, F.col("s")), F.call_function("shiftleft", one, F.col("e"))
-    edge = F.struct("place", "s", "e", from_.bitwiseOR(to).alias("ends"), (to - from_ - from_).alias("inner"), "id", "late", "score")
     return edges.groupBy("word").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def fold_merges(table: DataFrame) -> DataFrame:
-    """(word, n, ids) of lattice rows for BPE models; ids are null where the word has to be merged in a queue."""
+def cut_by_merges(words: DataFrame, model: Model) -> DataFrame:
+    """(word, n, places) for BPE models; places are null where the word has to be merged in a queue. Words without edges are left out."""
+    # An edge as one number in the order of the fold: place of its score, start, end, and whether it can be overtaken.
+    shift = lambda c, k: F.shiftleft(F.col(c).cast("long"), k)
+    table = lattice(words, model.table(words.sparkSession), model.longest, shift("place", 13) + shift("s", 7) + shift("e", 1) + F.col("late").cast("long"), 2)
     mark = 1 << 62
-    def spans(places: Column, edge: Column, inner: int) -> Column:
-        return (places.bitwiseAND(edge["ends"]) == edge["ends"]) & (F.bit_count(places.bitwiseAND(edge["inner"])) == inner)
-    def step(places: Column, edge: Column) -> Column:
-        joined = places.bitwiseAND(F.bitwise_not(edge["inner"]))
-        missed = edge["late"] & F.exists("edges", lambda other: ((other["place"] < edge["place"]) | ((other["place"] == edge["place"]) & (other["s"] < edge["s"]))) & spans(joined, other, 1))
-        return F.when(spans(places, edge, 1), F.when(missed, joined.bitwiseOR(F.lit(mark))).otherwise(joined)).otherwise(places)
-    all_places = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size") + 1) - 1
-    folded = table.withColumn("places", F.aggregate("edges", all_places, step))
-    kept = folded.withColumn("kept", F.array_sort(F.transform(F.filter("edges", lambda x: spans(F.col("places"), x, 0)), lambda x: F.struct(x["s"], x["e"], x["id"]))))
-    whole = F.aggregate("kept", F.lit(0), lambda n, x: n + x["e"] - x["s"]) == F.col("size")
-    ids = F.when(whole & (F.col("places") < F.lit(mark)), F.transform("kept", lambda x: x["id"]))
-    return kept.select("word", "n", ids.alias("ids"))
-
-
-def fold_viterbi(table: DataFrame) -> DataFrame:
-    """(word, n, ids) of lattice rows for unigram models; ids are null where no path of pieces spells the word."""
-    best = "array<struct<score: double, s: int, id: int>>"
+    start, end = (lambda x: F.shiftright(x, 7).bitwiseAND(F.lit(63)).cast("int")), (lambda x: F.shiftright(x, 1).bitwiseAND(F.lit(63)).cast("int"))
+    def inner(x: Column) -> Column:
+        return _bit(end(x)) - _bit(start(x) + 1)
+    def joins(places: Column, x: Column) -> Column:
+        # Both ends are cuts, and one place between them.
+        span = places.bitwiseAND(_bit(end(x) + 1) - _bit(start(x)))
+        ends = _bit(start(x)).bitwiseOR(_bit(end(x)))
+        return (F.bit_count(span) == 3) & (span.bitwiseAND(ends) == ends)
+    def step(places: Column, x: Column) -> Column:
+        joined = places.bitwiseAND(F.bitwise_not(inner(x)))
+        missed = (x.bitwiseAND(F.lit(1)) == 1) & F.exists("edges", lambda other: (other < x) & joins(joined, other))
+        return F.when(joins(places, x), F.when(missed, joined.bitwiseOR(F.lit(mark))).otherwise(joined)).otherwise(places)
+    folded = table.withColumn("places", F.aggregate("edges", _bit(F.col("size") + 1) - 1, step))
+    return folded.select("word", "n", F.when(F.col("places") < F.lit(mark), F.col("places")).alias("places"))
+
+
+def cut_by_viterbi(words: DataFrame, model: Model) -> DataFrame:
+    """(word, n, places) for unigram models; places are null where no path of pieces spells the word."""
+    table = lattice(words, model.table(words.sparkSession), model.longest, F.struct("s", "e", "score"), 1)
+    best = "array<struct<score: double, s: int>>"
     def step(done: Column, e: Column) -> Column:
         ways = F.filter("edges", lambda x: (x["e"] == e) & F.get(done, x["s"])["score"].isNotNull())
-        scored = F.transform(ways, lambda x: F.struct((F.get(done, x["s"])["score"] + x["score"]).alias("score"), (-x["s"]).alias("s"), x["id"].alias("id")))
-        top = F.array_max(scored)
-        return F.concat(done, F.array(F.struct(top["score"].alias("score"), (-top["s"]).alias("s"), top["id"].alias("id")))).cast(best)
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(-1).alias("id"))).cast(best)
+        # Ties go to the longer last piece.
+        top = F.array_max(F.transform(ways, lambda x: F.struct((F.get(done, x["s"])["score"] + x["score"]).alias("score"), (-x["s"]).alias("s"))))
+        return F.concat(done, F.array(F.struct(top["score"].alias("score"), (-top["s"]).alias("s")))).cast(best)
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"))).cast(best)
     folded = table.withColumn("done", F.aggregate(F.sequence(F.lit(1), F.col("size")), first, step))
-    # Back from the end: a place is on the path if the path so far starts there.
-    state = "struct<at: int, ids: array<int>>"
+    # Back from the end: a place is a cut if the path so far starts there.
+    state = "struct<at: int, places: long>"
     def back(path: Column, e: Column) -> Column:
-        way = F.get("done", e)
-        return F.when(path["at"] == e, F.struct(way["s"].alias("at"), F.concat(F.array(way["id"]), path["ids"]).alias("ids")).cast(state)).otherwise(path)
-    start = F.struct(F.col("size").alias("at"), F.array().cast("array<int>").alias("ids")).cast(state)
-    path = F.aggregate(F.sequence(F.col("size"), F.lit(1), F.lit(-1)), start, back)
-    return folded.select("word", "n", F.when(F.get("done", F.col("size"))["score"].isNotNull(), path["ids"]).alias("ids"))
-
-
-def _by_word(model: Shipped):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.get()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([own.encode_word(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    return run
+        return F.when(path["at"] == e, F.struct(F.get("done", e)["s"].alias("at"), path["places"].bitwiseOR(_bit(e)).alias("places")).cast(state)).otherwise(path)
+    path = F.aggregate(F.sequence(F.col("size"), F.lit(1), F.lit(-1)), F.struct(F.col("size").alias("at"), F.lit(1).cast("long").alias("places")).cast(state), back)
+    return folded.select("word", "n", F.when(F.get("done", F.col("size"))["score"].isNotNull(), path["places"]).alias("places"))
 
 
 def dictionary(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n, ids) of every word; written."""
-    spark = words.sparkSession
-    ship, table = Shipped(spark, model), lattice(words, model.table(spark), model.longest)
-    folded = staged(fold_viterbi(table) if model.kind == "unigram" else fold_merges(table), "folded")
-    good = folded.where("ids is not null")
-    rest = words.join(good.select("word"), "word", "left_anti").select("word", "n").mapInArrow(_by_word(ship), "word string, n long, ids array<int>")
-    return staged(good.unionByName(rest), "dictionary")
+    """(word, n, places) of the words that have edges; written."""
+    return staged((cut_by_viterbi if model.kind == "unigram" else cut_by_merges)(words, model), "dictionary")
 
 
-def head_of(table: DataFrame, most: int = HEAD) -> dict[str, bytes]:
-    """Ids of the most frequent words, at most `most` of them, as bytes of 32-bit numbers."""
+def head_of(table: DataFrame, most: int) -> list[tuple[str, int | None]]:
+    """The most frequent words, at most `most` of them, with their places."""
     step = F.floor(F.log2("n") * 8).cast("int")
     held, least = 0, None
     for r in sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["step"]):
@@ -274,47 +276,70 @@ def head_of(table: DataFrame, most: int = HEAD) -> dict[str, bytes]:
             break
         least = r["step"]
     if least is None:
-        return {}
-    found = table.where(step >= least).select("word", "ids").toArrow()
-    return {w: np.array(i, dtype="<i4").tobytes() for b in found.to_batches(10_000) for w, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
-
-
-def _missing(head: Shipped):
+        return []
+    found = table.where(step >= least).select("word", "places").toArrow()
+    return [*zip(found.column(0).to_pylist(), found.column(1).to_pylist())]
+
+
+def _numbered(text: str, number: dict[str, int]) -> tuple[list[int], list[str]]:
+    """Numbers of a text's words, those of words outside the head counted on from it; and these words."""
+    words = [w for w in words_of(text) if w]
+    found = [*map(number.get, words)]
+    if None not in found:
+        return found, []
+    more: dict[str, int] = {}
+    base = len(number)
+    for i, v in enumerate(found):
+        if v is None:
+            found[i] = base + more.setdefault(words[i], len(more))
+    return found, [*more]
+
+
+def _further(head: Shipped):
+    """(key, place, word): the words outside the head, by their place in the document's list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.get()
+        number = {w: i for i, w in enumerate(head.get())}
         for batch in batches:
-            rows = [(k, w) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(words_of(t)).difference(known)]
+            rows = [(k, i, w) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, w in enumerate(_numbered(t or "", number)[1])]
             for at in range(0, len(rows), 50_000):
-                keys, words = zip(*rows[at:at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], names=["key", "word"])
+                keys, places, words = zip(*rows[at:at + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["key", "place", "word"])
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = [None if t is None else pack.compress(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["key", "doc_id", "packed"])
-
-
-def _encode(head: Shipped, model: Shipped):
+def _codes(head: Shipped):
+    """(key, doc_id, codes, check): the packed word numbers and a checksum of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, spell = head.get(), Decoder(model.get())
-        unpack = zstandard.ZstdDecompressor()
+        number, pack = {w: i for i, w in enumerate(head.get())}, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids, good = [], []
-                for packed, more in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    text = "" if packed is None else unpack.decompress(packed).decode()
-                    own = {x["word"]: np.array(x["ids"], dtype="<i4").tobytes() for x in more or ()}
-                    found = b"".join([known.get(w) or own[w] for w in words_of(text)])
-                    ids.append(np.frombuffer(found, dtype="<i4"))
-                    good.append(spell.decode(ids[-1].tolist()) == text)
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = pa.array(np.concatenate(ids) if ids else [], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(good, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+                texts = part.column(2).to_pylist()
+                codes = [pack.compress(np.array(_numbered(t or "", number)[0], dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for t in texts]
+                check = [zlib.crc32((t or "").encode()) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.binary()), pa.array(check, pa.int64())], names=["key", "doc_id", "codes", "check"])
+
+    return run
+
+
+def _assemble(ids: Shipped, model: Shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = ids.get(), model.get()
+        base, spell, unpack = len(known), Decoder(own), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found, good = [], []
+                for packed, check, more in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
+                    codes = np.frombuffer(unpack.decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().tolist()
+                    further = {base + x["place"]: np.array(own.encode_word(x["word"], x["places"]), dtype="<i4").tobytes() for x in more or ()}
+                    data = b"".join([known[c] if c < base else further[c] for c in codes])
+                    found.append(np.frombuffer(data, dtype="<i4"))
+                    good.append(zlib.crc32(spell.decode(found[-1].tolist()).encode()) == check)
+                ends = np.cumsum([0, *map(len, found)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32())), pa.array(good, pa.bool_())],
+                                                 names=["doc_id", "ids", "round_trip"])
 
     return run
 
@@ -342,13 +367,20 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
     spark = docs.sparkSession
     model = model or Model.load(MODEL)
     table = dictionary(distinct_words(docs), model)
-    head, ship = Shipped(spark, head_of(table)), Shipped(spark, model)
+    # Shuffle files of the count are no longer needed; Spark deletes them once nothing refers to them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    head = head_of(table, HEAD)
+    words = Shipped(spark, [w for w, _ in head])
+    ids = Shipped(spark, [np.array(model.encode_word(w, p), dtype="<i4").tobytes() for w, p in head])
+    del head
     # Rows meet their further words by id and text; equal rows share them.
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "text")
-    needed = rows.select("key", "text").mapInArrow(_missing(head), "key long, word string")
-    more = needed.join(table.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("more"))
-    packed = rows.mapInArrow(_packed, "key long, doc_id long, packed binary")
-    return packed.join(more, "key", "left").select("doc_id", "packed", "more").mapInArrow(_encode(head, ship), "doc_id long, ids array<int>, round_trip boolean")
+    further = rows.select("key", "text").mapInArrow(_further(words), "key long, place int, word string")
+    more = further.join(table.select("word", "places"), "word", "left").groupBy("key").agg(F.collect_list(F.struct("place", "word", "places")).alias("more"))
+    codes = rows.mapInArrow(_codes(words), "key long, doc_id long, codes binary, check long")
+    joined = codes.join(more, "key", "left").select("doc_id", "codes", "check", "more")
+    return joined.mapInArrow(_assemble(ids, Shipped(spark, model)), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:

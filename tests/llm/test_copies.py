@@ -13,7 +13,7 @@ from kinepair.llm import exact_dedup, simhash, warc
 from kinepair.llm.components import components
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import empty_documents, lowered, odd_documents
+from odd_rows import empty_documents, lowered, odd_documents
 
 LEAST = -(1 << 70)
 

@@ -13,8 +13,9 @@ from kinepair.llm import gru, lm_scoring, mixing, sentence_pieces
 from kinepair.sources.staging import staged
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import empty_documents, lowered, odd_documents, odd_texts
+from odd_rows import empty_documents, lowered, odd_documents, odd_texts
 
+SPACE = sentence_pieces.SPACE
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
 
 
@@ -113,7 +114,8 @@ def test_pieces_equal_the_library(spark, sf_dir, monkeypatch):
 
 def test_words_rebuild_the_text():
     for text in odd_texts():
-        words = sentence_pieces.words_of(text or "")
+        words = [w for w in sentence_pieces.words_of(text or "") if w]
+        assert all(SPACE not in w.lstrip(SPACE) for w in words)
         assert "".join(words) == ("▁" + text.replace(" ", "▁") if text else "")
 
 
@@ -122,8 +124,9 @@ def test_overtaken_merges_are_queued(spark):
     pieces = {"a": (1, 0.0), "b": (2, 0.0), "c": (3, 0.0), "abc": (4, -1.0), "bc": (5, -2.0), "abcd": (6, -3.0), "d": (7, 0.0)}
     model = sentence_pieces.Model(pieces, None)
     words = spark.createDataFrame([(w, 1) for w in ("abc", "abcd", "bcd", "xa", "d" * 80)], "word string, n long")
-    got = {r["word"]: r["ids"] for r in sentence_pieces.dictionary(words, model).collect()}
-    assert got == {"abc": [4], "abcd": [6], "bcd": [5, 7], "xa": [0, 1], "d" * 80: [7] * 80}
+    got = {r["word"]: r["places"] for r in sentence_pieces.dictionary(words, model).collect()}
+    assert got["abc"] is None and got["abcd"] is None and got["bcd"] == 0b1101 and "xa" not in got and "d" * 80 not in got
+    assert [model.encode_word(w, got.get(w)) for w in ("abc", "abcd", "bcd", "xa", "d" * 80)] == [[4], [6], [5, 7], [0, 1], [7] * 80]
 
 
 def test_viterbi_equals_brute_force(spark):
@@ -144,8 +147,8 @@ def test_viterbi_equals_brute_force(spark):
         return max(options)
 
     score = {i: s for i, s in pieces.values()}
-    for r in sentence_pieces.fold_viterbi(sentence_pieces.lattice(words, model.table(spark), model.longest)).collect():
-        assert math.isclose(sum(score[i] for i in r["ids"]), best(r["word"])[0], rel_tol=1e-9)
+    for r in sentence_pieces.cut_by_viterbi(words, model).collect():
+        assert math.isclose(sum(score[i] for i in model.encode_word(r["word"], r["places"])), best(r["word"])[0], rel_tol=1e-9)
         assert math.isclose(sum(score[i] for i in model.viterbi(r["word"])), best(r["word"])[0], rel_tol=1e-9)
 
 

@@ -13,7 +13,7 @@ from kinepair.llm import quality_rules as qr
 from kinepair.llm import queries, secret_scan, token_counts
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import empty_documents, odd_documents, words
+from odd_rows import empty_documents, odd_documents, words
 
 
 def measured(text):
