@@ -85,16 +85,19 @@ def scenario_status(scenarios: DataFrame, nodes: DataFrame, edges: DataFrame) ->
 
 
 def corpus_summary(manifest: DataFrame) -> DataFrame:
-    """Sums and rates over all built scenarios, per city, and per split if present, in one pass."""
+    """Sums and rates over all built scenarios, per city, and per split if present, in one pass.
+
+    `scope` names what a row stands for, so a missing city is not taken for the total.
+    """
     built = manifest.where(F.col("status").isin("built", "exists")) if "status" in manifest.columns else manifest
     sums = [c for c in manifest.columns if c.startswith("num_") and c not in (
         "num_proximity_negative_edges", "num_risk_negative_edges", "num_filtered_proximity_positive_edges",
         "num_interaction_candidate_proximity_negative_edges", "num_lanes", "num_nearest_lanes")]
     by = [c for c in ("city", "split") if c in manifest.columns]
     grouped = built.groupingSets([[], *[[F.col(b)] for b in by]], *[F.col(b) for b in by]).agg(
-        *[F.when(F.grouping(b) == 1, "all").otherwise("one").alias(f"_{b}") for b in by],
+        F.coalesce(*[F.when(F.grouping(b) == 0, F.lit(b)) for b in by], F.lit("total")).alias("scope"),
         F.count("*").alias("num_graphs"), *[F.sum(c).alias(c) for c in sums])
-    return _rates(grouped).drop(*[f"_{b}" for b in by])
+    return _rates(grouped)
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -104,8 +107,9 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pending(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Inputs without an output of the same source and configuration digest."""
-    return inputs.join(outputs, ["scenario_id", "config_sha256", "source_sha256"], "left_anti")
+    """Inputs without an output of the same source, configuration and, where it is recorded, schema version."""
+    keys = [k for k in ("schema_version",) if k in inputs.columns and k in outputs.columns]
+    return inputs.join(outputs, ["scenario_id", "config_sha256", "source_sha256", *keys], "left_anti")
 
 
 def incompatible(inputs: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ from kinepair.operators import audit
 REL_TOL, ABS_TOL = 1e-10, 1e-12
 
 
+#: Least logarithm of a probability in a loss.
+LOG_FLOOR = -100.0
+
+
 def pair_scores(scores: DataFrame, score_columns: list[str], src: str = "src", dst: str = "dst",
                 label: str = "label") -> DataFrame:
     """Mean of both supervised directions per unordered pair; pairs with a single direction are left out.
@@ -74,9 +78,19 @@ def best_threshold(df: DataFrame, score: str, label: str = "label", keys: list[s
 
 
 def cross_entropy(df: DataFrame, score: str, label: str = "label", keys: list[str] | None = None) -> DataFrame:
-    p, y = F.col(score), F.col(label)
-    loss = F.when(y == 1, -F.log(p)).otherwise(-F.log(1 - p))
-    return df.groupBy(*(keys or [])).agg(F.avg(loss).alias("loss"), F.count("*").alias("edges"))
+    """Mean loss of probabilities; logarithms are held at LOG_FLOOR, so a certain error costs much instead of nothing."""
+    p, y = F.col(score).cast("double"), F.col(label)
+    # log(0) is NULL in Spark, and avg would leave the row out.
+    log = lambda x: F.greatest(F.coalesce(F.log(x), F.lit(LOG_FLOOR)), F.lit(LOG_FLOOR))
+    loss = F.when(p.isNotNull() & y.isNotNull(), F.when(y == 1, -log(p)).otherwise(-log(1 - p)))
+    return df.groupBy(*(keys or [])).agg(F.avg(loss).alias("loss"), F.count(loss).alias("edges"))
+
+
+def cross_entropy_of_logits(df: DataFrame, logit: str, label: str = "label", keys: list[str] | None = None) -> DataFrame:
+    """Mean loss of raw scores, stable for scores of any size."""
+    z, y = F.col(logit).cast("double"), F.col(label)
+    loss = F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z)))
+    return df.groupBy(*(keys or [])).agg(F.avg(loss).alias("loss"), F.count(loss).alias("edges"))
 
 
 def _target_aggregates(clean: Column, changed: Column, threshold: Column) -> list[Column]:

@@ -23,6 +23,8 @@ from kinepair.config import (
 from kinepair.functions.ranks import running_before
 from kinepair.functions.scalar import angle_diff, norm2
 
+#: City of scenarios that name none.
+NO_CITY = "unknown"
 RESIDUAL_STATES = 11
 RESIDUAL_EPS = 1e-8
 
@@ -354,8 +356,12 @@ def summarise_pairs(pairs: DataFrame, cfg: BuildConfig = BuildConfig(), risk: Ri
 def join_pairs(nodes: DataFrame, cfg: BuildConfig = BuildConfig(), salts: int = 1) -> DataFrame:
     """Radius pairs with the columns the summaries need."""
     wanted = [c for c in (*NODE_SCALARS, *LANE_SCALARS, "node_id", "ok_mask", "path", "future") if c in nodes.columns]
-    keys = ("scenario_id", "city") if "city" in nodes.columns else ("scenario_id",)
-    return radius_pairs(nodes.select(*keys, *wanted), cfg.radius_m, salts=salts, keys=keys)
+    if "city" not in nodes.columns:
+        return radius_pairs(nodes.select("scenario_id", *wanted), cfg.radius_m, salts=salts)
+    # A pair is of one scenario; the city is carried, not joined on, so a missing or differing one loses no pair.
+    named = nodes.select("scenario_id", F.coalesce("city", F.lit(NO_CITY)).alias("city"), *wanted)
+    pairs = radius_pairs(named, cfg.radius_m, salts=salts)
+    return pairs.withColumn("city", F.least("a_city", "b_city")).drop("a_city", "b_city")
 
 
 def build_pairs(nodes: DataFrame, cfg: BuildConfig = BuildConfig(), risk: RiskConfig | None = None,

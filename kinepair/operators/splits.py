@@ -31,6 +31,8 @@ def recorder_tokens(frames: DataFrame, segment: int = 3, stride: int = 1, quantu
     All rows of a duplicated timestep are dropped; a segment needs consecutive
     timesteps; positions are rounded half-even to the quantum.
     """
+    if segment < 2 or stride < 1:
+        raise ValueError("a segment has two frames or more and the stride is positive")
     c = F.col
     single = frames.where(c("track_id") == "AV").groupBy("scenario_id", "city", "timestep").agg(
         F.count("*").alias("_n"), F.min("position_x").cast("double").alias("x"),
@@ -53,6 +55,12 @@ def recorder_tokens(frames: DataFrame, segment: int = 3, stride: int = 1, quantu
         "scenario_id", "city", token.alias("token")).distinct()
 
 
+def check_tokens(meta: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Scenarios without any token: no recorder track, too short, or without finite positions. They could leak unseen."""
+    missing = meta.select("scenario_id").distinct().join(tokens.select("scenario_id"), "scenario_id", "left_anti")
+    return audit.violations(missing, ["scenario_id"], {"has_fingerprint": F.lit(False)})
+
+
 def token_lists(tokens: DataFrame) -> DataFrame:
     """Sorted tokens of a scenario joined by '|'; a scenario has at most one token per frame."""
     return tokens.groupBy("scenario_id", "city").agg(
@@ -69,7 +77,7 @@ def _links(meta: DataFrame, tokens: DataFrame | None) -> DataFrame:
     return keyed
 
 
-def connect(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connect(links: DataFrame) -> DataFrame:
     """Smallest scenario of the connected component of every scenario: (scenario_id, root).
 
     The memberships are read once: each key links its scenarios to the
@@ -82,7 +90,7 @@ def connect(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     hubs = links.groupBy("key").agg(F.min("scenario_id").alias("v"))
     edges = links.join(hubs, "key").where("scenario_id <> v").select(F.col("scenario_id").alias("u"), "v").distinct()
     edges = staged(edges, "links")
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(
@@ -99,11 +107,15 @@ def connect(links: DataFrame, max_rounds: int = 40) -> DataFrame:
             everyone = links.select("scenario_id").distinct()
             return everyone.join(edges.select(F.col("u").alias("scenario_id"), F.col("v").alias("root")),
                                  "scenario_id", "left").withColumn("root", F.coalesce("root", "scenario_id"))
-    raise RuntimeError("components did not converge")
 
 
 def components(meta: DataFrame, tokens: DataFrame | None) -> DataFrame:
-    """Metadata with `split_group_id`, the smallest recording group of the component."""
+    """Metadata with `split_group_id`, the smallest recording group of the component.
+
+    Recordings without a fingerprint are refused where fingerprints are given.
+    """
+    if tokens is not None:
+        audit.require(check_tokens(meta, tokens))
     roots = connect(_links(meta, tokens))
     df = meta.join(roots, "scenario_id")
     names = df.groupBy("root").agg(F.min(GROUP_KEYS[0]).alias("split_group_id"))

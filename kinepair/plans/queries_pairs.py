@@ -113,12 +113,12 @@ def g09(spark, d):
     return shown(scenario_table(spark, d), ["scenario_id", "city"], RATES + MEANS, [*PLAIN, *COUNT_NAMES])
 
 
-@query("g10_corpus_summary", f"""select city, count(*) num_graphs, cast(sum(num_nodes) as bigint) num_nodes, cast(sum(num_edges) as bigint) num_edges,
+@query("g10_corpus_summary", f"""select case when grouping(city) = 1 then 'total' else 'city' end scope, city, count(*) num_graphs, cast(sum(num_nodes) as bigint) num_nodes, cast(sum(num_edges) as bigint) num_edges,
   {', '.join(f'cast(sum({v}) as bigint) {k}' for k, v in COUNT_NAMES.items())}, {r('sum(pp) / greatest(sum(raw), 1)')} physical_possible_retention_rate,
   {r('sum(prox) / greatest(sum(comp), 1)')} proximity_positive_rate from scenario_counts group by grouping sets ((), (city))""", MANIFEST_SQL)
 def g10(spark, d):
     s = manifest.corpus_summary(scenario_table(spark, d))
-    return shown(s, ["city"], ["physical_possible_retention_rate", "proximity_positive_rate"],
+    return shown(s, ["scope", "city"], ["physical_possible_retention_rate", "proximity_positive_rate"],
                  ["num_graphs", "num_nodes", "num_edges", *COUNT_NAMES])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by the session; a fresh temporary one only where none is set (local tests)."""
+    """Folder named by the session; a fresh temporary one only where none is set and everything runs in one process."""
     sc = spark.sparkContext
     named = sc.getConf().get(SHARED_DIR, None) or spark.conf.get(SHARED_DIR, None)
     if named:
         return named
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"set {SHARED_DIR} to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 

@@ -41,10 +41,27 @@ def list_scenarios(spark: SparkSession, root: str, limit: int | None = None) ->
     return names if limit is None else names.limit(limit)
 
 
+def file_schema(found: T.StructType) -> T.StructType:
+    """Schema for reading files whose numbers may be narrower or wider than FRAMES: whole numbers as 64 bit, others as double."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    wide = {f.name: T.LongType() if isinstance(f.dataType, whole) else T.DoubleType() if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else f.dataType
+            for f in found.fields}
+    return T.StructType([T.StructField(f.name, wide[f.name]) for f in FRAMES.fields if f.name in wide])
+
+
+def as_frames(df: DataFrame) -> list[F.Column]:
+    """The columns of FRAMES, cast; absent ones are NULL."""
+    return [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FRAMES.fields]
+
+
 def read_frames(spark: SparkSession, root: str) -> DataFrame:
-    """Track frames of all scenario folders, with `scenario_id` and the source file."""
-    return spark.read.schema(FRAMES).parquet(f"{root}/*/scenario_*.parquet").select(
-        scenario_folder().alias("scenario_id"), "*", F.col("_metadata.file_path").alias("source_file"))
+    """Track frames of all scenario folders, with `scenario_id` and the source file.
+
+    Numbers are cast to the types of FRAMES, so 32- and 64-bit files can be read, also side by side.
+    """
+    files = f"{root}/*/scenario_*.parquet"
+    df = spark.read.schema(file_schema(spark.read.parquet(files).schema)).parquet(files)
+    return df.select(scenario_folder().alias("scenario_id"), *as_frames(df), F.col("_metadata.file_path").alias("source_file"))
 
 
 def check_one_file(frames: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinepair.sources.tables import FRAMES, scenario_folder
+from kinepair.sources.tables import as_frames, file_schema, scenario_folder
 
 
 def build_new(spark: SparkSession, root: str, out: str, checkpoint: str, build: Callable[[DataFrame], DataFrame],
@@ -21,9 +21,10 @@ def build_new(spark: SparkSession, root: str, out: str, checkpoint: str, build:
     Repeating a batch after a failure overwrites its own folder, so nothing is
     counted twice.
     """
-    frames = (spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", files_per_batch)
-              .parquet(f"{root}/*/scenario_*.parquet")
-              .select(scenario_folder().alias("scenario_id"), "*"))
+    files = f"{root}/*/scenario_*.parquet"
+    frames = (spark.readStream.schema(file_schema(spark.read.parquet(files).schema)).option("maxFilesPerTrigger", files_per_batch)
+              .parquet(files))
+    frames = frames.select(scenario_folder().alias("scenario_id"), *as_frames(frames))
 
     def publish(batch: DataFrame, number: int) -> None:
         build(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
