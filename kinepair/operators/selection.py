@@ -125,11 +125,18 @@ def sample_scenarios(df: DataFrame, rate: float, seed: int) -> DataFrame:
         F.col("_before") + F.col("_rank") <= F.col("_keep")).drop("_p", "_b", "_rank", "_before", "_keep")
 
 
+def in_split(edges: DataFrame, splits: DataFrame, split: str = "train") -> DataFrame:
+    """Edges of the scenarios that a split table (scenario_id, split) puts into one split, with that split."""
+    return edges.join(splits.where(F.col("split") == split).select("scenario_id", "split"), "scenario_id")
+
+
 def fixed_fields(df: DataFrame, seed: int, risk: cfg.RiskConfig = cfg.RiskConfig(), strict: bool = False) -> DataFrame:
-    """Adds the constant fields of a selection manifest, and src and dst from the node ids."""
+    """Adds the constant fields of a selection manifest, and src and dst from the node ids; the split is the rows' own."""
+    if "split" not in df.columns:
+        raise ValueError("the split of each row must be known; see in_split")
     ids = {s: F.col(f"{s}_node_id") for s in ("src", "dst") if f"{s}_node_id" in df.columns}
     return df.withColumns({**ids,
-        "split": F.lit("train"), "displacement_m": F.lit(0.2), "perturb_window": F.lit(10),
+        "displacement_m": F.lit(0.2), "perturb_window": F.lit(10),
         "ramp_style": F.lit("minimum_jerk"), "velocity_mode": F.lit("residual"), "poison_label": F.lit(1),
         "seed": F.lit(int(seed)), "label_mode": F.lit(risk.label_mode), "label_config_hash": F.lit(risk.sha256()),
         "require_strict_label": F.lit(strict), "label_unit": F.lit(cfg.PAIR_LABEL_UNIT),
@@ -138,7 +145,7 @@ def fixed_fields(df: DataFrame, seed: int, risk: cfg.RiskConfig = cfg.RiskConfig
 
 def base_manifest(edges: DataFrame, rate: float, seed: int, risk: cfg.RiskConfig = cfg.RiskConfig(),
                   strict: bool = False) -> DataFrame:
-    """Selection manifest: one seeded pair per eligible scenario, then a scenario sample."""
+    """Selection manifest over edges of one split: one seeded pair per eligible scenario, then a scenario sample."""
     pairs = orient_pairs(eligible_orientations(edges, strict))
     chosen = sample_scenarios(seeded_pair(pairs, seed), rate, seed)
     return fixed_fields(chosen, seed, risk, strict)

@@ -15,7 +15,10 @@ EDGE = ["scenario_id", "src_track_id", "dst_track_id"]
 PAIR = ["scenario_id", "pair_lo", "pair_hi"]
 
 VIEWS["win"] = """select scenario_id, track_id, bool_and(ok) contiguous, avg(sqrt(vx*vx + vy*vy)) speed from filled where t between 39 and 49 group by 1, 2"""
-VIEWS["ready"] = """select e.*, a.contiguous src_contiguous, b.contiguous dst_contiguous, b.speed dst_window_speed from edges e
+VIEWS["scenario_split"] = """select scenario_id, case when h < 7 then 'train' when h < 8 then 'val' else 'test' end split
+  from (select distinct scenario_id, cast('0x' || substr(sha256(scenario_id), 1, 4) as integer) % 10 h from nodes)"""
+VIEWS["ready"] = """select e.*, a.contiguous src_contiguous, b.contiguous dst_contiguous, b.speed dst_window_speed, s.split from edges e
+  join scenario_split s on s.scenario_id = e.scenario_id and s.split = 'train'
   join win a on a.scenario_id = e.scenario_id and a.track_id = e.src_track_id join win b on b.scenario_id = e.scenario_id and b.track_id = e.dst_track_id"""
 VIEWS["negative"] = """select * from ready where supervision and label_computable and dynamic_computable and physical_possible and label_dynamic_risk = 0"""
 VIEWS["oriented"] = """select n.*, m.edge_id reverse_edge_id, least(n.src_track_id, n.dst_track_id) pair_lo, greatest(n.src_track_id, n.dst_track_id) pair_hi
@@ -38,8 +41,15 @@ VIEWS["preferred"] = """select * from regimes qualify row_number() over (partiti
 
 
 
+def scenario_splits(spark, d):
+    """Seven scenarios in ten are for training, one for validation, two for test."""
+    part = F.conv(F.substring(F.sha2("scenario_id", 256), 1, 4), 16, 10).cast("int") % 10
+    return stages.nodes(spark, d).select("scenario_id").distinct().withColumn(
+        "split", F.when(part < 7, "train").when(part < 8, "val").otherwise("test"))
+
+
 def ready_edges(spark, d):
-    e = stages.edges(spark, d)
+    e = selection.in_split(stages.edges(spark, d), scenario_splits(spark, d))
     return selection.with_windows(e, selection.node_windows(stages.nodes(spark, d)))
 
 
@@ -130,14 +140,14 @@ def h12(spark, d):
     return out.withColumn("changed_pair_rate", r6("changed_pair_rate"))
 
 
-@query("h13_base_manifest", f"select scenario_id, src_track_id, dst_track_id, cast(src_node_id as bigint) src, cast(dst_node_id as bigint) dst, 'train' split, {SEED} seed, 'minimum_jerk' ramp_style from sampled")
+@query("h13_base_manifest", f"select scenario_id, src_track_id, dst_track_id, cast(src_node_id as bigint) src, cast(dst_node_id as bigint) dst, split, {SEED} seed, 'minimum_jerk' ramp_style from sampled")
 def h13(spark, d):
     m = base(spark, d)
     return m.select(*EDGE, F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "split", "seed", "ramp_style")
 
 
 @query("h13b_manifest_volume", f"""select (select count(distinct scenario_id) from oriented) eligible_scenarios, (select count(*) from chosen_end) eligible_negative_pairs,
-  (select count(*) from oriented) eligible_orientations, (select count(*) from edges where supervision and label_computable and dynamic_computable) supervised_edges,
+  (select count(*) from oriented) eligible_orientations, (select count(*) from ready where supervision and label_computable and dynamic_computable) supervised_edges,
   (select count(*) from sampled) selected_pairs, {r('(select count(*) from sampled) / (select count(distinct scenario_id) from oriented)')} realized_scenario_rate""")
 def h13b(spark, d):
     v = selection.manifest_volume(ready_edges(spark, d), base(spark, d))

@@ -119,7 +119,7 @@ def test_allocation_scores_and_choice(spark):
 
 
 def good_manifest(spark):
-    df = spark.createDataFrame([("s", 0, 1, "a", "b")], "scenario_id string, src int, dst int, src_track_id string, dst_track_id string")
+    df = spark.createDataFrame([("s", 0, 1, "a", "b", "train")], "scenario_id string, src int, dst int, src_track_id string, dst_track_id string, split string")
     return selection.fixed_fields(df, 7)
 
 
