@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinepair.functions.ranks import running_totals
+from kinepair.functions.ranks import running_before, running_totals
 from kinepair.functions.scalar import hash_prefix, ratio
 from kinepair.operators import audit
 
 FOLD_COLUMNS = ("scenario_id", "split_group_id", "city", "source_split", "shadow_fold", "graph_sha256")
-GREEDY_LIMIT = 200_000
 
 
 def fold_priority(seed: int, group: Column) -> Column:
@@ -34,46 +32,6 @@ def group_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("city", "split_group_id").agg(F.count("*").alias("rows"))
 
 
-def _bounded(groups: DataFrame, limit: int) -> None:
-    if groups.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} groups; use dealt_folds, which needs no sequential pass")
-
-
-def balanced_folds(manifest: DataFrame, num_folds: int = 3, seed: int = 20260810, limit: int = GREEDY_LIMIT) -> DataFrame:
-    """Train rows with `shadow_fold`, groups kept whole and cities balanced.
-
-    Cities in order; groups by size, then priority; each goes to the fold with
-    fewest rows of its city, then fewest rows overall, then by hash. Totals
-    carry over from city to city, so the pass is sequential over one row per
-    group; its length is checked first.
-    """
-    if num_folds < 2 or seed < 0:
-        raise ValueError("need at least two folds and a non-negative seed")
-    train = built_rows(manifest, "train")
-    groups = group_sizes(train).select(
-        "city", "split_group_id", "rows", fold_priority(seed, F.col("split_group_id")).cast("string").alias("p0"),
-        fold_priority(seed + 1, F.col("split_group_id")).cast("string").alias("p1"))
-    _bounded(groups, limit)
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(p0=pdf["p0"].map(int), p1=pdf["p1"].map(int))
-        pdf = pdf.sort_values(["city", "rows", "p0", "split_group_id"], ascending=[True, False, True, True])
-        totals, folds, city, counts = [0] * num_folds, [], None, []
-        for row in pdf.itertuples(index=False):
-            if row.city != city:
-                city, counts = row.city, [0] * num_folds
-            best = min((counts[f], totals[f]) for f in range(num_folds))
-            tied = [f for f in range(num_folds) if (counts[f], totals[f]) == best]
-            fold = tied[row.p1 % len(tied)]
-            counts[fold] += row.rows
-            totals[fold] += row.rows
-            folds.append(fold)
-        return pdf.assign(shadow_fold=folds)[["city", "split_group_id", "shadow_fold"]]
-
-    chosen = groups.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(assign, "city string, split_group_id string, shadow_fold int")
-    return _with_folds(train, chosen)
-
-
 def dealt_folds(manifest: DataFrame, num_folds: int = 3, seed: int = 20260810) -> DataFrame:
     """Train rows with `shadow_fold` for any number of groups.
 
@@ -141,32 +99,23 @@ def check_effective(manifest: DataFrame, folds: DataFrame) -> DataFrame:
                          audit.unique(folds, ["scenario_id"]), audit.violations(both, ["scenario_id"], rules))
 
 
-def inner_validation(rows: DataFrame, seed: int, fraction: float = 0.10, limit: int = GREEDY_LIMIT) -> DataFrame:
+def inner_validation(rows: DataFrame, seed: int, fraction: float = 0.10) -> DataFrame:
     """Groups chosen per city for inner validation: (city, split_group_id).
 
-    In priority order a group is taken if that brings the row count closer to
-    fraction * rows; at least one group is taken and one is left.
+    Groups of a city come in the order of a hash; one is taken while the rows
+    before it and half its own stay below fraction * rows of the city. The first
+    is always taken, the last never. Totals are running sums over shards
+    of the order, so a city of any size is worked on by many tasks.
     """
     if not 0.0 < fraction < 0.5:
         raise ValueError("fraction must be within (0, 0.5)")
-    groups = group_sizes(rows).withColumn(
-        "p", city_priority(seed, F.col("city"), F.col("split_group_id")).cast("string"))
-    _bounded(groups, limit)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            raise ValueError(f"city {pdf['city'].iloc[0]!r} has fewer than two groups")
-        pdf = pdf.assign(p=pdf["p"].map(int)).sort_values(["p", "split_group_id"]).reset_index(drop=True)
-        target, running, taken = float(pdf["rows"].sum()) * fraction, 0, []
-        for i, n in enumerate(pdf["rows"]):
-            if not taken or abs(running + n - target) < abs(running - target):
-                taken.append(i)
-                running += n
-        if len(taken) == len(pdf):
-            taken.pop()
-        return pdf.loc[taken, ["city", "split_group_id"]]
-
-    return groups.groupBy("city").applyInPandas(choose, "city string, split_group_id string")
+    groups = group_sizes(rows)
+    totals = groups.groupBy("city").agg(F.sum("rows").alias("_all"), F.count("*").alias("_groups"))
+    audit.require(audit.violations(totals, ["city"], {"two_groups": F.col("_groups") >= 2}))
+    order = F.concat_ws(":", F.sha2(F.concat_ws(":", F.lit(str(int(seed))), "city", "split_group_id"), 256), "split_group_id")
+    placed = running_before(groups.withColumn("_order", order), ["city"], "_order", F.col("rows"), "_ahead").join(totals, "city")
+    wanted = (F.col("_ahead") == 0) | (2 * F.col("_ahead") + F.col("rows") < 2 * fraction * F.col("_all"))
+    return placed.where(wanted & (F.col("_ahead") + F.col("rows") < F.col("_all"))).select("city", "split_group_id")
 
 
 def fit_and_score(manifest: DataFrame, folds: DataFrame, heldout: int, inner_seed: int = 20260820,

@@ -223,9 +223,13 @@ def f01(spark, d):
     return manifest_table(spark, d).select("scenario_id", folds.fold_priority(11, F.col("split_group_id")).cast("string").alias("priority"))
 
 
-@query("f02_balanced_folds")
+DEALT = """select city, split_group_id, cast((row_number() over (partition by city order by rows desc, p, split_group_id) - 1) % 3 as integer) shadow_fold
+  from (select city, split_group_id, count(*) rows, cast('0x' || substr(sha256('20260810:' || split_group_id), 1, 16) as ubigint) p from fold_manifest group by 1, 2)"""
+
+
+@query("f02_balanced_folds", f"select scenario_id, split_group_id, city, 'train' source_split, shadow_fold, graph_sha256 from fold_manifest join ({DEALT}) using (city, split_group_id)")
 def f02(spark, d):
-    return folds.balanced_folds(manifest_table(spark, d))
+    return folds.dealt_folds(manifest_table(spark, d))
 
 
 @query("f02b_dealt_folds", """select split_group_id, cast((row_number() over (partition by city order by rows desc, p, split_group_id) - 1) % 3 as integer)
@@ -262,7 +266,13 @@ def f05(spark, d):
         "scenario_id", "split_group_id", "split", "original_split")
 
 
-@query("f06_inner_validation")
+INNER = """select city, split_group_id from (select *, coalesce(sum(n) over (partition by city order by o rows between unbounded preceding and 1 preceding), 0) b,
+    sum(n) over (partition by city) t from (select city, split_group_id, count(*) n, sha256('20260821:' || city || ':' || split_group_id) o
+      from fold_manifest join (select scenario_id from fold_table where shadow_fold <> 1) using (scenario_id) group by all))
+  where (b = 0 or 2 * b + n < 0.2 * t) and b + n < t"""
+
+
+@query("f06_inner_validation", INNER)
 def f06(spark, d):
     m = manifest_table(spark, d)
     rest = m.join(fold_table(spark, d).where("shadow_fold <> 1").select("scenario_id"), "scenario_id", "left_semi")
@@ -277,6 +287,13 @@ def f07(spark, d):
     return both.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("split_group_id").alias("groups"))
 
 
+@query("f07b_inner_split", f"""select scenario_id, split_group_id, case when i.city is null then 'train' else 'val' end split
+  from fold_table f left join ({INNER}) i using (city, split_group_id) where shadow_fold <> 1""")
+def f07b(spark, d):
+    fit, _ = folds.fit_and_score(manifest_table(spark, d), fold_table(spark, d), 1)
+    return fit.select("scenario_id", "split_group_id", "split")
+
+
 @query("f08_label_ratio", f"""select cast(shadow_fold as varchar) split, {r('sum(num_risk_positive_edges) / sum(num_supervision_edges)')} label_ratio
   from fold_table join fold_manifest using (scenario_id) group by 1""")
 def f08(spark, d):

@@ -1,5 +1,6 @@
 """Components, overlaps, folds: against brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -76,36 +77,6 @@ def manifest(spark, groups=40):
                                        " graph_path string, graph_sha256 string")
 
 
-def greedy(rows, num, seed):
-    import hashlib
-
-    def priority(s, g):
-        return int.from_bytes(hashlib.sha256(f"{s}:{g}".encode()).digest()[:8], "big")
-
-    totals, out = [0] * num, {}
-    for city in sorted({r.city for r in rows}):
-        sizes = {}
-        for r in rows:
-            if r.city == city:
-                sizes[r.split_group_id] = sizes.get(r.split_group_id, 0) + 1
-        counts = [0] * num
-        for g in sorted(sizes, key=lambda g: (-sizes[g], priority(seed, g), g)):
-            cand = [f for f in range(num) if counts[f] == min(counts)]
-            if len(cand) > 1:
-                cand = [f for f in cand if totals[f] == min(totals[c] for c in cand)]
-            f = cand[priority(seed + 1, g) % len(cand)] if len(cand) > 1 else cand[0]
-            out[g] = f
-            counts[f] += sizes[g]
-            totals[f] += sizes[g]
-    return out
-
-
-def test_balanced_folds_equal_sequential_rule(spark):
-    m = manifest(spark)
-    got = {r.split_group_id: r.shadow_fold for r in folds.balanced_folds(m, 3, 20260810).collect()}
-    assert got == greedy(m.collect(), 3, 20260810)
-
-
 def test_dealt_folds_are_balanced(spark):
     m = manifest(spark)
     f = folds.dealt_folds(m)
@@ -115,9 +86,19 @@ def test_dealt_folds_are_balanced(spark):
     require(folds.check_folds(f))
 
 
-def test_greedy_pass_is_bounded(spark):
-    with pytest.raises(ValueError):
-        folds.balanced_folds(manifest(spark), limit=10)
+def test_inner_validation_is_a_prefix_near_the_target(spark):
+    m = manifest(spark)
+    taken = {(r.city, r.split_group_id) for r in folds.inner_validation(m, 5, 0.2).collect()}
+    sizes = {(r.city, r.split_group_id): r.n for r in m.groupBy("city", "split_group_id").agg(F.count("*").alias("n")).collect()}
+    order = lambda k: hashlib.sha256(f"5:{k[0]}:{k[1]}".encode()).hexdigest()
+    for city in {c for c, _ in sizes}:
+        mine = sorted((k for k in sizes if k[0] == city), key=order)
+        chosen = [k for k in mine if k in taken]
+        assert chosen == mine[:len(chosen)] and 0 < len(chosen) < len(mine)
+        target, got = 0.2 * sum(sizes[k] for k in mine), sum(sizes[k] for k in chosen)
+        assert abs(got - target) <= max(sizes[k] for k in mine) / 2 or len(chosen) == 1
+    with pytest.raises(ConstraintError):
+        folds.inner_validation(m.limit(1), 5)
 
 
 def test_fit_and_score_are_disjoint_and_cover(spark):
