@@ -37,7 +37,8 @@ def distinct_frames(frames: DataFrame) -> DataFrame:
 
     `num_samples` counts the valid rows that were merged.
     """
-    checked = frame_validity(frames)
+    # One shuffle by track: it serves this grouping and the one into tracks, which then needs no further sort either.
+    checked = frame_validity(frames).repartition(*TRACK_KEY)
     sample = F.struct(*[F.col(c).cast("double").alias(a) for c, a in (
         ("position_x", "x"), ("position_y", "y"), ("velocity_x", "vx"), ("velocity_y", "vy"), ("heading", "h"))])
     optional = [F.min(c).alias(c) for c in ("object_category", "city") if c in frames.columns]
