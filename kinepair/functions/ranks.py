@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+LEAST_SLICES = 256
+
 
 def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False,
-                   slices: int = 256) -> DataFrame:
+                   slices: int | None = None) -> DataFrame:
     """Adds `<v>_total`: sum of v over this and all earlier rows of the group, and `<v>_all`, its group total.
 
-    `df` has one row per (keys, order); the order column is a number.
+    `df` has one row per (keys, order); the order column is a number. Without `slices` there are as many as shuffle
+    partitions, LEAST_SLICES at least. `df` is evaluated twice: stage it where that is dear.
     """
+    slices = slices or max(LEAST_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = [i / slices for i in range(1, slices)]
     found = df.agg(F.percentile_approx(F.col(order).cast("double"), cuts, 4096).alias("b")).first()["b"]
     bounds = sorted(set(found or []))

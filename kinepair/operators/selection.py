@@ -120,9 +120,13 @@ def sample_scenarios(df: DataFrame, rate: float, seed: int) -> DataFrame:
     cut = counts.select(
         "_b", (F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_before"),
         F.greatest(F.bround(F.sum("_n").over(W.partitionBy(F.lit(0))) * F.lit(float(rate))), F.lit(1)).alias("_keep"))
+    cut = cut.join(counts, "_b").where("_before < _keep")
+    extra = ["_p", "_b", "_n", "_before", "_keep", "_rank"]
+    whole = keyed.join(cut.where("_before + _n <= _keep"), "_b").drop(*extra)
+    # One prefix at most holds the cut.
     rank = F.row_number().over(W.partitionBy("_b").orderBy("_p", "scenario_id"))
-    return keyed.withColumn("_rank", rank).join(cut, "_b").where(
-        F.col("_before") + F.col("_rank") <= F.col("_keep")).drop("_p", "_b", "_rank", "_before", "_keep")
+    part = keyed.join(cut.where("_before + _n > _keep"), "_b").withColumn("_rank", rank).where("_before + _rank <= _keep").drop(*extra)
+    return whole.unionByName(part)
 
 
 def in_split(edges: DataFrame, splits: DataFrame, split: str = "train") -> DataFrame:

@@ -175,7 +175,7 @@ def leakage(assigned: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     return spread.groupBy("kind").agg(F.count_if(F.col("_n") > 1).alias("violations"))
 
 
-def temporal_overlaps(meta: DataFrame, slices: int = 256) -> DataFrame:
+def temporal_overlaps(meta: DataFrame, slices: int | None = None) -> DataFrame:
     """Same-city pairs with overlapping closed intervals, and those across splits, per city.
 
     Counted, not enumerated: a new interval overlaps the intervals that
@@ -187,7 +187,7 @@ def temporal_overlaps(meta: DataFrame, slices: int = 256) -> DataFrame:
         ends = meta.select(*keys, F.col("end_timestamp").cast("double").alias("at"), F.lit(0).alias("s"), F.lit(1).alias("e"))
         # Equal times: all starts count before the ends (closed intervals).
         events = starts.unionByName(ends).groupBy(*keys, "at").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
-        run = running_totals(events, keys, "at", ["s", "e"], slices=slices)
+        run = running_totals(staged(events, "events"), keys, "at", ["s", "e"], slices=slices)
         before = F.col("s_total") - F.col("s") - (F.col("e_total") - F.col("e"))
         pairs = F.col("s") * before + (F.col("s") * (F.col("s") - 1) / 2).cast("bigint")
         return run.groupBy(*keys).agg(F.sum(pairs).alias("pairs"))
