@@ -30,7 +30,8 @@ def initial(counts: np.ndarray, classes: int, hidden: int, seed: int = 5) -> Par
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place; exp is the fastest of numpy's curves. Overflow to infinity gives 0, as it should."""
-    np.exp(np.negative(x, out=x), out=x)
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -54,7 +55,6 @@ def windows(docs: list[np.ndarray], lanes: int, length: int) -> Iterator[tuple[b
             yield start == 0, np.ascontiguousarray(block.T), mine[:live]
 
 
-@np.errstate(over="ignore")
 def run(p: Params, inputs: np.ndarray, state: np.ndarray, back: bool = False) -> tuple[np.ndarray, list[tuple]]:
     """States before and after each step (steps + 1, lanes, hidden) and, with `back`, what going back needs."""
     steps, hidden = len(inputs), state.shape[1]
