@@ -191,7 +191,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             found.update(words_of(text))
-            if len(found) > 300_000:
+            if len(found) > 1_000_000:
                 yield flush()
     yield flush()
 
@@ -267,7 +267,7 @@ def dictionary(words: DataFrame, model: Model) -> DataFrame:
 
 
 def head_of(table: DataFrame, most: int) -> list[tuple[str, int | None]]:
-    """The most frequent words, at most `most` of them, with their places."""
+    """The most frequent words, at most `most` of them, with their places; by frequency, so that common words have small numbers."""
     step = F.floor(F.log2("n") * 8).cast("int")
     held, least = 0, None
     for r in sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["step"]):
@@ -277,13 +277,18 @@ def head_of(table: DataFrame, most: int) -> list[tuple[str, int | None]]:
         least = r["step"]
     if least is None:
         return []
-    found = table.where(step >= least).select("word", "places").toArrow()
+    found = table.where(step >= least).select("word", "places", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     return [*zip(found.column(0).to_pylist(), found.column(1).to_pylist())]
 
 
+def _numbers(head: Shipped) -> dict[str, int]:
+    """Number of each word of the head; the empty word between two cuts is 0."""
+    return {w: i for i, w in enumerate(["", *head.get()])}
+
+
 def _numbered(text: str, number: dict[str, int]) -> tuple[list[int], list[str]]:
     """Numbers of a text's words, those of words outside the head counted on from it; and these words."""
-    words = [w for w in words_of(text) if w]
+    words = words_of(text)
     found = [*map(number.get, words)]
     if None not in found:
         return found, []
@@ -298,7 +303,7 @@ def _numbered(text: str, number: dict[str, int]) -> tuple[list[int], list[str]]:
 def _further(head: Shipped):
     """(key, place, word): the words outside the head, by their place in the document's list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(head.get())}
+        number = _numbers(head)
         for batch in batches:
             rows = [(k, i, w) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, w in enumerate(_numbered(t or "", number)[1])]
             for at in range(0, len(rows), 50_000):
@@ -311,32 +316,40 @@ def _further(head: Shipped):
 def _codes(head: Shipped):
     """(key, doc_id, codes, check): the packed word numbers and a checksum of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, pack = {w: i for i, w in enumerate(head.get())}, zstandard.ZstdCompressor(level=1)
+        number, pack = _numbers(head), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = part.column(2).to_pylist()
-                codes = [pack.compress(np.array(_numbered(t or "", number)[0], dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for t in texts]
-                check = [zlib.crc32((t or "").encode()) for t in texts]
+                codes = [pack.compress(np.array(_numbered(t or "", number)[0], dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for t in part.column(2).to_pylist()]
+                check = [zlib.crc32(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.binary()), pa.array(check, pa.int64())], names=["key", "doc_id", "codes", "check"])
 
     return run
 
 
 def _assemble(ids: Shipped, model: Shipped):
+    """Ids of each document from those of its words, decoded again word by word and compared by checksum."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = ids.get(), model.get()
-        base, spell, unpack = len(known), Decoder(own), zstandard.ZstdDecompressor()
+        own, unpack = model.get(), zstandard.ZstdDecompressor()
+        spell = Decoder(own)
+        known = [b"", *ids.get()]
+        plain, base = [spell.plain(i) for i in known], len(known)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found, good = [], []
                 for packed, check, more in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
                     codes = np.frombuffer(unpack.decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().tolist()
-                    further = {base + x["place"]: np.array(own.encode_word(x["word"], x["places"]), dtype="<i4").tobytes() for x in more or ()}
-                    data = b"".join([known[c] if c < base else further[c] for c in codes])
-                    found.append(np.frombuffer(data, dtype="<i4"))
-                    good.append(zlib.crc32(spell.decode(found[-1].tolist()).encode()) == check)
+                    if more:
+                        further = {base + x["place"]: np.array(own.encode_word(x["word"], x["places"]), dtype="<i4").tobytes() for x in more}
+                        data = [known[c] if c < base else further[c] for c in codes]
+                        further = {c: spell.plain(i) for c, i in further.items()}
+                        text = [plain[c] if c < base else further[c] for c in codes]
+                    else:
+                        data, text = map(known.__getitem__, codes), map(plain.__getitem__, codes)
+                    found.append(np.frombuffer(b"".join(data), dtype="<i4"))
+                    # The first space was put there by the encoder.
+                    good.append(zlib.crc32(b"".join(text)[1:]) == check)
                 ends = np.cumsum([0, *map(len, found)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32())), pa.array(good, pa.bool_())],
                                                  names=["doc_id", "ids", "round_trip"])
@@ -353,6 +366,10 @@ class Decoder:
             self.bytes_of |= {model.bytes_from + b: bytes([b]) for b in range(256)}
         self.bytes_of.setdefault(model.unknown, b"\xef\xbf\xbd")
 
+    def plain(self, ids: bytes) -> bytes:
+        """Bytes of packed ids."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<i4").tolist()))
+
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.bytes_of.__getitem__, ids))
         # The first space was put there by the encoder.
