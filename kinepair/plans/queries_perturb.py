@@ -207,11 +207,19 @@ def b09b(spark, d):
 
 
 @query("b10_verify_schedule", """select 'perturb_window' rule, scenario_id key, cast(1 as bigint) n from picked where city = 'city1'
-  union all select 'motion_regime', scenario_id, 1 from picked where city = 'city2'""")
+  union all select 'motion_regime', scenario_id, 1 from picked where city = 'city2'
+  union all select 'displacement', scenario_id, 1 from picked where city = 'city3' and least(0.3, 0.9 * d_current) - least(0.2, 0.9 * d_current) > 0.001""")
 def b10(spark, d):
     m = selection.schedule(targets(spark, d))
     other = F.when(F.col("motion_regime") == cfg.SLOW_REGIME, cfg.MOVING_REGIME).otherwise(cfg.SLOW_REGIME)
     flip = F.when(F.col("perturb_window") == 4, 10).otherwise(4)
     bad = m.withColumns({"perturb_window": F.when(F.col("city") == "city1", flip).otherwise(F.col("perturb_window")),
+                         "displacement_m": F.when(F.col("city") == "city3", 0.3).otherwise(F.col("displacement_m")),
                          "motion_regime": F.when(F.col("city") == "city2", other).otherwise(F.col("motion_regime"))})
     return perturb.verify_schedule(bad, stages.nodes(spark, d)).select("rule", "key", "n")
+
+
+@query("b10b_schedule_report", f"""select case when min_speed < 0.5 then 'slow_lt_0p5' else 'moving_ge_0p5' end motion_regime, count(*) targets, {r('max(least(0.2, 0.9 * d_current))')} max_displacement_m,
+  cast(max(case when min_speed < 0.5 then 10 else 4 end) as bigint) max_window from picked group by 1""")
+def b10b(spark, d):
+    return shown(perturb.schedule_report(selection.schedule(targets(spark, d)), stages.nodes(spark, d)), ["motion_regime", "targets"], ["max_displacement_m"], ["max_window"])
