@@ -119,6 +119,7 @@ def selection_manifest(df: DataFrame, risk: cfg.RiskConfig = cfg.RiskConfig(), s
             c("motion_regime") == cfg.MOVING_REGIME, cfg.REGIME_WINDOWS[cfg.MOVING_REGIME])
     else:
         expected = F.lit(10)
+    # What the protocol asks of a selection manifest.
     rules = {
         "split": c("split") == split,
         "label_mode": c("label_mode") == risk.label_mode,

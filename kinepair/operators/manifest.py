@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names of the manifest's counts, and the edge column that each counts.
 COUNTS = {
     "num_raw_edges": "raw_edge", "num_physical_possible_edges": "physical_possible",
     "num_message_passing_edges": "message_passing", "num_hard_pruned_edges": "hard_pruned",

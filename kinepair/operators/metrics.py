@@ -11,8 +11,6 @@ from kinepair.functions.scalar import ratio
 from kinepair.operators import audit
 
 REL_TOL, ABS_TOL = 1e-10, 1e-12
-
-
 #: Least logarithm of a probability in a loss.
 LOG_FLOOR = -100.0
 
@@ -30,6 +28,11 @@ def pair_scores(scores: DataFrame, score_columns: list[str], src: str = "src", d
         F.min(label).alias("label"), (F.min(label) != F.max(label)).alias("contradictory")).where("_n = 2").drop("_n")
 
 
+def check_pairs(table: DataFrame) -> DataFrame:
+    """Pairs of `pair_scores` whose two directions carry different labels; metrics are for tables without any."""
+    return audit.violations(table, ["scenario_id", "pair_lo", "pair_hi"], {"one_label": ~F.col("contradictory")})
+
+
 def _by_score(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     return df.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
@@ -281,6 +284,7 @@ def run_record_violations(records: DataFrame, rules: dict[str, Column], key: str
 def training_protocol_rules() -> dict[str, Column]:
     """Rules of a finished training run stored as a struct column per section."""
     c = F.col
+    # Field names and settings of the training protocol.
     return {
         "epochs": c("config.epochs") == 50, "checkpoint_metric": c("config.checkpoint_metric") == "val_loss",
         "require_strict_label": c("config.require_strict_label"), "evaluate_test": ~c("config.evaluate_test"),

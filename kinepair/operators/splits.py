@@ -10,7 +10,7 @@ from kinepair.config import SPLITS, check_ratios
 from kinepair.functions.ranks import running_totals
 from kinepair.functions.scalar import finite, hash_fraction
 from kinepair.operators import audit
-from kinepair.sources.staging import staged
+from kinepair.sources.staging import discard, staged
 
 GROUP_KEYS = ("recording_group_id_v2", "content_sha1", "focal_trajectory_hash_0p1m")
 SOURCE_COLUMN = "recording_group_source_v2"
@@ -99,7 +99,8 @@ def connect(links: DataFrame) -> DataFrame:
         low = oriented.groupBy("u").agg(F.min("v").alias("m"))
         small = oriented.join(low, "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, staged(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
         # Done when every scenario has one parent and no parent has a parent.
         parents = edges.groupBy("u").agg(F.count("*").alias("n"))
         chained = edges.select(F.col("v").alias("u")).distinct().join(parents.select("u"), "u", "left_semi")

@@ -52,6 +52,7 @@ def verify_manifest_files(manifest: DataFrame, digests: DataFrame) -> DataFrame:
     return manifest.join(found, "graph_path", "left").where(~F.col("graph_sha256").eqNullSafe(F.col("actual_sha256")))
 
 
+# Paths within a metadata document.
 PROVENANCE = (
     "source_manifest_path string, source_metadata_path string, source_candidate_scores_path string,"
     " base_manifest_path string, fixed_alpha_audit_path string,"

@@ -38,4 +38,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/kinepair/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the folder of a `staged` table that nothing will read again."""
+    session = table.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(table._staged_path)
+    path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

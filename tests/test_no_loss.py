@@ -22,6 +22,12 @@ def test_certain_errors_cost_and_count(spark):
     assert got.edges == 3 and got.loss == pytest.approx((800.0 + math.log1p(math.exp(-3.0))) / 3)
 
 
+def test_contradictory_pairs_are_reported(spark):
+    rows = [("s", "a", "b", 0.1, 0, True), ("s", "b", "a", 0.3, 1, True), ("s", "a", "c", 0.2, 1, True), ("s", "c", "a", 0.4, 1, True)]
+    table = metrics.pair_scores(spark.createDataFrame(rows, "scenario_id string, src string, dst string, p double, label int, supervised boolean"), ["p"])
+    assert [(r.rule, r.key) for r in metrics.check_pairs(table).collect()] == [("one_label", "s|a|b")]
+
+
 def test_pairs_do_not_need_a_city(spark):
     table = frames(spark, track("a", lambda t: 0.1 * t), track("b", lambda t: 5 + 0.1 * t))
     for city in (F.lit(None).cast("string"), F.when(F.col("track_id") == "a", "x").otherwise("y"), F.lit("c")):
@@ -90,3 +96,12 @@ def test_no_machine_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_dir(Session())
+
+
+def test_discarded_stages_are_gone(spark):
+    table = staging.staged(spark.range(10), "gone")
+    path = table._staged_path
+    assert table.count() == 10
+    staging.discard(table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
