@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,16 +105,40 @@ def output_root(base: str, limit: int | None = None) -> str:
     return f"{base}/partial_builds/limit_{limit}"
 
 
-def write_graphs(nodes: DataFrame, edges: DataFrame, splits: DataFrame, root: str) -> None:
-    """Node and edge tables partitioned by split; the commit protocol publishes all or nothing."""
+def write_graphs(nodes: DataFrame, edges: DataFrame, splits: DataFrame, root: str) -> str:
+    """Node and edge tables, partitioned by split and city, published together; returns the version.
+
+    Both go to a folder of a new version; only then a marker names it. Readers see
+    the last marked version, so never nodes without their edges, and an interrupted write leaves no trace for them.
+    """
+    spark, version = nodes.sparkSession, uuid.uuid4().hex
     where = splits.select("scenario_id", "split")
     for name, table in (("nodes", nodes), ("edges", edges)):
-        table.join(where, "scenario_id").write.mode("errorifexists").partitionBy("split").parquet(f"{root}/{name}")
-
-
-def read_graphs(spark: SparkSession, root: str, split: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables, pruned to one split if given."""
-    tables = [spark.read.parquet(f"{root}/{name}") for name in ("nodes", "edges")]
+        by = [c for c in ("split", "city") if c == "split" or c in table.columns]
+        table.join(where, "scenario_id").write.mode("errorifexists").partitionBy(*by).parquet(f"{root}/versions/{version}/{name}")
+    number = 1 + len(_markers(spark, root))
+    marker = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(version).alias("version"))
+    marker.coalesce(1).write.mode("errorifexists").json(f"{root}/published/{number:08d}")
+    return version
+
+
+def _markers(spark: SparkSession, root: str) -> list[str]:
+    """Published versions in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/published")
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return []
+    rows = spark.read.schema("number long, version string").json(f"{root}/published/*").orderBy("number").collect()
+    return [r.version for r in rows]
+
+
+def read_graphs(spark: SparkSession, root: str, split: str | None = None, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables of a version, the last published one if none is named, pruned to one split if given."""
+    if version is None:
+        published = _markers(spark, root)
+        if not published:
+            raise ValueError(f"nothing is published under {root}")
+        version = published[-1]
+    tables = [spark.read.parquet(f"{root}/versions/{version}/{name}") for name in ("nodes", "edges")]
     if split is not None:
         tables = [t.where(F.col("split") == split) for t in tables]
     return tables[0], tables[1]

@@ -105,3 +105,18 @@ def test_discarded_stages_are_gone(spark):
     staging.discard(table)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_graphs_are_published_together(spark, tmp_path):
+    root = f"file://{tmp_path}/graphs"
+    nodes = spark.createDataFrame([("s1", "c1", 1), ("s2", None, 2)], "scenario_id string, city string, v int")
+    splits_ = spark.createDataFrame([("s1", "train"), ("s2", "val")], "scenario_id string, split string")
+    with pytest.raises(ValueError, match="nothing is published"):
+        tables.read_graphs(spark, root)
+    first = tables.write_graphs(nodes, nodes, splits_, root)
+    # A write that stops between nodes and edges is not seen.
+    nodes.write.parquet(f"{root}/versions/broken/nodes")
+    assert {r.v for r in tables.read_graphs(spark, root)[1].collect()} == {1, 2}
+    tables.write_graphs(nodes.where("v = 2"), nodes.where("v = 2"), splits_, root)
+    assert [r.v for r in tables.read_graphs(spark, root)[0].collect()] == [2]
+    assert [r.v for r in tables.read_graphs(spark, root, "train", first)[1].collect()] == [1]
