@@ -18,6 +18,16 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_digest() -> Column:
+    """With the id, what tells documents apart: rows that share both are one document."""
+    return F.md5(whole_text().cast("binary"))
+
+
+def order_of(*more: str) -> Column:
+    """Order of documents by id, null last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more)
+
+
 class Shipped:
     """An object sent to the workers once, its class included."""
 
