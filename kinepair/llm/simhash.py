@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinepair.llm.common import skew_lookup
+from kinepair.llm.common import order_of, skew_lookup, text_digest
 from kinepair.llm.components import components
 from kinepair.sources.staging import staged
 
@@ -63,12 +63,12 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64), pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(found, dtype=np.uint64).view(np.int64), pa.int64())], names=["doc_id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as the long of the same bits."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, digest, fp) with the fingerprint as the long of the same bits."""
+    return docs.select(F.col("doc_id").cast("long"), "text", text_digest().alias("digest")).mapInArrow(_fingerprints, "doc_id long, digest string, fp long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -92,21 +92,27 @@ def links(distinct: DataFrame) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest id of all documents reachable over links)."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """One row per row: doc_id, digest, fp, least (the first document of its component, by id, null last, and digest)."""
     rows = staged(fingerprints(docs), "fingerprints")
-    each = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
+    each = staged(rows.groupBy("fp").agg(F.min(order_of("digest")).alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(each.select("fp")))
     rooted = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # Roots with more than one fingerprint are the few that were linked; the others keep their own smallest id.
+    # Roots with more than one fingerprint are the few that were linked; the others keep their own first document.
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
-    labels = rooted.join(least, "root", "left").select("fp", "n", F.coalesce("least", "id").alias("component_id"))
+    labels = rooted.join(least, "root", "left").select("fp", "n", F.coalesce("least", "id").alias("least"))
     total = each.agg(F.sum("n")).first()[0] or 0
-    return skew_lookup(rows, staged(labels, "labels"), "fp", "n", total).select("doc_id", "fp", "component_id")
+    return skew_lookup(rows, staged(labels, "labels"), "fp", "n", total)
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (smallest id of all documents reachable over links)."""
+    return _labelled(docs).select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, whose id is the smallest of their component."""
-    found = near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows, with all their columns, of the first document of each component; rows with equal id and text are one document."""
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    gone = _labelled(docs).where(~stays).select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
+    return docs.withColumn("_of", text_digest()).join(gone, (F.col("_of") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)

@@ -4,7 +4,7 @@ import itertools
 from collections import Counter
 
 import corpus_pipeline
-from kinepair.llm import near_copies
+from kinepair.llm import near_copies, simhash
 from pyspark.sql import functions as F
 
 from odd_rows import empty_documents, lowered, odd_documents
@@ -64,3 +64,11 @@ def test_null_ids_and_a_large_group(spark, sf_dir):
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, sf_dir).collect())
     assert got == Counter([rows[1], *rows[300:]])
     assert near_copies.near_groups(docs).count() == 320
+
+
+def test_fingerprint_survivors_by_row(spark):
+    # A copy without id of document 1, beside clean rows without id; id 7 with a copy and with a clean text.
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), (None, text + " "), (7, text + "  "), (7, "clean of seven in its own words"), (None, "one clean text without an id"), (None, "quite another clean text, no id")]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([rows[0], *rows[3:]])
