@@ -5,7 +5,7 @@ never gets more than its leaves hold in MAX_EPOCHS passes. What a short child ca
 goes to its siblings, in proportion to their weights, and only what a whole family cannot
 take has gone to the family's own siblings before. Within a leaf, documents
 are put in an order seeded by leaf, epoch and id, epoch after epoch, and the shortest prefix that reaches the
-budget is taken.
+budget is taken. A row's place comes from its id; rows without an id, and repeats, are told apart by leaf, digest of the text and a number among whole repeats.
 
 The order is needed only in one place: hash buckets of the order are summed first, buckets wholly inside the
 budget are taken and wholly outside it left, and only the bucket with the end is sorted. A
@@ -13,8 +13,8 @@ leaf with a third of all rows is therefore spread over all its buckets.
 
 All amounts are whole numbers. Defined results: a null or wordless text has no tokens (it is taken
 where its place in the order is reached, and never in a leaf without any tokens); null lang or source is the leaf name
-'unknown'; a null id is ordered like the id 'none'; rows with the same id have the same place and are taken
-together, each counting by itself; an empty table or a budget of 0 gives an empty result; further columns are kept by `mixed`.
+'unknown'; rows with the same id or none have places
+of their own and are taken each by itself; an empty table or a budget of 0 gives an empty result; further columns are kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinepair.llm.common import whole_text
+from kinepair.llm.common import text_digest, whole_text
 from kinepair.sources.staging import staged
 
 LEVELS = ("domain", "lang", "source")
@@ -90,9 +90,26 @@ def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]] =
     return leaves.join(parents.select(*LEVELS, "given"), list(LEVELS))
 
 
-def _rank(epoch: Column, row: Column) -> Column:
-    """Seeded place of a document in an epoch of its leaf: 128 bits as text."""
-    return F.md5(F.concat_ws(":", F.lit(SEED), epoch, F.coalesce(row.cast("string"), F.lit("none"))).cast("binary"))
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with `_nth`, the number of a row among those of its leaf with equal id and digest.
+
+    Counted within parts of the table first, so that a text repeated in a third of all rows is not numbered by one task.
+    """
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "digest")
+    named = rows.withColumns({"_name": name, "_part": F.shiftright("_row", 16)})
+    key = [*LEVELS, "_name", "_part"]
+    parts = named.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key[:-1]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("_start", F.sum("_n").over(before)).where("_start > 0").drop("_n")
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("_row")) - 1
+    return named.withColumn("_nth", within).join(starts, key, "left").withColumn("_nth", F.col("_nth") + F.coalesce("_start", F.lit(0))).drop("_name", "_part", "_start")
+
+
+def _rank(epoch: Column) -> Column:
+    """Seeded place of a row in an epoch of its leaf: 128 bits as text, then the digest, as texts may share an id."""
+    further = F.when(F.col("doc_id").isNull() | (F.col("_nth") > 0), F.concat_ws(":", F.lit(""), "digest", F.col("_nth"))).otherwise("")
+    seeded = F.concat(F.concat_ws(":", F.lit(SEED), epoch, F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))), further)
+    return F.concat(F.md5(seeded.cast("binary")), "digest")
 
 
 def select(docs: DataFrame, budget: int | None = None, share_percent: int = SHARE_PERCENT, weights: dict[str, dict[str, int]] = WEIGHTS,
@@ -102,8 +119,14 @@ def select(docs: DataFrame, budget: int | None = None, share_percent: int = SHAR
     used_tokens is what of the document lies within the leaf's budget; it is less than n_tokens only at
     the end of the prefix. The budget is `share_percent` of all tokens if not given.
     """
-    rows = leaves_and_tokens(docs, domains).select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"))
-    rows = staged(rows, "mix-rows")
+    return _taken(docs.withColumn("_row", F.monotonically_increasing_id()), budget, share_percent, weights, domains, max_epochs).drop("_row")
+
+
+def _taken(docs: DataFrame, budget: int | None = None, share_percent: int = SHARE_PERCENT, weights: dict[str, dict[str, int]] = WEIGHTS,
+           domains: dict[str, str] = DOMAINS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """`select` with the `_row` that each row of `docs` is numbered by."""
+    rows = leaves_and_tokens(docs, domains).select("_row", text_digest().alias("digest"), "doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"))
+    rows = staged(_numbered(staged(rows, "mix-places")), "mix-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
     if budget is None:
         budget = (leaves.agg(F.sum("supply")).first()[0] or 0) * share_percent // 100
@@ -111,7 +134,7 @@ def select(docs: DataFrame, budget: int | None = None, share_percent: int = SHAR
     plan = staged(budgets(leaves, budget, weights, max_epochs), "mix-plan").where("given > 0")
     passes = F.explode(F.sequence(F.lit(0), F.expr("cast((given - 1) div supply as int)"))).alias("epoch")
     wanted = plan.select(*LEVELS, passes, "supply", "given").select(*LEVELS, "epoch", F.least("supply", F.expr("given - epoch * supply")).alias("target"))
-    placed = _spread(rows, wanted).withColumn("rank", _rank(F.col("epoch"), F.col("doc_id")))
+    placed = _spread(rows, wanted).withColumn("rank", _rank(F.col("epoch")))
     placed = placed.withColumn("bucket", F.conv(F.substring("rank", 1, 3), 16, 10).cast("int"))
     key = [*LEVELS, "epoch"]
     # Buckets are BUCKETS rows per leaf and epoch at most.
@@ -122,11 +145,10 @@ def select(docs: DataFrame, budget: int | None = None, share_percent: int = SHAR
     whole = starts.where("start + size <= target").select(*key, "bucket", F.lit(None).cast("long").alias("room"))
     cut = starts.where("start < target and start + size > target").select(*key, "bucket", (F.col("target") - F.col("start")).alias("room"))
     found = placed.join(whole.unionByName(cut), [*key, "bucket"])
-    out = ["doc_id", *LEVELS, "epoch", "n_tokens", "used_tokens"]
+    out = ["_row", "doc_id", *LEVELS, "epoch", "n_tokens", "used_tokens"]
     inside = found.where("room is null").withColumn("used_tokens", F.col("n_tokens")).select(*out)
-    prefix = Window.partitionBy(*key, "bucket").orderBy("rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*key, "bucket", "rank")
-    edge = found.where("room is not null").withColumn("ahead", F.sum("n_tokens").over(prefix) - F.sum("n_tokens").over(same)).where("ahead < room")
+    prefix = Window.partitionBy(*key, "bucket").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    edge = found.where("room is not null").withColumn("ahead", F.coalesce(F.sum("n_tokens").over(prefix), F.lit(0))).where("ahead < room")
     return inside.unionByName(edge.withColumn("used_tokens", F.least("n_tokens", F.col("room") - F.col("ahead"))).select(*out))
 
 
@@ -134,15 +156,13 @@ def _spread(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows with the epochs of their leaf, joined by leaf; one leaf may hold a third of the rows, so both sides carry a salt."""
     salts = 64
     many = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
     return salted.join(many, [*LEVELS, "salt"]).drop("salt")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents taken, whole, with all their columns, once per epoch in which they are taken."""
-    taken = select(docs, **options).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    # Repeated rows of an id are taken with it; their number is in _times once for each of them.
-    rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    times = taken.join(rows, taken["doc_id"].eqNullSafe(rows["doc_id"])).select(taken["doc_id"].alias("_id"), F.expr("cast(_times div _rows as int)").alias("_times"))
-    found = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    # Rows are numbered once and written, as ids do not tell them apart.
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    times = _taken(rows, **options).groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    return rows.join(times, "_row").withColumn("_copy", F.explode(F.expr("array_repeat(1, _times)"))).select(*docs.columns)
