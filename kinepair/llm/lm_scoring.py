@@ -3,8 +3,8 @@
 Word counts are taken over all training documents. The most frequent words are symbols of
 their own; every other word belongs to one of BUCKETS rare symbols by its last three bytes and, within it, has the
 share of its count (plus a half, and one such half for all words never seen), so every word of a text gets its probability. The
-network (see `gru`) models the symbols. It is learned in ROUNDS rounds; in each, one slice in
-SLICES of the training documents is dealt to tasks of about TASK_BYTES, every task trains from the same weights, and the weights are
+network (see `gru`) models the symbols. It is learned in SLICES rounds; in each, one slice
+of the training documents, all of which are in a slice, is dealt to tasks of about TASK_BYTES, every task trains from the same weights, and the weights are
 averaged by the symbols seen. What is learned from thus grows with the input, and no task or driver holds more than its share.
 
 Counts of up to HEAD frequent words travel with the job; the others, which are most words but few occurrences, are
@@ -36,7 +36,7 @@ HELD_OUT, FOLDS = 1, 5
 SYMBOLS, BUCKETS, CLASSES, HIDDEN = 2048, 512, 32, 16
 #: Words whose counts are sent along: at most so many.
 HEAD = 300_000
-ROUNDS, SLICES, TASK_BYTES = 2, 16, 8 << 20
+SLICES, TASK_BYTES = 16, 8 << 20
 #: Weights that are averaged in one piece.
 PART = 4096
 END = b"\n"
@@ -189,12 +189,12 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, lexicon: Shipped, frequency: np.ndarray) -> gru.Params:
     """Weights after all rounds; the driver holds one set of weights."""
     params = gru.initial(frequency, CLASSES, HIDDEN)
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SLICES))
-    rows = docs.where((fold() != HELD_OUT) & (slot < ROUNDS)).select("doc_id", "text", slot.alias("slot"))
+    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(SLICES))
+    rows = docs.where(fold() != HELD_OUT).select("doc_id", "text", slot.alias("slot"))
     sizes = {r["slot"]: r["size"] for r in rows.groupBy("slot").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
-    for k in range(ROUNDS):
-        tasks = max(1, math.ceil((sizes.get(k) or 0) / TASK_BYTES))
-        dealt = rows.where(F.col("slot") == k).repartition(tasks, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text")
+    for k in sorted(sizes):
+        tasks = max(1, math.ceil((sizes[k] or 0) / TASK_BYTES))
+        dealt = rows.where(F.col("slot") == k).repartition(tasks, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("text")
         tried = dealt.mapInArrow(_train_task(lexicon, Shipped(docs.sparkSession, params)), "part string, seen double, data binary")
         for r in tried.repartition(sum(-(-v.size // PART) for v in params.values()), "part").mapInArrow(_average, "part string, data binary").collect():
             name, at = r["part"].split(":")
