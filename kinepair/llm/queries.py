@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinepair.llm import exact_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, simhash, token_counts, warc
+from kinepair.llm import exact_dedup, language_id, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,3 +163,50 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every encoded length: documents and tokens over it, tokens kept by truncating there, and its quantile."""
     return token_counts.limits(token_counts.histogram(table(spark, sf_dir, "documents")))
+
+
+#: Table and text of the checksum CRC-32, which DuckDB does not have.
+CRC_TABLE = ("(select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], "
+             "lambda c, x: xor(c >> 1, (c & 1) * 3988292384))) tab)")
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, where `tab` of CRC_TABLE is in reach."""
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), "
+            "lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))")
+
+
+_GRAMS = "unnest(list_transform(range(1, length(p) - level + 2), lambda i: substr(p, i, level))) gram"
+_SIZES = f"(select unnest(range(1, {language_id.LONGEST + 1})) level)"
+LANGUAGE_SQL = f"""
+with d as (select doc_id, lang, text, {crc_sql("coalesce(doc_id::varchar, '')")} % {language_id.FOLDS} = {language_id.HELD_OUT} held_out from documents, {CRC_TABLE}),
+w as (select doc_id, lang, held_out, unnest(regexp_extract_all(lower(text), '\\p{{L}}[\\p{{L}}\\p{{M}}]*')) word from d),
+c as (select lang, word, count(*) n from w where not held_out and lang is not null group by all),
+g as (select 0 as level, lang, word gram, n from c union all
+  select level, lang, gram, sum(n) from (select level, lang, n, {_GRAMS} from (select *, case when level > 1 then ' ' || word || ' ' else word end p from c, {_SIZES})) group by all),
+e as (select level, lang, gram, log10(n / total) + {-language_id.PENALTY} v from (select *, sum(n) over (partition by level, lang) total from g)
+  where n * ({language_id.KEPT} // (select count(distinct lang) from c)) >= total),
+langs as (select lang, sum(n) total from c group by lang),
+kinds as (select distinct word from w),
+wg as (select word, 0 as level, word gram from kinds union all
+  select word, level, {_GRAMS} from (select *, case when level > 1 then ' ' || word || ' ' else word end p from kinds, {_SIZES})),
+k as (select * from wg semi join e using (level, gram)),
+b as (select word, case when min(level) = 0 then 0 else max(level) end as level from k group by word),
+r as (select word, level, gram, count(*) over (partition by word) n from k join b using (word, level)),
+v as (select word, lang, sum(v / n) v from r join e using (level, gram) group by all),
+dw as (select doc_id, word, count(*) times from w group by all),
+dn as (select doc_id, sum(times) known from dw semi join b using (word) group by doc_id),
+dv as (select doc_id, lang, sum(times * v) total from dw join v using (word) group by all),
+m as (select doc_id, lang, round(total / known, 9) mean from dv join dn using (doc_id)),
+s as (select doc_id, arg_min(lang, (-mean, lang)) lang_pred, max(mean) top from m group by doc_id),
+p as (select doc_id, 1 / sum(10 ** (coalesce(mean, 0) - top)) score from (select doc_id, lang, top from s, langs) left join m using (doc_id, lang) group by doc_id)
+select doc_id, held_out, coalesce(lang_pred, case when regexp_matches(text, '\\p{{L}}') then (select arg_min(lang, (-total, lang)) from langs) end, '{language_id.UNKNOWN}') lang_pred,
+  round(coalesce(score, case when regexp_matches(text, '\\p{{L}}') then 1 / (select count(*) from langs) end, 0), 6) score from d left join s using (doc_id) left join p using (doc_id)
+"""
+
+
+@query(LANGUAGE_SQL)
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
