@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinepair.llm import exact_dedup, language_id, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, simhash, token_counts, warc
+from kinepair.llm import conversation_repair, exact_dedup, language_id, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,3 +210,46 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs))
+
+
+# Forward over the rows: for each state the cheapest edits so far, the ASCII-least of them, and the text they lead to.
+# (state, next one asked for): 0 start, 1 after system, 2 after user, 3 after assistant.
+CONVERSATION_SQL = f"""
+with recursive r as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') t,
+    {crc_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 lot from conversations, {CRC_TABLE}),
+m as (select conv_id, turn, case when lot = 4 then 'user' else role end role, case lot when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t,
+    unnest(case when lot = 3 then [1, 2] else [1] end) copy from r where lot <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(t), copy) i,
+    right(rtrim(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1) e from m),
+f as (select conv_id, turn, role, t, i, left(role, 1) c, case when e = '' then 1 when row_number() over (partition by conv_id, role, t order by i) > 1 then 2 when e not in ('.', '!', '?') then 3 else 0 end k,
+    lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) pair from o),
+moves as (select * from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) v(s, c, z)),
+wanted as (select * from (values (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)) v(s, role, z)),
+pre as (select s, s via, '' ins, '' add, 0 w from wanted union all select s, z, 'I', role || ':', 2 from wanted),
+steps as (
+  select s, ins, add, w + 3 w, 'D' edit, null::varchar as c, via z, null::varchar as role from pre union all
+  select p.s, ins, add, w, 'K', c, z, null::varchar from pre p join moves m on m.s = via union all
+  select p.s, ins, add, w + 2, 'R', null::varchar, z, role from pre p join wanted n on n.s = via),
+ways as (
+  select conv_id, 0::bigint i, 0 s, 0::bigint cost, '' audit, '' body from (select distinct conv_id from conversations) union all
+  select conv_id, i, s, cost, audit, body from (
+    select a.conv_id, f.i, z s, a.cost + w + case when edit <> 'D' and f.k = 3 then 1 else 0 end cost, a.audit || ins || edit audit,
+      a.body || case when ins <> '' then case when a.audit in ('', repeat('D', length(a.audit))) then '' else chr(10) end || add else '' end
+        || case when edit = 'D' then '' else case when ins = '' and a.audit in ('', repeat('D', length(a.audit))) then '' else chr(10) end || coalesce(x.role, f.role) || ':' || f.t end body
+    from ways a join f on f.conv_id is not distinct from a.conv_id and f.i = a.i + 1 join steps x on x.s = a.s and (x.c is null or x.c = f.c) and (edit = 'D' or f.k not in (1, 2)))
+  qualify row_number() over (partition by conv_id, i, s order by cost, audit) = 1),
+ends as (select * from (values (0, '', '', 0), (3, '', '', 0), (2, 'I', 'assistant:', 2), (1, 'II', 'user:' || chr(10) || 'assistant:', 4)) v(s, ins, add, w)),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint gaps, count(*) filter (k = 1)::bigint blank, count(*) filter (k = 2)::bigint "duplicate",
+    count(*) filter (k = 3)::bigint truncated, count(*) filter (pair not in ('su', 'ua', 'au'))::bigint illegal, max(i) i from f group by conv_id),
+best as (select a.conv_id, a.i, cost + w cost, audit || ins audit, body || case when ins <> '' and audit not in ('', repeat('D', length(audit))) then chr(10) else '' end || add body
+  from ways a join ends using (s) left join n on n.conv_id is not distinct from a.conv_id where a.i = coalesce(n.i, 0)
+  qualify row_number() over (partition by a.conv_id order by cost + w, audit || ins) = 1)
+select b.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce("duplicate", 0)::bigint "duplicate", coalesce(truncated, 0)::bigint truncated,
+  coalesce(illegal, 0)::bigint illegal, cost::bigint cost, audit, sha256(body) repaired_sha256 from best b left join n on n.conv_id is not distinct from b.conv_id
+"""
+
+
+@query(CONVERSATION_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation."""
+    return conversation_repair.repaired(conversation_repair.damaged(table(spark, sf_dir, "conversations")), whole=False)
