@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinepair.llm import conversation_repair, exact_dedup, language_id, lm_scoring, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, simhash, token_counts, warc
+from kinepair.llm import conversation_repair, exact_dedup, language_id, lm_scoring, mixing, phrases, quality_classifier, quality_rules, secret_scan, sentence_pieces, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,6 +212,31 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs))
 
 
+PHRASE_SQL = f"""
+with d as (select doc_id, row_number() over () k, coalesce(lang, '{phrases.UNKNOWN}') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, [x for x in regexp_split_to_array(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[\\x20\\x09]+') if x <> ''] w from d),
+one as (select lang, x word, count(*) f from (select lang, unnest(w) x from p) group by all),
+g as (select lang, w[i:i + m - 1] ws, m from (select lang, w, m, unnest(range(1, len(w) - m + 2)) i from p, (select unnest([2, 3]) m))),
+c as (select lang, ws, m, count(*) a from g group by all having count(*) >= {phrases.LEAST}),
+inner_ as (select lang, ws[1:2] ws, a from c where m = 3 union all select lang, ws[2:3], a from c where m = 3),
+gone as (select distinct c.lang, c.ws from c join inner_ i on i.lang = c.lang and i.ws = c.ws and 100 * i.a >= {phrases.COVERED} * c.a where c.m = 2),
+kept as (select * from c anti join gone using (lang, ws)),
+parts as (select lang, [word] ws, f from one union all select lang, ws, a from c where m = 2),
+cuts as (select k.lang, k.ws, k.a, x.f l, y.f r, n.i, 1000000::hugeint * k.a * k.a // (x.f::hugeint * y.f) score from kept k
+  join (select unnest([1, 2]) i) n on n.i < k.m join parts x on x.lang = k.lang and x.ws = k.ws[1:n.i] join parts y on y.lang = k.lang and y.ws = k.ws[n.i + 1:k.m]),
+low as (select * from cuts qualify row_number() over (partition by lang, ws order by score, i) = 1),
+r as (select *, array_to_string(ws, ' ') phrase, row_number() over (partition by lang order by score desc, a desc, encode(array_to_string(ws, ' '))) rank from low)
+select lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score
+from r join (select lang, sum(f) n from one group by lang) using (lang) where rank <= {phrases.TOP}
+"""
+
+
+@query(PHRASE_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongest phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 # Forward over the rows: for each state the cheapest edits so far, the ASCII-least of them, and the text they lead to.
 # (state, next one asked for): 0 start, 1 after system, 2 after user, 3 after assistant.
 CONVERSATION_SQL = f"""
