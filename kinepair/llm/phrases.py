@@ -42,7 +42,7 @@ PIECE = 300_000
 #: Bits of bitmaps: fixed for words; for longer phrases by the number of words within these bounds.
 WORD_BITS, FEWEST_BITS, MOST_BITS = 26, 16, 29
 #: Bytes of text and positions worked on together.
-PART, SLICE, CHUNK, PENDING = 4 << 20, 16 << 20, 1 << 20, 4 << 20
+PART, SLICE, CHUNK, PENDING = 1 << 20, 6 << 20, 1 << 19, 2 << 20
 BLOCKS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -198,12 +198,14 @@ def _bits(width: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        # Sums are cut at `least` each time, so small counters do.
+        kind = np.uint8 if least < 128 else np.int64
         for batch in batches:
             for block, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = sums.setdefault(block, np.zeros(width, dtype=np.int32))
+                mine = sums.setdefault(block, np.zeros(width, dtype=kind))
                 # Places of one row are distinct.
                 place = np.frombuffer(at, dtype=np.uint32)
-                mine[place] = np.minimum(mine[place] + np.frombuffer(n, dtype=np.int32), least)
+                mine[place] = np.minimum(mine[place] + np.frombuffer(n, dtype=np.int32), least).astype(kind)
         for block, mine in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(mine >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
