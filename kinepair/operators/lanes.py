@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinepair.config import MAP_RELATIONS, BuildConfig
 from kinepair.functions import series
 from kinepair.functions.scalar import abs_angle_diff, finite
+from kinepair.sources.staging import staged
 
 LANE_JSON = (
     "lane_segments map<string, struct<id: string, lane_type: string, is_intersection: boolean,"
@@ -63,43 +65,76 @@ def lane_neighbors(lanes: DataFrame) -> DataFrame:
         "scenario_id", "src", "_n.dst", "_n.kind").distinct()
 
 
-def nearest_lane(nodes: DataFrame, points: DataFrame, reaches: tuple[float, ...] = (50.0, 400.0)) -> DataFrame:
+#: Side in metres of the finest cells of the occupancy pyramid, and its levels; each has twice the side of the one below.
+CELL, LEVELS = 50.0, 24
+
+
+def _best(joined: DataFrame, key: list[str]) -> DataFrame:
+    """The nearest of the joined points of each node; ties go to the first lane and point."""
+    dx, dy = F.col("x") - F.col("cur_x"), F.col("y") - F.col("cur_y")
+    hit = F.struct(F.sqrt(dx * dx + dy * dy).alias("lane_distance"), F.col("lane_id"), F.col("pt"),
+                   F.col("heading").alias("lane_heading"), F.col("is_intersection").alias("lane_is_intersection"))
+    return joined.groupBy(*key).agg(F.min(hit).alias("_hit"))
+
+
+def _cell(c: Column, side: float | Column = CELL) -> Column:
+    return F.floor(c / (F.lit(float(side)) if isinstance(side, float) else side)).cast("bigint")
+
+
+def _around(axis: str, reach: Column, side: Column) -> Column:
+    return F.explode(F.sequence(_cell(F.col(axis) - reach, side), _cell(F.col(axis) + reach, side)))
+
+
+def _far_cells(rest: DataFrame, cells: DataFrame, key: list[str]) -> DataFrame:
+    """For each node the finest cells that may hold its nearest point: (key, cur_x, cur_y, _cx, _cy).
+
+    The pyramid counts a cell as occupied at a level if any cell within it is. A node's level is the lowest at which its
+    own cell or one of the eight around it is occupied; then a point lies within two cell diagonals, which is the node's own search
+    radius. The cells within it are read off that level, and those whose nearest corner is farther than the farthest corner of another one go.
+    """
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level")
+    up = lambda c: F.expr(f"shiftright({c}, _level)")
+    pyramid = cells.select("*", levels).select("scenario_id", "_level", up("_cx").alias("_px"), up("_cy").alias("_py"), "_cx", "_cy")
+    step = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    near = pyramid.select("scenario_id", "_level", "_px", "_py").distinct().withColumn("_dx", step).withColumn("_dy", step).select(
+        "scenario_id", "_level", (F.col("_px") + F.col("_dx")).alias("_px"), (F.col("_py") + F.col("_dy")).alias("_py")).distinct()
+    own = rest.select(*key, "cur_x", "cur_y", levels).withColumns({"_px": F.expr("shiftright(" + f"cast(floor(cur_x / {CELL}) as bigint), _level)"),
+                                                                    "_py": F.expr("shiftright(" + f"cast(floor(cur_y / {CELL}) as bigint), _level)")})
+    found = own.join(near, ["scenario_id", "_level", "_px", "_py"]).groupBy(*key).agg(F.min("_level").alias("_level"), F.first("cur_x").alias("cur_x"), F.first("cur_y").alias("cur_y"))
+    sided = found.withColumn("_side", F.lit(CELL) * F.pow(F.lit(2.0), "_level")).withColumn("_reach", F.lit(2 * math.sqrt(2.0)) * F.col("_side"))
+    asked = sided.withColumn("_px", _around("cur_x", F.col("_reach"), F.col("_side"))).withColumn("_py", _around("cur_y", F.col("_reach"), F.col("_side")))
+    held = asked.join(pyramid, ["scenario_id", "_level", "_px", "_py"])
+
+    def apart(c: str, cell: str) -> tuple[Column, Column]:
+        low = F.col(cell) * F.lit(CELL)
+        inside = F.greatest(low - F.col(c), F.col(c) - (low + F.lit(CELL)), F.lit(0.0))
+        return inside, F.greatest(F.abs(F.col(c) - low), F.abs(F.col(c) - (low + F.lit(CELL))))
+
+    (nx, fx), (ny, fy) = apart("cur_x", "_cx"), apart("cur_y", "_cy")
+    measured = held.withColumns({"_near": F.sqrt(nx * nx + ny * ny), "_far": F.sqrt(fx * fx + fy * fy)})
+    # A little slack, as the distances of points are rounded on their own.
+    bound = F.min("_far").over(W.partitionBy(*key)) * F.lit(1 + 1e-9)
+    return measured.withColumn("_bound", bound).where("_near <= _bound").select(*key, "cur_x", "cur_y", "_cx", "_cy")
+
+
+def nearest_lane(nodes: DataFrame, points: DataFrame) -> DataFrame:
     """Adds the nearest lane point of the same scenario: id, distance, heading, intersection flag.
 
-    Ties go to the first lane and point. The search widens: points within 50
-    metres through grid cells of that size, then 400 metres for the nodes
-    still without one, then the whole map of the scenario for what is left, so
-    the result is exact. Only ids and coordinates take part; the result is
-    joined back. A scenario without lanes gives NULL lane id and distance,
-    heading 0 and no intersection.
+    Ties go to the first lane and point. Points within CELL metres are found through grid cells of that size, and the result is written.
+    Only for nodes without one a pyramid of occupied cells gives a search radius to each, and again points are joined by
+    their cells, so the result is exact at any distance and no node meets the whole map. Only ids and coordinates take part; the result is
+    joined back. A scenario without lanes, and a node without finite position, gives NULL lane id and distance, heading 0 and no intersection.
     """
     key = ["scenario_id", "track_id"]
-
-    def best(joined: DataFrame) -> DataFrame:
-        dx, dy = F.col("x") - F.col("cur_x"), F.col("y") - F.col("cur_y")
-        hit = F.struct(F.sqrt(dx * dx + dy * dy).alias("lane_distance"), F.col("lane_id"), F.col("pt"),
-                       F.col("heading").alias("lane_heading"), F.col("is_intersection").alias("lane_is_intersection"))
-        return joined.groupBy(*key).agg(F.min(hit).alias("_hit"))
-
-    def within(probe: DataFrame, reach: float) -> DataFrame:
-        def index(c: Column) -> Column:
-            return F.floor(c / F.lit(float(reach))).cast("bigint")
-
-        spread = probe
-        for axis, c in (("_cx", F.col("cur_x")), ("_cy", F.col("cur_y"))):
-            spread = spread.withColumn(axis, F.explode(F.sequence(index(c - F.lit(reach)), index(c + F.lit(reach)))))
-        gridded = points.withColumns({"_cx": index(F.col("x")), "_cy": index(F.col("y"))})
-        near = best(spread.join(gridded, ["scenario_id", "_cx", "_cy"]))
-        return near.where(F.col("_hit.lane_distance") <= F.lit(reach))
-
-    rest = nodes.select(*key, "cur_x", "cur_y")
-    found = None
-    for reach in reaches:
-        hits = within(rest, reach)
-        found = hits if found is None else found.unionByName(hits)
-        rest = rest.join(hits, key, "left_anti")
-    last = best(rest.join(points, "scenario_id"))
-    found = last if found is None else found.unionByName(last)
+    placed = nodes.where(finite(F.col("cur_x")) & finite(F.col("cur_y"))).select(*key, "cur_x", "cur_y")
+    gridded = points.withColumns({"_cx": _cell(F.col("x")), "_cy": _cell(F.col("y"))})
+    reach, side = F.lit(CELL), F.lit(CELL)
+    spread = placed.withColumn("_cx", _around("cur_x", reach, side)).withColumn("_cy", _around("cur_y", reach, side))
+    close = staged(_best(spread.join(gridded, ["scenario_id", "_cx", "_cy"]), key).where(F.col("_hit.lane_distance") <= F.lit(CELL)), "lanes-close")
+    rest = staged(placed.join(close, key, "left_anti"), "lanes-rest")
+    cells = gridded.select("scenario_id", "_cx", "_cy").distinct()
+    far = _best(_far_cells(rest, cells, key).join(gridded, ["scenario_id", "_cx", "_cy"]), key)
+    found = close.unionByName(far)
     found = found.select(*key, "_hit.lane_id", "_hit.lane_distance", "_hit.lane_heading", "_hit.lane_is_intersection")
     return nodes.join(found, key, "left").fillna({"lane_heading": 0.0, "lane_is_intersection": False})
 

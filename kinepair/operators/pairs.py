@@ -22,6 +22,7 @@ from kinepair.config import (
 )
 from kinepair.functions.ranks import running_before
 from kinepair.functions.scalar import angle_diff, norm2
+from kinepair.sources.staging import staged_with
 
 #: City of scenarios that name none.
 NO_CITY = "unknown"
@@ -29,21 +30,49 @@ RESIDUAL_STATES = 11
 RESIDUAL_EPS = 1e-8
 
 
-def radius_pairs(nodes: DataFrame, radius: float = 60.0, cell: float | None = None, salts: int = 1,
+#: Vehicles of the a side in one cell; a cell with more is cut, at most FINEST times in four, and then dealt out.
+CROWD, FINEST = 512, 5
+
+
+def crowded_cells(points: DataFrame, side: float, crowd: int = CROWD, keys: tuple[str, ...] = ("scenario_id",)) -> DataFrame:
+    """Leaves of the quadtrees of cells with more than `crowd` of the `points` (keys, x, y).
+
+    One row per occupied leaf: keys, `_cx`, `_cy` (the cell of the given side), `_depth`, `_lx`, `_ly` (the leaf's place in the grid of side
+    side / 2 ** depth) and `_parts`, 1 but for leaves of the finest depth that still hold more. Only counts of cells are aggregated.
+    """
+    fine = points.select(*keys, *[F.floor(F.col(c) / F.lit(side / 2 ** FINEST)).cast("bigint").alias(f) for f, c in (("_fx", "x"), ("_fy", "y"))])
+    counted = fine.groupBy(*keys, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_n"))
+
+    def at(depth: int) -> list[Column]:
+        return [F.shiftright(c, FINEST - depth) for c in ("_fx", "_fy")]
+
+    # Finest cells of one coarse cell: at most 4 ** FINEST rows.
+    sizes = {f"_n{d}": F.sum("_n").over(W.partitionBy(*keys, *at(d))) for d in range(FINEST + 1)}
+    depth = F.coalesce(*[F.when(F.col(f"_n{d}") <= crowd, F.lit(d)) for d in range(FINEST + 1)], F.lit(FINEST))
+    cut = counted.withColumns(sizes).where(F.col("_n0") > crowd).withColumn("_depth", depth)
+    shift = F.lit(FINEST) - F.col("_depth")
+    leaf = [F.call_function("shiftright", F.col(f), shift).alias(n) for f, n in (("_fx", "_lx"), ("_fy", "_ly"))]
+    size = F.when(F.col("_depth") == FINEST, F.col(f"_n{FINEST}")).otherwise(F.lit(1))
+    parts = F.ceil(size / F.lit(float(crowd))).cast("int")
+    return cut.select(*keys, *[c.alias(n) for c, n in zip(at(0), ("_cx", "_cy"))], "_depth", *leaf, parts.alias("_parts")).distinct()
+
+
+def radius_pairs(nodes: DataFrame, radius: float = 60.0, cell: float | None = None, crowd: int = CROWD,
                  keys: tuple[str, ...] = ("scenario_id",), key: str = "track_id",
                  x: str = "cur_x", y: str = "cur_y") -> DataFrame:
     """Unordered pairs a < b of one scenario at most `radius` apart; columns get prefixes a_ and b_.
 
     The plane is cut into square cells (default side 2 * radius). The a side
     stays in its own cell, the b side is copied to every cell its search box
-    touches (4 on average), so each pair meets in exactly one cell. `salts`
-    splits every cell further: the a side is dealt over that many parts, the b
-    side copied to each of them.
+    touches (4 on average), so each pair meets in exactly one cell. Cells are counted first, from keys and coordinates alone; those with more than
+    `crowd` vehicles are cut by a quadtree, and what shares even the finest cell is dealt over several parts. The b side is copied
+    to every leaf and part that its box touches, so no task gets more than `crowd` of the a side for one key.
     """
     side = float(cell or 2.0 * radius)
+    leaves, found = staged_with(crowded_cells(nodes.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")), side, crowd, keys), "crowded", F.count(F.lit(1)).alias("n"))
 
-    def index(c: Column) -> Column:
-        return F.floor(c / F.lit(side)).cast("bigint")
+    def index(c: Column, depth: Column | None = None) -> Column:
+        return F.floor(c / (F.lit(side) if depth is None else F.lit(side) / F.pow(F.lit(2.0), depth))).cast("bigint")
 
     a = nodes.select(*keys, *[F.col(c).alias(f"a_{c}") for c in nodes.columns if c not in keys])
     b = nodes.select(*keys, *[F.col(c).alias(f"b_{c}") for c in nodes.columns if c not in keys])
@@ -52,14 +81,30 @@ def radius_pairs(nodes: DataFrame, radius: float = 60.0, cell: float | None = No
         value = F.col(f"b_{c}")
         b = b.withColumn(axis, F.explode(F.sequence(index(value - F.lit(radius)), index(value + F.lit(radius)))))
     on = [*keys, "_cx", "_cy"]
-    if salts > 1:
-        a = a.withColumn("_salt", F.pmod(F.xxhash64(f"a_{key}"), F.lit(salts)))
-        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-        on.append("_salt")
+    if found["n"]:
+        # Leaves come from a written table, so Spark knows whether they are small enough to be sent to all tasks.
+        depths = leaves.select(*on, "_depth", "_lx", "_ly", "_parts")
+        by_cell = depths.groupBy(*on).agg(F.collect_list(F.struct("_depth", "_lx", "_ly", "_parts")).alias("_leaves"))
+        a, b = a.join(by_cell, on, "left"), b.join(by_cell, on, "left")
+        whole = F.array(F.struct(F.lit(0).alias("_depth"), F.col("_cx").alias("_lx"), F.col("_cy").alias("_ly"), F.lit(1).alias("_parts")))
+
+        def touched(side_of: str, reach: float) -> Column:
+            def inside(leaf: Column) -> Column:
+                ok = F.lit(True)
+                for place, c in (("_lx", x), ("_ly", y)):
+                    value = F.col(f"{side_of}_{c}")
+                    ok = ok & leaf[place].between(index(value - F.lit(reach), leaf["_depth"]), index(value + F.lit(reach), leaf["_depth"]))
+                return ok
+            return F.explode(F.filter(F.coalesce("_leaves", whole), inside))
+
+        a = a.withColumn("_leaf", touched("a", 0.0)).select("*", "_leaf.*").withColumn("_part", F.pmod(F.xxhash64(f"a_{key}"), F.col("_parts")).cast("int"))
+        b = b.withColumn("_leaf", touched("b", float(radius))).select("*", "_leaf.*").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        extra = ["_leaves", "_leaf", "_parts"]
+        a, b, on = a.drop(*extra), b.drop(*extra), [*on, "_depth", "_lx", "_ly", "_part"]
     dx, dy = F.col(f"b_{x}") - F.col(f"a_{x}"), F.col(f"b_{y}") - F.col(f"a_{y}")
     return (a.join(b, on)
             .where((F.col(f"a_{key}") < F.col(f"b_{key}")) & (norm2(dx, dy) <= F.lit(float(radius))))
-            .drop("_cx", "_cy", "_salt"))
+            .drop("_cx", "_cy", "_depth", "_lx", "_ly", "_part"))
 
 
 def closing_speed(rx: Column, ry: Column, dist: Column, vx: Column, vy: Column) -> Column:
@@ -353,29 +398,29 @@ def summarise_pairs(pairs: DataFrame, cfg: BuildConfig = BuildConfig(), risk: Ri
     return df if risk is None else finish_risk(df, risk)
 
 
-def join_pairs(nodes: DataFrame, cfg: BuildConfig = BuildConfig(), salts: int = 1) -> DataFrame:
+def join_pairs(nodes: DataFrame, cfg: BuildConfig = BuildConfig(), crowd: int = CROWD) -> DataFrame:
     """Radius pairs with the columns the summaries need."""
     wanted = [c for c in (*NODE_SCALARS, *LANE_SCALARS, "node_id", "ok_mask", "path", "future") if c in nodes.columns]
     if "city" not in nodes.columns:
-        return radius_pairs(nodes.select("scenario_id", *wanted), cfg.radius_m, salts=salts)
+        return radius_pairs(nodes.select("scenario_id", *wanted), cfg.radius_m, crowd=crowd)
     # A pair is of one scenario; the city is carried, not joined on, so a missing or differing one loses no pair.
     named = nodes.select("scenario_id", F.coalesce("city", F.lit(NO_CITY)).alias("city"), *wanted)
-    pairs = radius_pairs(named, cfg.radius_m, salts=salts)
+    pairs = radius_pairs(named, cfg.radius_m, crowd=crowd)
     return pairs.withColumn("city", F.least("a_city", "b_city")).drop("a_city", "b_city")
 
 
 def build_pairs(nodes: DataFrame, cfg: BuildConfig = BuildConfig(), risk: RiskConfig | None = None,
-                salts: int = 1) -> DataFrame:
+                crowd: int = CROWD) -> DataFrame:
     """Unordered pairs with history, residual, future and (optionally) risk columns."""
-    return summarise_pairs(join_pairs(nodes, cfg, salts), cfg, risk)
+    return summarise_pairs(join_pairs(nodes, cfg, crowd), cfg, risk)
 
 
 def build_edges(nodes: DataFrame, cfg: BuildConfig = BuildConfig(), lane_neighbors: DataFrame | None = None,
-                risk: RiskConfig | None = None, salts: int = 1) -> DataFrame:
+                risk: RiskConfig | None = None, crowd: int = CROWD) -> DataFrame:
     """Directed edge table: features, gates, masks, proximity and (with `risk`) dynamic-risk columns."""
     from kinepair.operators.lanes import lane_relations
 
-    edges = edge_features(directed_edges(build_pairs(nodes, cfg, risk, salts)))
+    edges = edge_features(directed_edges(build_pairs(nodes, cfg, risk, crowd)))
     if lane_neighbors is not None:
         edges = lane_relations(edges, lane_neighbors, cfg)
     return edge_masks(kinematic_gate(edges, cfg))

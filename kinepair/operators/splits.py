@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from kinepair.config import SPLITS, check_ratios
 from kinepair.functions.ranks import running_totals
 from kinepair.functions.scalar import finite, hash_fraction
+from kinepair.functions.skew import matched
 from kinepair.operators import audit
-from kinepair.sources.staging import discard, staged
+from kinepair.sources.staging import discard, staged, staged_with
 
 GROUP_KEYS = ("recording_group_id_v2", "content_sha1", "focal_trajectory_hash_0p1m")
 SOURCE_COLUMN = "recording_group_source_v2"
@@ -29,7 +30,8 @@ def recorder_tokens(frames: DataFrame, segment: int = 3, stride: int = 1, quantu
     """Distinct (scenario_id, city, token) of short recorder-track segments on the absolute 0.1 s grid.
 
     All rows of a duplicated timestep are dropped; a segment needs consecutive
-    timesteps; positions are rounded half-even to the quantum.
+    timesteps; positions are rounded half-even to the quantum. A recording with a
+    position that is missing or not finite among the rest, or without a finite start, has no token at all, so `check_tokens` names it.
     """
     if segment < 2 or stride < 1:
         raise ValueError("a segment has two frames or more and the stride is positive")
@@ -37,7 +39,9 @@ def recorder_tokens(frames: DataFrame, segment: int = 3, stride: int = 1, quantu
     single = frames.where(c("track_id") == "AV").groupBy("scenario_id", "city", "timestep").agg(
         F.count("*").alias("_n"), F.min("position_x").cast("double").alias("x"),
         F.min("position_y").cast("double").alias("y"), F.min("start_timestamp").alias("start")).where("_n = 1")
-    single = single.withColumns({
+    usable = F.coalesce(finite(c("x")) & finite(c("y")) & finite(c("start").cast("double")), F.lit(False))
+    whole = F.min(usable.cast("int")).over(W.partitionBy("scenario_id", "city"))
+    single = single.withColumn("_whole", whole).where("_whole = 1").withColumns({
         "bin": F.rint(c("start").cast("double") / 1e8).cast("bigint") + c("timestep"),
         "qx": F.rint(c("x") / F.lit(quantum)).cast("bigint"), "qy": F.rint(c("y") / F.lit(quantum)).cast("bigint")})
     order = W.partitionBy("scenario_id", "city").orderBy("timestep")
@@ -77,35 +81,37 @@ def _links(meta: DataFrame, tokens: DataFrame | None) -> DataFrame:
     return keyed
 
 
+def _signed() -> tuple[Column, Column]:
+    """Number of edges and an order-free sum over them."""
+    return F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sign")
+
+
 def connect(links: DataFrame) -> DataFrame:
     """Smallest scenario of the connected component of every scenario: (scenario_id, root).
 
-    The memberships are read once: each key links its scenarios to the
-    smallest of them, so a key shared by very many scenarios adds one edge per
-    scenario and no pairs. The much smaller edge table is then contracted by
-    alternating large-star and small-star steps, logarithmic in the length of
-    a chain. Minima are partial aggregates; every round is written to the
-    shared folder, which cuts the lineage.
+    The memberships are written once. Each key links its scenarios to the smallest of them, so a key shared by very
+    many scenarios adds one edge per scenario and no pairs. The much smaller edge table is then contracted by
+    alternating large-star and small-star steps, logarithmic in the length of a chain. Minima and numbers of neighbours are
+    partial aggregates; the joins that bring them back to the edges know these numbers and leave the rows of hubs in place (`matched`). Each
+    step is written to the shared folder, which cuts the lineage and measures its edges; the end is a round that changes nothing.
     """
-    hubs = links.groupBy("key").agg(F.min("scenario_id").alias("v"))
-    edges = links.join(hubs, "key").where("scenario_id <> v").select(F.col("scenario_id").alias("u"), "v").distinct()
-    edges = staged(edges, "links")
+    members, found = staged_with(links.select("scenario_id", "key"), "memberships", F.count(F.lit(1)).alias("n"))
+    hubs = members.groupBy("key").agg(F.min("scenario_id").alias("v"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = matched(members, hubs, "key", "_n", found["n"]).where("scenario_id <> v").select(F.col("scenario_id").alias("u"), "v").distinct()
+    edges, now = staged_with(first, "links", *_signed())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(
-            "u <> v").distinct()
-        oriented = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        low = oriented.groupBy("u").agg(F.min("v").alias("m"))
-        small = oriented.join(low, "u")
-        moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, edges = edges, staged(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        large = matched(both, low, "u", "_n", 2 * now["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        middle, size = staged_with(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "stars", *_signed())
+        low = middle.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        moved = matched(middle, low, "u", "_n", size["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, last = edges, now
+        edges, now = staged_with(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links", *_signed())
+        discard(middle)
         discard(before)
-        # Done when every scenario has one parent and no parent has a parent.
-        parents = edges.groupBy("u").agg(F.count("*").alias("n"))
-        chained = edges.select(F.col("v").alias("u")).distinct().join(parents.select("u"), "u", "left_semi")
-        if parents.where("n > 1").limit(1).count() == 0 and chained.limit(1).count() == 0:
-            everyone = links.select("scenario_id").distinct()
+        if now == last:
+            everyone = members.select("scenario_id").distinct()
             return everyone.join(edges.select(F.col("u").alias("scenario_id"), F.col("v").alias("root")),
                                  "scenario_id", "left").withColumn("root", F.coalesce("root", "scenario_id"))
 
@@ -118,9 +124,9 @@ def components(meta: DataFrame, tokens: DataFrame | None) -> DataFrame:
     if tokens is not None:
         audit.require(check_tokens(meta, tokens))
     roots = connect(_links(meta, tokens))
-    df = meta.join(roots, "scenario_id")
-    names = df.groupBy("root").agg(F.min(GROUP_KEYS[0]).alias("split_group_id"))
-    return df.join(names, "root").drop("root")
+    df, size = staged_with(meta.join(roots, "scenario_id"), "rooted", F.count(F.lit(1)).alias("n"))
+    names = df.groupBy("root").agg(F.min(GROUP_KEYS[0]).alias("split_group_id"), F.count(F.lit(1)).alias("_n"))
+    return matched(df, names, "root", "_n", size["n"]).drop("root", "_n")
 
 
 def precomputed_components(meta: DataFrame, column: str) -> DataFrame:

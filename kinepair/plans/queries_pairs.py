@@ -21,7 +21,7 @@ PAIR = ["scenario_id", "a_track_id", "b_track_id"]
   where src < dst""")
 def g01(spark, d):
     n = stages.nodes(spark, d).select("scenario_id", "track_id", "cur_x", "cur_y")
-    p = pairs.radius_pairs(n, 60.0, salts=2)
+    p = pairs.radius_pairs(n, 60.0)
     dx, dy = F.col("b_cur_x") - F.col("a_cur_x"), F.col("b_cur_y") - F.col("a_cur_y")
     return p.select(*PAIR, r6(F.sqrt(dx * dx + dy * dy)).alias("d"))
 

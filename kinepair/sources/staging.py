@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
 
@@ -43,6 +43,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def staged_with(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """`staged`, and aggregates over the rows taken while they are written."""
+    seen = Observation()
+    table = staged(df.observe(seen, *measures), name)
+    return table, seen.get
+
+
 def discard(table: DataFrame) -> None:
     """Deletes the folder of a `staged` table that nothing will read again."""
     session = table.sparkSession

@@ -97,12 +97,12 @@ def test_missing_window_frame_gives_zero_residual(spark):
     assert p.relative_motion_window_valid == 0.0 and p.relative_residual_los_dct2 == 0.0
 
 
-@pytest.mark.parametrize("salts", [1, 3])
-def test_radius_join_equals_brute_force(spark, salts):
+@pytest.mark.parametrize("crowd", [512, 3])
+def test_radius_join_equals_brute_force(spark, crowd):
     rng = np.random.default_rng(5)
     pts = [("s%d" % (i % 2), f"k{i:03d}", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-200, 200, (150, 2)))]
     df = spark.createDataFrame(pts, "scenario_id string, track_id string, cur_x double, cur_y double")
-    got = {(r.a_track_id, r.b_track_id) for r in pairs.radius_pairs(df, 60.0, salts=salts).collect()}
+    got = {(r.a_track_id, r.b_track_id) for r in pairs.radius_pairs(df, 60.0, crowd=crowd).collect()}
     want = {(a[1], b[1]) for a in pts for b in pts if a[0] == b[0] and a[1] < b[1] and math.hypot(a[2] - b[2], a[3] - b[3]) <= 60}
     assert got == want
 
