@@ -30,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` once to the shared folder and returns the written table.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes `df` once to the shared folder, in folders by the value of a column if one is named, and returns the written table.
 
     Survives lost executors, prunes columns on reading, and gives the planner
     real sizes, so it decides itself whether a side may be broadcast.
     """
     path = f"{shared_dir(df.sparkSession)}/kinepair/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._staged_path = path
     return table
