@@ -1,13 +1,19 @@
 """Gated recurrent language model with a class-factored softmax, in numpy.
 
 A symbol's probability is that of its class given the state, times that of the symbol within its class given the
-state. Classes are equally large runs of the symbols' frequency order. Documents run in
-lanes, longest first, so that the lanes still running are always the first ones. The state
+state. Classes are equally large runs of the symbols' frequency order. The state
 is carried from window to window to a document's end; gradients stop at a window's start.
+
+For scoring, documents run in lanes, longest first, so that the lanes still running are always the first ones. For training, a lane goes on with
+another document when one ends, from a state of its own; documents are dealt so that lanes are about equally long, so nearly all steps see all
+lanes. One that is longer than all others go on alone is scaled by the full window, so its last steps are small, and gradients are clipped.
+
+Defined results: a document without symbols adds nothing; no documents leave the weights as they are.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,14 +61,18 @@ def windows(docs: list[np.ndarray], lanes: int, length: int) -> Iterator[tuple[b
             yield start == 0, np.ascontiguousarray(block.T), mine[:live]
 
 
-def run(p: Params, inputs: np.ndarray, state: np.ndarray, back: bool = False) -> tuple[np.ndarray, list[tuple]]:
-    """States before and after each step (steps + 1, lanes, hidden) and, with `back`, what going back needs."""
+def run(p: Params, inputs: np.ndarray, state: np.ndarray, back: bool = False, keep: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple]]:
+    """States before and after each step (steps + 1, lanes, hidden) and, with `back`, what going back needs.
+
+    Where `keep` is false, a lane goes into the step with an empty state.
+    """
     steps, hidden = len(inputs), state.shape[1]
     states = np.empty((steps + 1, *state.shape), dtype=p["U"].dtype)
     states[0], kept = state, []
     for t in range(steps):
         fixed = np.take(p["E"], inputs[t], axis=0)
-        moved = states[t] @ p["U"]
+        was = states[t] if keep is None else states[t] * keep[t][:, None]
+        moved = was @ p["U"]
         gate = _sigmoid(fixed[:, :2 * hidden] + moved[:, :2 * hidden])
         r, z, m = gate[:, :hidden], gate[:, hidden:], moved[:, 2 * hidden:]
         n = r * m
@@ -72,11 +82,11 @@ def run(p: Params, inputs: np.ndarray, state: np.ndarray, back: bool = False) ->
         n = _sigmoid(n)
         n *= 2
         n -= 1
-        new = np.subtract(states[t], n, out=states[t + 1])
+        new = np.subtract(was, n, out=states[t + 1])
         new *= z
         new += n
         if back:
-            kept.append((r, z, n, m))
+            kept.append((r, z, n, m, was))
     return states, kept
 
 
@@ -141,16 +151,53 @@ def score(p: Params, docs: list[np.ndarray], lanes: int = 1024, length: int = 32
     return total
 
 
-def train(p: Params, docs: list[np.ndarray], cache: Params | None = None, lanes: int = 128, length: int = 24, rate: float = 0.08) -> Params:
+def dealt(sizes: list[int], lanes: int) -> list[list[int]]:
+    """Documents of each lane: longest first to the shortest lane, then in the order given; longest lanes first."""
+    loads = [(0, k) for k in range(min(lanes, len(sizes)))]
+    out: list[list[int]] = [[] for _ in loads]
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        load, k = heapq.heappop(loads)
+        out[k].append(i)
+        heapq.heappush(loads, (load + sizes[i], k))
+    return sorted((sorted(mine) for mine in out), key=lambda mine: -sum(sizes[i] for i in mine))
+
+
+def streams(docs: list[np.ndarray], lanes: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, begins): windows of `length` steps over all lanes still running, padded with -1; `begins` marks first symbols of documents."""
+    plan = dealt([len(d) for d in docs], lanes)
+    runs = [np.concatenate([docs[i] for i in mine]) for mine in plan]
+    marks = []
+    for mine, run in zip(plan, runs):
+        mark = np.zeros(len(run), dtype=bool)
+        at = np.cumsum([0, *(len(docs[i]) for i in mine)])
+        mark[at[at < len(run)]] = True
+        marks.append(mark)
+    sizes = np.array([len(r) for r in runs])
+    for start in range(0, int(sizes.max(initial=0)), length):
+        live = int((sizes > start).sum())
+        steps = min(length, int(sizes[0]) - start)
+        block, begins = np.full((live, steps), -1, dtype=np.int64), np.zeros((live, steps), dtype=bool)
+        for k in range(live):
+            part = runs[k][start:start + length]
+            block[k, :len(part)], begins[k, :len(part)] = part, marks[k][start:start + length]
+        yield np.ascontiguousarray(block.T), np.ascontiguousarray(begins.T)
+
+
+def fresh_cache(p: Params) -> Params:
+    return {k: np.full_like(v, 1e-8) for k, v in p.items()}
+
+
+def train(p: Params, docs: list[np.ndarray], cache: Params | None = None, lanes: int = 256, length: int = 24, rate: float = 0.08, clip: float = 1.0) -> Params:
     """One pass of truncated backpropagation over the documents, in place, with steps by Adagrad; returns its cache."""
-    cache = cache or {k: np.full_like(v, 1e-8) for k, v in p.items()}
+    cache = cache or fresh_cache(p)
     hidden = p["U"].shape[0]
-    for first, block, rows in windows(docs, lanes, length):
-        live = len(rows)
-        if first:
-            state, before = np.zeros((live, hidden), dtype=np.float32), np.full(live, -1)
-        inputs = _inputs(block, before[:live])
-        states, kept = run(p, inputs, state[:live], back=True)
+    docs = [d for d in docs if len(d)]
+    lanes = max(1, min(lanes, len(docs)))
+    state, before = np.zeros((lanes, hidden), dtype=np.float32), np.full(lanes, -1)
+    for block, begins in streams(docs, lanes, length):
+        live = block.shape[1]
+        inputs = np.where(begins, START, _inputs(block, before[:live]))
+        states, kept = run(p, inputs, state[:live], back=True, keep=~begins)
         step, lane = np.nonzero(block >= 0)
         grads = {k: np.zeros_like(v) for k, v in p.items() if k != "E"}
         _, back = output(p, states[step + 1, lane], block[step, lane], grads)
@@ -158,27 +205,30 @@ def train(p: Params, docs: list[np.ndarray], cache: Params | None = None, lanes:
         dh[step, lane] = back
         moved, carry = np.empty((*inputs.shape, 3 * hidden), dtype=np.float32), np.zeros_like(state[:live])
         for t in range(len(inputs) - 1, -1, -1):
-            r, z, n, m = kept[t]
+            r, z, n, m, was = kept[t]
             d = dh[t] + carry
             dn = d * (1 - z) * (1 - n * n)
             g = moved[t]
             g[:, :hidden] = dn * m * r * (1 - r)
-            g[:, hidden:2 * hidden] = d * (states[t] - n) * z * (1 - z)
+            g[:, hidden:2 * hidden] = d * (was - n) * z * (1 - z)
             g[:, 2 * hidden:] = dn
             through = g.copy()
             through[:, 2 * hidden:] *= r
-            grads["U"] += states[t].T @ through
-            carry = d * z + through @ p["U"].T
+            grads["U"] += was.T @ through
+            carry = (d * z + through @ p["U"].T) * ~begins[t][:, None]
         flat, at = moved.reshape(-1, 3 * hidden), inputs.ravel()
         order = np.argsort(at, kind="stable")
         rows_at, starts = np.unique(at[order], return_index=True)
         # By the full window, so that the last lanes of long documents do not step as far as all together.
         scale = np.float32(1 / (lanes * length))
         table = np.add.reduceat(flat[order], starts) * scale
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()) * float(scale) ** 2 + float(np.vdot(table, table)))
+        held = np.float32(min(1.0, clip / norm) if norm > 0 else 1.0)
+        table *= held
         cache["E"][rows_at] += table * table
         p["E"][rows_at] -= rate * table / np.sqrt(cache["E"][rows_at])
         for k, g in grads.items():
-            g *= scale
+            g *= scale * held
             cache[k] += g * g
             p[k] -= rate * g / np.sqrt(cache[k])
         state, before = states[-1], block[-1]

@@ -3,14 +3,14 @@
 Word counts are taken over all training documents. The most frequent words are symbols of
 their own; every other word belongs to one of BUCKETS rare symbols by its last three bytes and, within it, has the
 share of its count (plus a half, and one such half for all words never seen), so every word of a text gets its probability. The
-network (see `gru`) models the symbols. It is learned in SLICES rounds; in each, one slice
-of the training documents, all of which are in a slice, is dealt to tasks of about TASK_BYTES, every task trains from the same weights, and the weights are
-averaged by the symbols seen. What is learned from thus grows with the input, and no task or driver holds more than its share.
+network (see `gru`) models the symbols. The training documents are read once into symbols, which are written. The network is learned in SLICES rounds; in each, one slice
+of these documents, all of which are in a slice, is dealt to tasks of about TASK_TOKENS, every task trains from the same weights and the same sums of squared
+gradients, and both are averaged by the symbols seen. Rates fall from round to round, so no single slice decides. What is learned from thus grows with the input, and no task or driver holds more than its share.
 
 Counts of up to HEAD frequent words travel with the job; the others, which are most words but few occurrences, are
 looked up by a join.
 
-Defined results: a null or empty text is scored as its end alone; repeated rows are scored each; a null id counts as
+Defined results: a null or empty text is scored as its end alone; a very long text is read and scored whole, and in training its last steps alone weigh little; repeated rows are scored each; a null id counts as
 the empty string in the split; an empty table gives an empty result; without training documents every symbol is equally likely; further columns are ignored.
 """
 
@@ -28,15 +28,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinepair.llm import gru
+from kinepair.llm import gru, phrases
 from kinepair.llm.common import Shipped
-from kinepair.sources.staging import staged
+from kinepair.sources.staging import discard, staged, staged_with
 
 HELD_OUT, FOLDS = 1, 5
 SYMBOLS, BUCKETS, CLASSES, HIDDEN = 2048, 512, 32, 16
 #: Words whose counts are sent along: at most so many.
 HEAD = 300_000
-SLICES, TASK_BYTES = 16, 8 << 20
+SLICES, TASK_TOKENS = 16, 1_200_000
+#: First rate of the steps, and the rounds after which it is half of that.
+RATE, SLOWING = 0.08, 16
+#: Rows read together.
+RUN = 1024
+_SPACES = np.zeros(256, dtype=np.uint8)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = 1
 #: Weights that are averaged in one piece.
 PART = 4096
 END = b"\n"
@@ -136,34 +142,85 @@ class Lexicon:
         self.symbol = np.array([place[known[w]] if w in known else place[SYMBOLS - BUCKETS + bucket(w)] for w, _ in pairs] + [0], dtype=np.int64)
         self.end = int(place[0])
 
-    def read(self, text: bytes | None) -> tuple[np.ndarray, dict]:
-        """Symbols of a text and what is known of it without the network; `tail` holds the words to be looked up."""
-        words = tokens(text)
-        get = self.rank.get
-        at = np.array([get(w, -1) for w in words], dtype=np.int64)
-        symbols, buckets, known = self.symbol[at], self.word_bucket[at], at >= 0
-        tail: Counter[bytes] = Counter()
-        for i in np.flatnonzero(~known).tolist():
-            w = words[i]
-            if w == END:
-                symbols[i], buckets[i] = self.end, -1
-            else:
-                b = zlib.crc32(w[-3:]) % BUCKETS
-                symbols[i], buckets[i] = self.rare_symbol[b], b
-                tail[w] += 1
-        logs = np.log10(self.n[at] + 0.5)
-        rare, alone = buckets >= 0, ~known & (buckets < 0)
-        return symbols, {"n_tokens": len(words), "n_known": int(known.sum()), "base": float(logs[known | alone].sum()),
-                         "rare": float(logs[rare & known].sum() - self.rare_log[buckets[rare]].sum()), "tail": tail}
-
+    def index(self) -> None:
+        """Codes of the frequent words in order, for `read`."""
+        words = list(self.rank)
+        self.words = words
+        code = _coded([w for w in words if w != END])[3] if len(words) > 1 else np.zeros(0, dtype=np.uint64)
+        of = np.array([self.rank[w] for w in words if w != END], dtype=np.int64)
+        order = np.argsort(code)
+        self.codes, self.at = code[order], of[order]
+        self.logs = np.log10(self.n + 0.5)
+
+    def read(self, texts: list[bytes | None]) -> tuple[list[np.ndarray], dict[str, np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray]]:
+        """Symbols of each text, what is known of it without the network, and the words to be looked up as (text, word, times)."""
+        if not hasattr(self, "codes"):
+            self.index()
+        low, starts, ends, code, owner = _coded(texts)
+        kinds, first, of = np.unique(code, return_index=True, return_inverse=True)
+        near = np.minimum(np.searchsorted(self.codes, kinds), max(0, len(self.codes) - 1))
+        hit = self.codes[near] == kinds if len(self.codes) else np.zeros(len(kinds), dtype=bool)
+        at = np.where(hit, self.at[near] if len(self.codes) else -1, -1)
+        bucket_of, tail = np.empty(len(kinds), dtype=np.int64), {}
+        # Codes only propose; the bytes decide.
+        for k, (s, e, i) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), at.tolist())):
+            word = low[s:e]
+            if i >= 0 and self.words[i] != word:
+                i = self.rank.get(word, -1)
+                at[k] = i
+            if i < 0:
+                bucket_of[k], tail[k] = zlib.crc32(word[-3:]) % BUCKETS, word
+        known = at >= 0
+        bucket_of[known] = self.word_bucket[at[known]]
+        symbol_of = np.where(known, self.symbol[at], self.rare_symbol[np.maximum(bucket_of, 0)])
+        rare = bucket_of >= 0
+        base_of = np.where(known, self.logs[at], 0.0)
+        rare_of = np.where(rare, np.where(known, self.logs[at], 0.0) - self.rare_log[np.maximum(bucket_of, 0)], 0.0)
+        add = lambda v: np.bincount(owner, weights=v[of], minlength=len(texts))
+        n = np.bincount(owner, minlength=len(texts))
+        end = self.rank.get(END, -1)
+        facts = {"n_tokens": n + 1, "n_known": add(known.astype(np.float64)).astype(np.int64) + (end >= 0),
+                 "base": add(base_of) + self.logs[end], "rare": add(rare_of)}
+        # Each text's symbols are followed by the end.
+        flat = np.full(len(of) + len(texts), self.end, dtype=np.int64)
+        flat[np.arange(len(of)) + owner] = symbol_of[of]
+        unknown = ~known[of]
+        pair, times = np.unique(owner[unknown] * max(1, len(kinds)) + of[unknown], return_counts=True)
+        return np.split(flat, np.cumsum(n + 1)[:-1]), facts, (pair // max(1, len(kinds)), [tail[k] for k in (pair % max(1, len(kinds))).tolist()], times)
+
+
+def _coded(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts, and start, end, code and text of each word."""
+    joined = b"\n".join([*(t or b"" for t in texts), b""])
+    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
+    starts, ends, code, _ = phrases.find_words(np.frombuffer(joined, dtype=np.uint8), 1, _SPACES)
+    return joined.lower(), starts, ends, code, np.searchsorted(bounds, starts, side="right")
+
+
+def _symbols(lexicon: Shipped):
+    """Training documents as 16-bit symbols."""
 
-def _train_task(lexicon: Shipped, params: Shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lexicon.get()
-        docs = [words.read(t)[0] for batch in batches for t in _texts(batch)]
+        for batch in batches:
+            texts = _texts(batch, 2)
+            for at in range(0, len(texts), RUN):
+                found = words.read(texts[at:at + RUN])[0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, RUN), batch.column(1).slice(at, RUN), pa.array([x.astype(np.uint16).tobytes() for x in found], pa.binary())], names=["slot", "key", "symbols"])
+
+    return run
+
+
+def _train_task(params: Shipped, rate: float):
+    """Trains weights and step cache on the task's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = [np.frombuffer(x, dtype=np.uint16).astype(np.int64) for batch in batches for x in batch.column(0).to_pylist()]
         if docs:
-            mine = params.get()
-            gru.train(mine, docs)
+            both = params.get()
+            mine, cache = ({k[len(p):]: v for k, v in both.items() if k.startswith(p)} for p in ("p.", "c."))
+            gru.train(mine, docs, cache, rate=rate)
+            mine = {**{f"p.{k}": v for k, v in mine.items()}, **{f"c.{k}": v for k, v in cache.items()}}
             seen = float(sum(map(len, docs)))
             for k, v in mine.items():
                 for at in range(0, v.size, PART):
@@ -187,20 +244,28 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, lexicon: Shipped, frequency: np.ndarray) -> gru.Params:
-    """Weights after all rounds; the driver holds one set of weights."""
+    """Weights after all rounds; the driver holds one set of weights and one of the sums that scale the steps."""
     params = gru.initial(frequency, CLASSES, HIDDEN)
-    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(SLICES))
-    rows = docs.where(fold() != HELD_OUT).select("doc_id", "text", slot.alias("slot"))
-    sizes = {r["slot"]: r["size"] for r in rows.groupBy("slot").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
-    for k in sorted(sizes):
-        tasks = max(1, math.ceil((sizes[k] or 0) / TASK_BYTES))
-        dealt = rows.where(F.col("slot") == k).repartition(tasks, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("text")
-        tried = dealt.mapInArrow(_train_task(lexicon, Shipped(docs.sparkSession, params)), "part string, seen double, data binary")
-        for r in tried.repartition(sum(-(-v.size // PART) for v in params.values()), "part").mapInArrow(_average, "part string, data binary").collect():
+    both = {**{f"p.{k}": v for k, v in params.items()}, **{f"c.{k}": v for k, v in gru.fresh_cache(params).items()}}
+    key = F.xxhash64("doc_id", "text")
+    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(SLICES)).cast("int")
+    rows = docs.where(fold() != HELD_OUT).select(slot.alias("slot"), key.alias("key"), "text")
+    read = rows.mapInArrow(_symbols(lexicon), "slot int, key long, symbols binary").select("slot", "key", "symbols", F.octet_length("symbols").alias("size"))
+    coded, found = staged_with(read, "lm-symbols", *[F.sum(F.when(F.col("slot") == k, F.col("size"))).alias(f"s{k}") for k in range(SLICES)])
+    for k in range(SLICES):
+        if not found[f"s{k}"]:
+            continue
+        tasks = math.ceil(found[f"s{k}"] / 2 / TASK_TOKENS)
+        ship = Shipped(docs.sparkSession, both)
+        dealt = coded.where(F.col("slot") == k).select("key", "symbols").repartition(tasks, "key").sortWithinPartitions("key", "symbols").select("symbols")
+        tried = dealt.mapInArrow(_train_task(ship, RATE / (1 + k / SLOWING)), "part string, seen double, data binary")
+        for r in tried.repartition(tasks, "part").mapInArrow(_average, "part string, data binary").collect():
             name, at = r["part"].split(":")
             v = np.frombuffer(r["data"], dtype=np.float32)
-            params[name].reshape(-1)[int(at):int(at) + len(v)] = v
-    return params
+            both[name].reshape(-1)[int(at):int(at) + len(v)] = v
+        ship.data.destroy()
+    discard(coded)
+    return {k[2:]: v for k, v in both.items() if k.startswith("p.")}
 
 
 _PARTS = "row long, doc_id long, word binary, times long, n_tokens long, n_known long, base double, score double"
@@ -215,24 +280,26 @@ def _score_task(lexicon: Shipped, params: Shipped):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _texts(batch, 1)
             # Runs of rows that keep the symbols and words in memory small.
-            for at in range(0, len(ids), 2048):
-                read = [words.read(t) for t in texts[at:at + 2048]]
-                found = gru.score(weights, [s for s, _ in read]) / math.log(10)
-                rows = [(row + k, i, None, None, f["n_tokens"], f["n_known"], f["base"], s + f["rare"]) for k, (i, (_, f), s) in enumerate(zip(ids[at:at + 2048], read, found.tolist()))]
-                rows += [(row + k, None, w, n, None, None, None, None) for k, (_, f) in enumerate(read) for w, n in f["tail"].items()]
-                row += len(read)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            for at in range(0, len(ids), RUN):
+                symbols, facts, (owner, tail, times) = words.read(texts[at:at + RUN])
+                found = gru.score(weights, symbols) / math.log(10) + facts["rare"]
+                n, m = len(symbols), len(tail)
+                mine = row + np.arange(n)
+                columns = (np.concatenate([mine, mine[owner]]), [*ids[at:at + RUN], *[None] * m], [*[None] * n, *tail], [*[None] * n, *times.tolist()],
+                           [*facts["n_tokens"].tolist(), *[None] * m], [*facts["n_known"].tolist(), *[None] * m], [*facts["base"].tolist(), *[None] * m], [*found.tolist(), *[None] * m])
+                row += n
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     return run
 
 
-def score(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+def score(docs: DataFrame, counts: DataFrame | None = None, trained: gru.Params | None = None) -> DataFrame:
+    """With the network learned from `docs`, or the one given: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     counts = word_counts(docs) if counts is None else counts
     made = Lexicon(counts)
     total, words = made.total, made.words
     lexicon = Shipped(docs.sparkSession, made)
-    params = Shipped(docs.sparkSession, learn(docs, lexicon, made.frequency))
+    params = Shipped(docs.sparkSession, learn(docs, lexicon, made.frequency) if trained is None else trained)
     parts = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score_task(lexicon, params), _PARTS), "scores")
     # A word outside the head is at most 1 / HEAD-th of the training tokens, so no key of this join is hot but one unseen in training.
     tail = parts.where("word is not null").select("row", "word", "times")

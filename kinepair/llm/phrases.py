@@ -21,6 +21,7 @@ by the phrase's bytes; languages without phrases give no rows; an empty table gi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,22 +75,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def find_words(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@functools.cache
+def _values(seed: int) -> np.ndarray:
+    """A number for each byte, the same for a letter in either case."""
+    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+
+
+def find_words(data: np.ndarray, seed: int, classes: np.ndarray = _CLASS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, hash of each word of the bytes, and whether a piece ends before it; worked through in parts that end between words."""
-    values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
-    out, at, ended = [], 0, True
+    values, out, at, ended = _values(seed), [], 0, True
     while at < len(data):
         stop = min(len(data), at + PART)
         if stop < len(data):
-            gaps = np.flatnonzero(_CLASS[data[at:stop]])
+            gaps = np.flatnonzero(classes[data[at:stop]])
             if len(gaps):
                 stop = at + int(gaps[-1]) + 1
             else:
                 # One word longer than the part: up to its end.
-                while stop < len(data) and not _CLASS[data[stop]]:
+                while stop < len(data) and not classes[data[stop]]:
                     stop += 1
         part = data[at:stop]
-        kind = _CLASS[part]
+        kind = classes[part]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], kind == 0, [False]]).view(np.int8)))
         starts, ends = edge[::2], edge[1::2]
         up, down = _powers(len(part))

@@ -10,9 +10,10 @@ def test_every_training_row_is_learned_from(spark, tmp_path):
     folder = str(tmp_path)
 
     class Seen:
-        def read(self, text):
-            open(f"{folder}/{text.decode()}", "w").close()
-            return (lm_scoring.np.zeros(2, dtype=int), {})
+        def read(self, texts):
+            for text in texts:
+                open(f"{folder}/{text.decode()}", "w").close()
+            return ([lm_scoring.np.zeros(2, dtype=int) for _ in texts], {}, None)
 
     lm_scoring.learn(docs, Shipped(spark, Seen()), lm_scoring.np.ones(lm_scoring.SYMBOLS))
     want = {r["text"] for r in docs.where(lm_scoring.fold() != lm_scoring.HELD_OUT).collect()}

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import sentencepiece
 from kinepair.llm import gru, lm_scoring, mixing, sentence_pieces
+from kinepair.llm.common import Shipped
 from kinepair.sources.staging import staged
 from pyspark.sql import functions as F
 
@@ -70,6 +71,67 @@ def test_gradients_by_differences():
         assert math.isclose(*seen[k], rel_tol=2e-2, abs_tol=1e-4), seen
 
 
+def test_lanes_go_on_with_further_documents():
+    docs = [np.full(n, k) for k, n in enumerate((3, 9, 1, 4, 4, 2))]
+    seen = Counter()
+    for block, begins in gru.streams(docs, 2, 5):
+        assert block.shape == begins.shape and (block[begins] >= 0).all()
+        seen.update(block[block >= 0].tolist())
+        seen.update(("start", int(k)) for k in block[begins])
+    assert all(seen[k] == len(d) and seen["start", k] == 1 for k, d in enumerate(docs))
+    assert sorted(i for lane in gru.dealt([3, 9, 1, 4, 4, 2], 2) for i in lane) == list(range(6))
+
+
+def test_training_does_not_hang_on_a_last_long_text():
+    rng = np.random.default_rng(6)
+
+    def text(n):
+        # Symbols that follow each other mostly in a ring, which the network learns.
+        return np.cumsum(rng.choice([1, 1, 1, 5], n)) % 12
+
+    docs, held = [text(40) for _ in range(400)], [text(60) for _ in range(20)]
+    first = gru.initial(np.ones(12), 3, 8)
+    start, losses = gru.score(first, held).sum(), []
+    for extra in ([], [text(6000)]):
+        p = {k: v.copy() for k, v in first.items()}
+        cache = gru.train(p, docs[:200], lanes=32)
+        gru.train(p, docs[200:] + extra, cache, lanes=32)
+        losses.append(gru.score(p, held).sum())
+    assert min(losses) > start * 0.9 and losses[1] > losses[0] * 1.01
+
+
+def test_whole_score_by_hand(spark, sf_dir):
+    """Every part of the score of every document, with the network run one step at a time."""
+    docs = odd_documents(spark).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 25").withColumn("doc_id", F.col("doc_id") + 100), allowMissingColumns=True)
+    rows = [(r["doc_id"], (r["text"] or "")[:600]) for r in docs.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = lm_scoring.Lexicon(lm_scoring.word_counts(docs))
+    params = lm_scoring.learn(docs, Shipped(spark, lexicon), lexicon.frequency)
+    wide = {k: v.astype(np.float64) for k, v in params.items()}
+    counts = Counter(w for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for w in [*lowered(t), b"\n"])
+    own = [b"\n", *sorted((w for w in counts if w != b"\n"), key=lambda w: (-counts[w], w))][:lm_scoring.SYMBOLS - lm_scoring.BUCKETS]
+    rare = [w for w in counts if w not in own]
+    sizes = [(sum(counts[w] for w in rare if lm_scoring.bucket(w) == b), sum(lm_scoring.bucket(w) == b for w in rare)) for b in range(lm_scoring.BUCKETS)]
+    totals = [counts[w] for w in own] + [0] * (lm_scoring.SYMBOLS - lm_scoring.BUCKETS - len(own)) + [n for n, _ in sizes]
+    place = {k: i for i, k in enumerate(np.argsort(-np.array(totals), kind="stable").tolist())}
+    got = Counter((r["doc_id"], round(r["score"], 2)) for r in lm_scoring.score(docs, trained=params).collect())
+    want = []
+    for i, t in rows:
+        words, more = [*lowered(t), b"\n"], 0.0
+        symbols = []
+        for w in words:
+            if w in own:
+                symbols.append(place[own.index(w)])
+            else:
+                b = lm_scoring.bucket(w)
+                symbols.append(place[lm_scoring.SYMBOLS - lm_scoring.BUCKETS + b])
+                more += math.log10(counts[w] + 0.5) - math.log10(sizes[b][0] + 0.5 * (sizes[b][1] + 1))
+        want.append((i, score_by_hand(wide, symbols) / math.log(10) + more))
+    assert len(want) == sum(got.values())
+    for i, s in want:
+        assert any(k[0] == i and abs(k[1] - s) < 0.02 + 1e-4 * abs(s) for k in got), (i, s)
+
+
 def base_by_hand(rows):
     split = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows}
     counts = Counter(w for i, t in rows if not split[i] for w in [*lowered(t), b"\n"])
@@ -95,8 +157,9 @@ def test_scores_with_and_without_head(spark, sf_dir, monkeypatch, head):
     assert lm_scoring.score(empty_documents(spark)).count() == 0
 
 
-def test_model_beats_base_on_held_out_text(spark):
-    got = lm_scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_model_beats_base_on_held_out_text(spark, sf):
+    got = lm_scoring.score(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
 
 
