@@ -1,9 +1,10 @@
 """Quality classifier: support vectors on naive Bayes features.
 
 A text is the set of its n-grams over character classes (letters by case, digits, white space, every ASCII
-sign by itself; n up to 3), each with a second indicator for n-grams that are frequent in it, and of
-indicators for words that repeat. Indicators are scaled by their class log-count ratio, rows by their
-length, and a linear hinge-loss model is fitted by dual coordinate descent. Margins become
+sign by itself; n up to 3), each with a second indicator for n-grams that are frequent in it, of
+indicators for words that repeat, and of its words, word pairs and runs of LETTERS bytes, hashed into SLOTS places each.
+Indicators are scaled by their class log-count ratio, the shapes and the wording each by its
+length, the wording at WORDING of the weight, as it is much of it; and a linear hinge-loss model is fitted by dual coordinate descent. Margins become
 probabilities by a sigmoid fitted on margins of held-out rows.
 
 The fit sees at most `max_rows` labelled documents, chosen by a hash of their id; this is the only bound, and
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinepair.llm import phrases
+
 #: Labelled documents that a fit uses at most.
 MAX_ROWS = 12_000
 HELD_OUT, FOLDS = 2, 4
@@ -55,11 +58,32 @@ CLASSES = _classes()
 #: Indicators: n-grams of 64 classes for n = 1, 2, 3, again for frequent ones, then the word indicators.
 GRAMS = 64 + 64 ** 2 + 64 ** 3
 WORDS = 2 * GRAMS
-SIZE = WORDS + 48
+SHAPES = WORDS + 48
+#: Bytes of a letter run, places for each kind of wording, and the weight of all wording.
+LETTERS, SLOTS, WORDING = 4, 1 << 16, 0.5
+SIZE = SHAPES + 3 * SLOTS
+_SPACES = np.zeros(256, dtype=np.uint8)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = 1
+
+
+def _wording(text: bytes) -> list[np.ndarray]:
+    """Sorted places of words, word pairs and letter runs."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    codes = phrases.find_words(data, 1, _SPACES)[2] if len(data) else np.zeros(0, dtype=np.uint64)
+    runs = np.zeros(max(0, len(data) - LETTERS + 1), dtype=np.uint64)
+    low = phrases._LOWER[data].astype(np.uint64)
+    for k in range(LETTERS if len(runs) else 0):
+        runs |= low[k:k + len(runs)] << np.uint64(8 * k)
+    out = []
+    for k, hashes in enumerate((codes, phrases.phrase_key(codes, 2), runs)):
+        found = np.zeros(SLOTS, dtype=bool)
+        found[phrases.mixed(hashes) >> np.uint64(64 - SLOTS.bit_length() + 1)] = True
+        out.append(np.flatnonzero(found) + (SHAPES + k * SLOTS))
+    return out
 
 
 def indicators(text: bytes) -> np.ndarray:
-    """Sorted numbers of the indicators that are set."""
+    """Numbers of the indicators that are set, those of the wording last."""
     c = CLASSES[np.frombuffer(text, dtype=np.uint8)]
     out, first = [], 0
     for n in (1, 2, 3):
@@ -74,6 +98,7 @@ def indicators(text: bytes) -> np.ndarray:
     if words:
         same = sum(map(operator.eq, words, words[1:])) / len(words)
         out.append(np.array([WORDS + int(15 * same), WORDS + 16 + int(15 * len(set(words)) / len(words)), WORDS + 32 + min(15, len(words).bit_length())]))
+    out += _wording(text)
     return np.concatenate(out).astype(np.int32) if out else np.zeros(0, dtype=np.int32)
 
 
@@ -88,11 +113,14 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def scaled(row: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    values = ratio[row]
-    return values / (np.sqrt(values @ values) or 1.0)
+    values = ratio[row].astype(np.float64)
+    cut = int((row < SHAPES).sum())
+    for part, weight in ((values[:cut], 1.0), (values[cut:], WORDING)):
+        part *= weight / (np.sqrt(part @ part) or 1.0)
+    return values
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> np.ndarray:
+def descend(rows: list[np.ndarray], ratio: np.ndarray, labels: np.ndarray, seed: int = 7) -> np.ndarray:
     """Weights (last one the bias) of the hinge-loss model: each step solves one dual variable exactly.
 
     Errors of the rarer class weigh more, so that both classes weigh alike.
@@ -103,7 +131,9 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray
     w, alpha, rng = np.zeros(SIZE + 1), np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(ROUNDS):
         for i in rng.permutation(len(rows)):
-            row, v = rows[i], values[i]
+            # Values are made anew each time, so only the indicators are held.
+            row = rows[i]
+            v = scaled(row, ratio)
             gradient = y[i] * (w[row] @ v + w[SIZE]) - 1.0
             new = min(max(alpha[i] - gradient / (v @ v + 1.0), 0.0), bound[i])
             if new != alpha[i]:
@@ -143,10 +173,10 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
     else:
         seen = held = np.arange(len(rows))
     ratio = log_count_ratio([rows[i] for i in seen], y[seen])
-    w = descend([rows[i] for i in seen], [scaled(rows[i], ratio) for i in seen], y[seen])
+    w = descend([rows[i] for i in seen], ratio, y[seen])
     slope, offset = sigmoid_fit(np.array([w[rows[i]] @ scaled(rows[i], ratio) + w[SIZE] for i in held]), y[held])
     ratio = log_count_ratio(rows, y)
-    w = descend(rows, [scaled(r, ratio) for r in rows], y)
+    w = descend(rows, ratio, y)
     return {"ratio": ratio.astype(np.float32), "w": w.astype(np.float32), "slope": slope, "offset": offset}
 
 
