@@ -174,6 +174,10 @@ def _write(folder: str):
     return run
 
 
+#: Frames that a task reads.
+TASK_FRAMES = 64
+
+
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html, refers_to: the id of the response that holds an equal payload, else null."""
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha2(whole_text("html").cast("binary"), 256).alias("sha"))
@@ -216,14 +220,20 @@ def _read(folder: str):
 
 def read_archive(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """All records of the bundles in the index, frame by frame."""
-    frames = index.groupBy("bundle", "frame").agg(F.lit(None).cast("array<int>").alias("starts"))
-    return frames.mapInArrow(_read(folder), RECORD)
+    return _dealt(index.groupBy("bundle", "frame").agg(F.lit(None).cast("array<int>").alias("starts"))).mapInArrow(_read(folder), RECORD)
+
+
+def _dealt(frames: DataFrame) -> DataFrame:
+    """Frames dealt over tasks of at most TASK_FRAMES or so, all of about one size: the list of frames is tiny next to what they hold, so its size says nothing."""
+    listed = staged(frames, "warc-frames")
+    tasks = max(1, listed.sparkSession.sparkContext.defaultParallelism, -(-listed.count() // TASK_FRAMES))
+    return listed.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame")
 
 
 def read_records(folder: str, index: DataFrame, wanted: DataFrame) -> DataFrame:
     """The records of the wanted page_ids only, each frame that holds some read once."""
     chosen = index.join(wanted.select("page_id").distinct(), "page_id", "left_semi")
-    return chosen.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("start")).alias("starts")).mapInArrow(_read(folder), RECORD)
+    return _dealt(chosen.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("start")).alias("starts"))).mapInArrow(_read(folder), RECORD)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
