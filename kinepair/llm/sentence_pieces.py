@@ -20,7 +20,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import zlib
 from collections import Counter
@@ -384,17 +383,14 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
     spark = docs.sparkSession
     model = model or Model.load(MODEL)
     table = dictionary(distinct_words(docs), model)
-    # Shuffle files of the count are no longer needed; Spark deletes them once nothing refers to them.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     head = head_of(table, HEAD)
     words = Shipped(spark, [w for w, _ in head])
     ids = Shipped(spark, [np.array(model.encode_word(w, p), dtype="<i4").tobytes() for w, p in head])
     del head
-    # Rows meet their further words by id and text; equal rows share them.
+    # Rows meet their further words by id and text; equal rows share them, so a key's words are a set.
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "text")
     further = rows.select("key", "text").mapInArrow(_further(words), "key long, place int, word string")
-    more = further.join(table.select("word", "places"), "word", "left").groupBy("key").agg(F.collect_list(F.struct("place", "word", "places")).alias("more"))
+    more = further.join(table.select("word", "places"), "word", "left").groupBy("key").agg(F.collect_set(F.struct("place", "word", "places")).alias("more"))
     codes = rows.mapInArrow(_codes(words), "key long, doc_id long, codes binary, check long")
     joined = codes.join(more, "key", "left").select("doc_id", "codes", "check", "more")
     return joined.mapInArrow(_assemble(ids, Shipped(spark, model)), "doc_id long, ids array<int>, round_trip boolean")
