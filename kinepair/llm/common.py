@@ -38,6 +38,22 @@ class Shipped:
         return pickle.loads(self.data.value)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that the table does not have yet, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_of_each(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """One `row` (a struct) of each key, that with the least hash; chosen before the shuffle, so a key may hold most of the rows."""
+    return rows.groupBy(*keys).agg(F.min_by(row, F.xxhash64(row)).alias(row)).select(f"{row}.*")
+
+
 def skew_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
     """`left` with the columns of its row in `right`, null where there is none.
 

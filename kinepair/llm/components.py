@@ -1,11 +1,14 @@
-"""Connected components by alternating star contraction on written edge tables."""
+"""Connected components by alternating star contraction on written edge tables.
+
+Defined results: edges with a null end or with two equal ends add nothing; repeated edges count once; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinepair.sources.staging import discard, staged
+from kinepair.sources.staging import discard, staged_with
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,15 +29,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an undirected edge table (a, b): the smallest node reachable.
 
-    Rounds go on until a round changes nothing; each is written to the shared folder, so lost executors cost one round.
+    Rounds go on until a round changes nothing; each is written to the shared folder, so lost executors cost one round, and
+    measured while it is written.
     """
-    now = staged(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    sign = None
-    while True:
-        before, now = now, staged(_star(_star(now, True), False), "stars")
+    sign = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sign"))
+    first = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, found = staged_with(first, "links", *sign)
+    while found["n"]:
+        before, last = now, found
+        now, found = staged_with(_star(_star(now, True), False), "stars", *sign)
         discard(before)
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if found == sign:
+        if found == last:
             break
-        sign = found
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from kinepair.llm.common import skew_lookup, whole_text
+from kinepair.llm.common import one_of_each, skew_lookup, whole_text
 from kinepair.sources.staging import shared_dir, staged
 
 #: Bytes of text that an owner task is meant for, and entries of a bucket before it is split.
@@ -230,5 +230,6 @@ def dedup(docs: DataFrame, folder: str | None = None, rows: bool = False) -> Dat
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    return dedup(docs, rows=True).where("kept").select("row.*")
+    """One row of each group of equal texts, with all its columns: of those with the largest id, or of all if none has one, a single row."""
+    kept = dedup(docs, rows=True).where("kept")
+    return kept.where("group_size = 1").select("row.*").unionByName(one_of_each(kept.where("group_size > 1"), ["text_sha256"], "row"))

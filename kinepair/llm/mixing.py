@@ -4,7 +4,7 @@ Leaves are (domain, lang, source). A budget of tokens goes down the tree by weig
 never gets more than its leaves hold in MAX_EPOCHS passes. What a short child cannot take
 goes to its siblings, in proportion to their weights, and only what a whole family cannot
 take has gone to the family's own siblings before. Within a leaf, documents
-are put in an order seeded by leaf, epoch and id, epoch after epoch, and the shortest prefix that reaches the
+are put in an order seeded by epoch and id, epoch after epoch, and the shortest prefix that reaches the
 budget is taken. A row's place comes from its id; rows without an id, and repeats, are told apart by leaf, digest of the text and a number among whole repeats.
 
 The order is needed only in one place: hash buckets of the order are summed first, buckets wholly inside the
@@ -119,7 +119,8 @@ def select(docs: DataFrame, budget: int | None = None, share_percent: int = SHAR
     used_tokens is what of the document lies within the leaf's budget; it is less than n_tokens only at
     the end of the prefix. The budget is `share_percent` of all tokens if not given.
     """
-    return _taken(docs.withColumn("_row", F.monotonically_increasing_id()), budget, share_percent, weights, domains, max_epochs).drop("_row")
+    own = docs.select("doc_id", "text", "lang", "source", F.monotonically_increasing_id().alias("_row"))
+    return _taken(own, budget, share_percent, weights, domains, max_epochs).drop("_row")
 
 
 def _taken(docs: DataFrame, budget: int | None = None, share_percent: int = SHARE_PERCENT, weights: dict[str, dict[str, int]] = WEIGHTS,
@@ -162,7 +163,8 @@ def _spread(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents taken, whole, with all their columns, once per epoch in which they are taken."""
-    # Rows are numbered once and written, as ids do not tell them apart.
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    times = _taken(rows, **options).groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    return rows.join(times, "_row").withColumn("_copy", F.explode(F.expr("array_repeat(1, _times)"))).select(*docs.columns)
+    # Rows are numbered once and written, as ids do not tell them apart; their own columns travel apart from the number.
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_all")), "mix-documents")
+    wanted = rows.select("_row", *[F.col("_all")[c].alias(c) for c in ("doc_id", "text", "lang", "source")])
+    times = _taken(wanted, **options).groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    return rows.join(times, "_row").withColumn("_copy", F.explode(F.expr("array_repeat(1, _times)"))).select("_all.*")
