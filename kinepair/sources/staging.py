@@ -43,10 +43,10 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return table
 
 
-def staged_with(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+def staged_with(df: DataFrame, name: str, *measures: Column, by: str | None = None) -> tuple[DataFrame, dict]:
     """`staged`, and aggregates over the rows taken while they are written."""
     seen = Observation()
-    table = staged(df.observe(seen, *measures), name)
+    table = staged(df.observe(seen, *measures), name, by)
     return table, seen.get
 
 
