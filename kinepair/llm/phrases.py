@@ -43,7 +43,7 @@ PIECE = 300_000
 #: Bits of bitmaps: fixed for words; for longer phrases by the number of words within these bounds.
 WORD_BITS, FEWEST_BITS, MOST_BITS = 26, 16, 29
 #: Bytes of text and positions worked on together.
-PART, SLICE, CHUNK, PENDING = 1 << 20, 6 << 20, 1 << 19, 2 << 20
+PART, SLICE, CHUNK, PENDING = 1 << 19, 2 << 20, 1 << 17, 1 << 20
 BLOCKS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -117,12 +117,12 @@ def find_words(data: np.ndarray, seed: int, classes: np.ndarray = _CLASS) -> tup
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(lang, text) of runs of rows of about SLICE bytes."""
-    lang, text = batch.column(0), pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
-    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
+    lang, text = batch.column(0), batch.column(1)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(text):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE)))
-        yield lang.slice(at, stop - at), text.slice(at, stop - at)
+        yield lang.slice(at, stop - at), pc.fill_null(text.slice(at, stop - at).cast(pa.large_binary()), b"")
         at = stop
 
 
