@@ -5,8 +5,9 @@ state. Classes are equally large runs of the symbols' frequency order. The state
 is carried from window to window to a document's end; gradients stop at a window's start.
 
 For scoring, documents run in lanes, longest first, so that the lanes still running are always the first ones. For training, a lane goes on with
-another document when one ends, from a state of its own; documents are dealt so that lanes are about equally long, so nearly all steps see all
-lanes. One that is longer than all others go on alone is scaled by the full window, so its last steps are small, and gradients are clipped.
+another document when one ends, from a state of its own; documents of more than LONGEST symbols are learned from in pieces of that length, each from an
+empty state, and dealt so that lanes are about equally long. So nearly all steps see all lanes; the gradient of the last few is scaled by the full window, so
+their steps are small, and gradients are clipped.
 
 Defined results: a document without symbols adds nothing; no documents leave the weights as they are.
 """
@@ -19,6 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 
 Params = dict[str, np.ndarray]
+LONGEST = 2048
+"""Symbols of a document that training follows in one piece."""
 START = 0
 """Row of the input table for the start of a document; symbol s has row s + 1."""
 
@@ -191,7 +194,7 @@ def train(p: Params, docs: list[np.ndarray], cache: Params | None = None, lanes:
     """One pass of truncated backpropagation over the documents, in place, with steps by Adagrad; returns its cache."""
     cache = cache or fresh_cache(p)
     hidden = p["U"].shape[0]
-    docs = [d for d in docs if len(d)]
+    docs = [d[at:at + LONGEST] for d in docs for at in range(0, len(d), LONGEST)]
     lanes = max(1, min(lanes, len(docs)))
     state, before = np.zeros((lanes, hidden), dtype=np.float32), np.full(lanes, -1)
     for block, begins in streams(docs, lanes, length):

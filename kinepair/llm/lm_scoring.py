@@ -251,13 +251,14 @@ def learn(docs: DataFrame, lexicon: Shipped, frequency: np.ndarray) -> gru.Param
     slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(SLICES)).cast("int")
     rows = docs.where(fold() != HELD_OUT).select(slot.alias("slot"), key.alias("key"), "text")
     read = rows.mapInArrow(_symbols(lexicon), "slot int, key long, symbols binary").select("slot", "key", "symbols", F.octet_length("symbols").alias("size"))
-    coded, found = staged_with(read, "lm-symbols", *[F.sum(F.when(F.col("slot") == k, F.col("size"))).alias(f"s{k}") for k in range(SLICES)])
+    coded, found = staged_with(read, "lm-symbols", *[F.sum(F.when(F.col("slot") == k, F.col("size"))).alias(f"s{k}") for k in range(SLICES)], by="slot")
     for k in range(SLICES):
         if not found[f"s{k}"]:
             continue
         tasks = math.ceil(found[f"s{k}"] / 2 / TASK_TOKENS)
         ship = Shipped(docs.sparkSession, both)
-        dealt = coded.where(F.col("slot") == k).select("key", "symbols").repartition(tasks, "key").sortWithinPartitions("key", "symbols").select("symbols")
+        # A slice is a folder of its own, so its documents are read together without a shuffle.
+        dealt = coded.where(F.col("slot") == k).select("key", "symbols").coalesce(tasks).sortWithinPartitions("key", "symbols").select("symbols")
         tried = dealt.mapInArrow(_train_task(ship, RATE / (1 + k / SLOWING)), "part string, seen double, data binary")
         for r in tried.repartition(tasks, "part").mapInArrow(_average, "part string, data binary").collect():
             name, at = r["part"].split(":")
@@ -279,16 +280,21 @@ def _score_task(lexicon: Shipped, params: Shipped):
         names = [x.split()[0] for x in _PARTS.split(", ")]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _texts(batch, 1)
-            # Runs of rows that keep the symbols and words in memory small.
+            symbols, kept = [], []
+            # Runs of rows keep the words in memory few; the network runs over the symbols of the whole batch, so that its lanes are full.
             for at in range(0, len(ids), RUN):
-                symbols, facts, (owner, tail, times) = words.read(texts[at:at + RUN])
+                found, facts, (owner, tail, times) = words.read(texts[at:at + RUN])
+                symbols += [x.astype(np.uint16) for x in found]
+                kept.append(facts)
+                if tail:
+                    mine = pa.nulls(len(tail), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(row + at + owner), mine, pa.array(tail, pa.binary()), pa.array(times), mine, mine, *[pa.nulls(len(tail), pa.float64())] * 2], names=names)
+            facts = {k: np.concatenate([f[k] for f in kept]) for k in kept[0]} if kept else {}
+            if symbols:
                 found = gru.score(weights, symbols) / math.log(10) + facts["rare"]
-                n, m = len(symbols), len(tail)
-                mine = row + np.arange(n)
-                columns = (np.concatenate([mine, mine[owner]]), [*ids[at:at + RUN], *[None] * m], [*[None] * n, *tail], [*[None] * n, *times.tolist()],
-                           [*facts["n_tokens"].tolist(), *[None] * m], [*facts["n_known"].tolist(), *[None] * m], [*facts["base"].tolist(), *[None] * m], [*found.tolist(), *[None] * m])
-                row += n
+                columns = (row + np.arange(len(ids)), ids, [None] * len(ids), [None] * len(ids), facts["n_tokens"], facts["n_known"], facts["base"], found)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            row += len(ids)
 
     return run
 
