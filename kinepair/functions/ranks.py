@@ -1,9 +1,7 @@
 """Running totals without a single-task window.
 
-Values are first collapsed to distinct ones. Bounds taken from an approximate
-percentile cut the order into slices of similar size; totals of the earlier
-slices are added to a running total within each slice. The bounds only shape
-the work, the totals are exact for any bounds.
+Rows are dealt into slices by ranges of the group and the order, once, and written with the number of their slice; totals of the earlier
+slices are added to a running total within each slice. The ranges only shape the work, the totals are exact for any of them.
 """
 
 from __future__ import annotations
@@ -12,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEAST_SLICES = 256
+from kinepair.sources.staging import staged
+
+LEAST_SLICES = 16
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False,
@@ -20,15 +20,11 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str]
     """Adds `<v>_total`: sum of v over this and all earlier rows of the group, and `<v>_all`, its group total.
 
     `df` has one row per (keys, order); the order column is a number. Without `slices` there are as many as shuffle
-    partitions, LEAST_SLICES at least. `df` is evaluated twice: stage it where that is dear.
+    partitions, LEAST_SLICES at least. `df` is evaluated once, for the written slices.
     """
     slices = slices or max(LEAST_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [i / slices for i in range(1, slices)]
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), cuts, 4096).alias("b")).first()["b"]
-    bounds = sorted(set(found or []))
-    edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.expr("cast(array() as array<double>)")
-    sliced = df.withColumn("_slice", slice_index(F.col(order).cast("double"), edges, len(bounds)))
     direction = F.desc if descending else F.asc
+    sliced = staged(df.repartitionByRange(slices, *keys, F.col(order)).withColumn("_slice", F.spark_partition_id()), "slices")
     sums = sliced.groupBy(*keys, "_slice").agg(*[F.sum(v).alias(f"_{v}_sum") for v in values])
     # At most `slices` rows per group remain in this window.
     group = W.partitionBy(*[F.col(k) for k in keys]) if keys else W.partitionBy(F.lit(0))
@@ -53,13 +49,6 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: list[str]
     }).drop("_slice", *[f"_{v}_before" for v in values])
 
 
-def slice_index(value: Column, edges: Column, count: int) -> Column:
-    """Number of bounds not above the value."""
-    if count == 0:
-        return F.lit(0)
-    return F.size(F.filter(edges, lambda b: b <= value))
-
-
 def running_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, prefix: int = 3) -> DataFrame:
     """Adds `out`: sum of `value` over the rows of the group with a smaller text `order`.
 

@@ -9,6 +9,7 @@ on 60-bit masks of valid and violating steps.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -113,26 +114,56 @@ def dynamic_risk(pairs: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     return summarise_pairs(pairs, risk=cfg, parts=())
 
 
+FRAMES = 60
+
+
+def run_lengths(mask: Column) -> Column:
+    """For each of the 60 future steps the length of the run of set bits that it lies in, 0 for a clear bit."""
+    bits = F.reverse(F.lpad(F.bin(F.coalesce(mask, F.lit(0).cast("bigint"))), FRAMES, "0"))
+    # Every run gives its length once for each of its bits, every clear bit a 0.
+    return F.slice(F.flatten(F.transform(F.split(bits, "0"), lambda run: F.concat(F.array_repeat(F.length(run), F.length(run)), F.array(F.lit(0))))), 1, FRAMES)
+
+
 def risk_grid(pairs: DataFrame, configs: list[RiskConfig]) -> DataFrame:
     """One row per pair and parameter set over shared steps.
 
-    The sets share time step, regression window and run length; pair steps are
-    generated once per set inside the same task, never shuffled.
+    The sets share time step and regression window. Steps are generated once for each pair and limit, whatever the run lengths asked for: the margins of the at
+    most 60 steps are kept in one array, the run around each step comes from the mask of violations, and each run length takes the smallest margin among the
+    steps in runs that are long enough.
     """
     from kinepair.operators.pairs import pair_frames
 
-    shared = {(c.future_dt_seconds, c.closing_speed_window_frames, c.min_risk_consecutive_frames) for c in configs}
+    shared = {(c.future_dt_seconds, c.closing_speed_window_frames) for c in configs}
     if len(shared) != 1:
-        raise ValueError("a grid needs one time step, one regression window and one run length")
-    params = F.array(*[F.struct(
-        F.lit(c.risk_base_distance_m).alias("_base"), F.lit(c.risk_reaction_time_s).alias("_reaction"),
-        F.lit(c.risk_safe_decel_mps2).alias("_decel"), F.lit(c.sha256()).alias("label_config_hash")) for c in configs])
+        raise ValueError("a grid needs one time step and one regression window")
+    limits: dict[tuple, list[RiskConfig]] = {}
+    for c in configs:
+        limits.setdefault((c.risk_base_distance_m, c.risk_reaction_time_s, c.risk_safe_decel_mps2), []).append(c)
+    sets = lambda group: F.array(*[F.struct(F.lit(c.min_risk_consecutive_frames).alias("run"), F.lit(c.sha256()).alias("hash")) for c in group])
+    params = F.array(*[F.struct(*[F.lit(v).alias(p) for p, v in zip(PARAMETERS, limit)], sets(group).alias("_sets")) for limit, group in limits.items()])
     grid = pairs.withColumn("_p", F.explode(params)).select("*", "_p.*").drop("_p")
     ids = [c for c in ("scenario_id", "city", "variant", "a_track_id", "b_track_id") if c in pairs.columns]
-    steps = risk_steps(pair_frames(grid, keep=(*PARAMETERS, "label_config_hash")), configs[0])
-    df = steps.groupBy(*ids, "label_config_hash", *PARAMETERS).agg(*risk_aggregates())
-    return finish_risk(df, configs[0]).withColumnsRenamed(dict(zip(
-        PARAMETERS, ("risk_base_distance_m", "risk_reaction_time_s", "risk_safe_decel_mps2"))))
+    single = replace(configs[0], min_risk_consecutive_frames=1)
+    steps = risk_steps(pair_frames(grid, keep=(*PARAMETERS, "_sets")), single)
+    m, step = F.col("margin"), F.col("t") - OBS_LEN
+    bit = F.expr(f"shiftleft(1L, t - {OBS_LEN})")
+    row = F.struct(m.alias("margin"), step.alias("step"), F.col("closing").alias("closing"), F.col("limit").alias("limit"))
+    df = steps.groupBy(*ids, *PARAMETERS).agg(
+        F.first("_sets").alias("_sets"), F.bit_or(F.when(m.isNotNull(), bit)).alias("_valid_mask"), F.bit_or(F.when(m <= 0, bit)).alias("_bad_mask"),
+        F.collect_list(F.when(m.isNotNull(), row)).alias("_steps"))
+    df = df.withColumns({"_lengths": run_lengths(F.col("_bad_mask")), "_valid_run": longest_run(F.col("_valid_mask")), "_bad_run": longest_run(F.col("_bad_mask"))})
+    each = df.withColumn("_set", F.explode("_sets")).withColumns({"run": F.col("_set.run"), "label_config_hash": F.col("_set.hash")})
+    c = F.col
+    positive, computable = (c("_valid_run") >= c("run")) & (c("_bad_run") >= c("run")), c("_valid_run") >= c("run")
+    # Least margin, then the earliest step.
+    inside = F.array_min(F.filter("_steps", lambda s: F.get(c("_lengths"), s["step"]) >= c("run")))
+    best = F.when(positive, inside).when(computable, F.array_min("_steps"))
+    out = each.withColumns({"_best": best, "dynamic_computable": computable, "label_dynamic_risk": positive.cast("int"),
+                            "violation_run_max": F.when(computable, c("_bad_run")).otherwise(F.lit(0)), "min_risk_consecutive_frames": c("run")})
+    return out.select(*ids, "label_config_hash", c("_base").alias("risk_base_distance_m"), c("_reaction").alias("risk_reaction_time_s"),
+                      c("_decel").alias("risk_safe_decel_mps2"), "min_risk_consecutive_frames", "dynamic_computable", "label_dynamic_risk",
+                      c("_best.margin").alias("dynamic_margin_min"), c("_best.step").alias("dynamic_risk_step"), c("_best.closing").alias("closing_speed_at_risk"),
+                      c("_best.limit").alias("threshold_at_risk"), "violation_run_max")
 
 
 def selected_computable(edges: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinepair import config as cfg
+from kinepair.functions.order import quantiles
 from kinepair.functions.scalar import motion_regime, norm2, ratio
 from kinepair.operators import audit
+from kinepair.sources.staging import staged
 
 
 def supervision_mask(strict: bool = False) -> Column:
@@ -111,9 +113,11 @@ def sample_scenarios(df: DataFrame, rate: float, seed: int) -> DataFrame:
     """Keeps round(n * rate) scenarios, at least one, by hash order; samples of one seed are nested.
 
     The cut is found by counting per hash prefix, so no window spans the
-    table; only the prefix that holds the cut is ranked.
+    table; only the prefix that holds the cut is ranked. `df` has one row per scenario.
     """
-    keyed = df.withColumn("_p", seed_priority(seed, F.col("scenario_id"))).withColumn("_b", F.substring("_p", 1, 3))
+    # Ids and hashes only are written and ranked; the rows are joined once at the end.
+    names = df.select("scenario_id").withColumn("_p", seed_priority(seed, F.col("scenario_id")))
+    keyed = staged(names.withColumn("_b", F.substring("_p", 1, 3)), "sample-keys")
     counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
     # At most 4096 prefixes.
     order = W.partitionBy(F.lit(0)).orderBy("_b")
@@ -126,7 +130,7 @@ def sample_scenarios(df: DataFrame, rate: float, seed: int) -> DataFrame:
     # One prefix at most holds the cut.
     rank = F.row_number().over(W.partitionBy("_b").orderBy("_p", "scenario_id"))
     part = keyed.join(cut.where("_before + _n > _keep"), "_b").withColumn("_rank", rank).where("_before + _rank <= _keep").drop(*extra)
-    return whole.unionByName(part)
+    return df.join(whole.unionByName(part), "scenario_id", "left_semi")
 
 
 def in_split(edges: DataFrame, splits: DataFrame, split: str = "train") -> DataFrame:
@@ -218,6 +222,7 @@ def schedule(manifest: DataFrame) -> DataFrame:
                                  "trigger_schedule_id": F.lit(cfg.SCHEDULE_ID)})
 
 
+# Key and column names of allocation tables.
 PAIR_KEYS = ("scenario_id", "src", "dst", "src_track_id", "dst_track_id")
 REPLACED = {
     "allocation_total_feature_energy": "total_feature_energy", "allocation_incident_edge_energy": "incident_edge_energy",
@@ -251,11 +256,12 @@ def check_symmetric(source: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def symmetric_summary(manifest: DataFrame) -> DataFrame:
     r = "fixed_to_source_energy_ratio"
+    middle, p95 = quantiles(manifest, r, [0.5, 0.95])
     return manifest.agg(
         F.count("*").alias("rows"), F.count_if("within_source_pair_feature_budget").alias("within_budget"),
         F.count_if(~F.col("within_source_pair_feature_budget")).alias("outside_budget"),
-        F.avg("allocation_total_feature_energy").alias("energy_mean"), F.median(r).alias("ratio_median"),
-        F.percentile(r, F.lit(0.95)).alias("ratio_p95"), F.max(r).alias("ratio_max"))
+        F.avg("allocation_total_feature_energy").alias("energy_mean"), F.lit(middle).cast("double").alias("ratio_median"),
+        F.lit(p95).cast("double").alias("ratio_p95"), F.max(r).alias("ratio_max"))
 
 
 def resolve_targets(manifest: DataFrame, edges: DataFrame, strict: bool = False, both_ends: bool = False) -> DataFrame:

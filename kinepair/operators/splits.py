@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinepair.config import SPLITS, check_ratios
+from kinepair.functions.order import quantiles
 from kinepair.functions.ranks import running_totals
 from kinepair.functions.scalar import finite, hash_fraction
 from kinepair.functions.skew import matched
@@ -194,7 +195,7 @@ def temporal_overlaps(meta: DataFrame, slices: int | None = None) -> DataFrame:
         ends = meta.select(*keys, F.col("end_timestamp").cast("double").alias("at"), F.lit(0).alias("s"), F.lit(1).alias("e"))
         # Equal times: all starts count before the ends (closed intervals).
         events = starts.unionByName(ends).groupBy(*keys, "at").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
-        run = running_totals(staged(events, "events"), keys, "at", ["s", "e"], slices=slices)
+        run = running_totals(events, keys, "at", ["s", "e"], slices=slices)
         before = F.col("s_total") - F.col("s") - (F.col("e_total") - F.col("e"))
         pairs = F.col("s") * before + (F.col("s") * (F.col("s") - 1) / 2).cast("bigint")
         return run.groupBy(*keys).agg(F.sum(pairs).alias("pairs"))
@@ -206,11 +207,9 @@ def temporal_overlaps(meta: DataFrame, slices: int | None = None) -> DataFrame:
 
 
 def component_sizes(assigned: DataFrame) -> DataFrame:
-    sizes = assigned.groupBy("split_group_id").agg(F.count("*").alias("_n"))
-    return sizes.agg(
-        F.count("*").alias("num_components"), F.percentile("_n", F.lit(0.5)).alias("median"),
-        F.percentile("_n", F.lit(0.95)).alias("p95"), F.percentile("_n", F.lit(0.99)).alias("p99"),
-        F.max("_n").alias("max_size"))
+    sizes = staged(assigned.groupBy("split_group_id").agg(F.count("*").alias("_n")), "component-sizes")
+    middle, p95, p99 = quantiles(sizes, "_n", [0.5, 0.95, 0.99])
+    return sizes.agg(F.count("*").alias("num_components"), *[F.lit(v).cast("double").alias(k) for k, v in (("median", middle), ("p95", p95), ("p99", p99))], F.max("_n").alias("max_size"))
 
 
 def largest_components(assigned: DataFrame, n: int = 10) -> DataFrame:

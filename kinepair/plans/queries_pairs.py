@@ -200,6 +200,21 @@ def r09(spark, d):
     return shown(g, [*PAIR, "risk_base_distance_m", "risk_reaction_time_s"], ["dynamic_margin_min"], ["label_dynamic_risk"])
 
 
+RUNS = [RiskConfig(risk_base_distance_m=b, min_risk_consecutive_frames=n) for b in (3.0, 8.0) for n in (1, 3, 5)]
+
+
+@query("r09b_run_length_grid", f"""select e.scenario_id, e.src a_track_id, e.dst b_track_id, e.base risk_base_distance_m, cast(e.run as bigint) min_risk_consecutive_frames,
+  cast(coalesce(vbest >= e.run and bbest >= e.run, false) as bigint) label_dynamic_risk, {r('case when vbest >= e.run then (case when bbest >= e.run then qual else every end) end')} dynamic_margin_min,
+  cast(case when vbest >= e.run then bbest else 0 end as bigint) violation_run_max
+  from (select * from pair_ids cross join risk_params cross join (select unnest([1, 3, 5]) run) where src < dst) e
+  left join (select scenario_id, src, dst, base, run, max(vlen) vbest, coalesce(max(len) filter (bad), 0) bbest, min(m) every, min(m) filter (bad and len >= run) qual
+    from risk_runs cross join (select unnest([1, 3, 5]) run) group by all) x using (scenario_id, src, dst, base, run)""",
+       {"risk_params": "select * from (values (3.0::double, 1.0::double, 4.0::double), (8.0::double, 1.0::double, 4.0::double)) v(base, reaction, decel)"})
+def r09b(spark, d):
+    g = risk.risk_grid(stages.joined_pairs(spark, d), RUNS)
+    return shown(g, [*PAIR, "risk_base_distance_m"], ["dynamic_margin_min"], ["min_risk_consecutive_frames", "label_dynamic_risk", "violation_run_max"])
+
+
 @query("flagship_risk_by_city", f"""select city, count(*) edges, cast(sum(label_dynamic_risk) as bigint) positive_edges,
   {r('avg(label_dynamic_risk)')} positive_rate from feat join risk using (scenario_id, src_track_id, dst_track_id) group by 1""")
 def flagship(spark, d):
