@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinepair.operators import manifest, metrics
+from kinepair.operators import manifest, metrics, rules
 from kinepair.plans import fixtures
 from kinepair.plans.catalogue import query
 from kinepair.plans.oracle_views import VIEWS
@@ -134,3 +134,64 @@ def e18(spark, d):
         F.struct(F.when(c("city") == "city2", 1.5).otherwise(0.4).alias("threshold")).alias("val_pair_metrics"))
     out = metrics.run_record_violations(rec, metrics.training_protocol_rules(), "scenario_id")
     return out.select("scenario_id", F.array_join("violations", ",").alias("violations"))
+
+
+# One seeded defect per scenario: which of the rules it breaks comes from its name.
+_NUMBERED = "select scenario_id, cast('0x' || substr(md5(scenario_id), 1, 4) as integer) % {n} k from group_meta"
+
+
+def _numbered(spark, d, n):
+    number = F.conv(F.substring(F.md5(F.col("scenario_id").cast("binary")), 1, 4), 16, 10).cast("int") % n
+    return fixtures.group_meta(spark, d).select("scenario_id", number.alias("k"))
+
+
+def _unless(k, good, bad):
+    return F.when(F.col("k") == k, bad).otherwise(good)
+
+
+_E18B = [("config", "epochs", "50", "49"), ("config", "checkpoint_metric", "val_loss", "auc"), ("config", "require_strict_label", "true", "false"), ("config", "evaluate_test", "false", "true"),
+         ("config", "uncapped", None, "7"), ("training_protocol", "objective", "ordinary_binary_cross_entropy_symmetric_pair_labels", "other"), ("training_protocol", "initialization", "random", "loaded"),
+         ("train_stats", "complete", "9", "8"), ("train_stats", "verified", "9", "8"), ("val_stats", "complete", "3", "2"), ("val_stats", "unchanged", "0", "1"),
+         ("val_pair_metrics", "threshold", "between 0 and 1", "1.5")]
+
+
+def _cells(rows):
+    quoted = lambda v: "null" if v is None else "'" + v + "'"
+    return "select * from (values " + ", ".join(f"({k}, {', '.join(map(quoted, r))})" for k, r in enumerate(rows)) + ") v(k, section, rule, expected, found)"
+
+
+@query("e18b_rule_table", "select scenario_id key, section, rule, expected, found from places join cells using (k)",
+       {"places": _NUMBERED.format(n=len(_E18B)), "cells": _cells(_E18B)})
+def e18b(spark, d):
+    none = F.lit(None).cast("int")
+    nine, three = F.lit(9), F.lit(3)
+    rec = _numbered(spark, d, len(_E18B)).select(
+        "scenario_id",
+        F.struct(_unless(0, F.lit(50), F.lit(49)).alias("epochs"), _unless(1, F.lit("val_loss"), F.lit("auc")).alias("checkpoint_metric"), _unless(2, F.lit(True), F.lit(False)).alias("require_strict_label"),
+                 _unless(3, F.lit(False), F.lit(True)).alias("evaluate_test"), none.alias("max_train_graphs"), _unless(4, none, F.lit(7)).alias("max_val_graphs")).alias("config"),
+        F.struct(_unless(5, F.lit("ordinary_binary_cross_entropy_symmetric_pair_labels"), F.lit("other")).alias("objective"), _unless(6, F.lit("random"), F.lit("loaded")).alias("initialization")).alias("training_protocol"),
+        F.struct(_unless(7, nine, F.lit(8)).alias("graphs_considered"), F.when(F.col("k").isin(7, 8), 8).otherwise(9).alias("graph_sha256_verified")).alias("train_stats"),
+        F.struct(_unless(9, three, F.lit(2)).alias("graphs_considered"), _unless(10, F.lit(0), F.lit(1)).alias("poisoned_graphs")).alias("val_stats"),
+        F.struct(nine.alias("train"), three.alias("val")).alias("split_graph_counts"), F.struct(_unless(11, F.lit(0.4), F.lit(1.5)).alias("threshold")).alias("val_pair_metrics"))
+    return rules.broken(rec, rules.TRAINING, "scenario_id")
+
+
+_P09 = [("contract", "formal_split_eligible", "true", "false"), ("contract", "metadata_contract_version", "4", "3"), ("fingerprint", "segment_frames", "3", "2"), ("fingerprint", "stride_frames", "1", "5"),
+        ("fingerprint", "absolute_time_grid", "true", "false"), ("fingerprint", "coverage", "every_consecutive_three_frame_segment", "sampled")]
+
+
+@query("p09_metadata_contract", """select scenario_id key, section, rule, expected, found from places join cells using (k)
+  union all select scenario_id, 'output', 'rows', '1', '2' from places where k = 6 union all select scenario_id, 'output', 'digest', 'table', 'record' from places where k = 7""",
+       {"places": _NUMBERED.format(n=8), "cells": _cells(_P09)})
+def p09(spark, d):
+    meta = fixtures.group_meta(spark, d)
+    facts = rules.with_digest(meta, sorted(c for c in meta.columns if c != "scenario_id"), ["scenario_id"])
+    rec = _numbered(spark, d, 8).join(facts, "scenario_id").select(
+        "scenario_id", "actual_rows", "actual_digest", _unless(0, F.lit(True), F.lit(False)).alias("formal_split_eligible"), _unless(1, F.lit(4), F.lit(3)).alias("metadata_contract_version"),
+        F.struct(_unless(2, F.lit(3), F.lit(2)).alias("segment_frames"), _unless(3, F.lit(1), F.lit(5)).alias("stride_frames"), _unless(4, F.lit(True), F.lit(False)).alias("absolute_time_grid"),
+                 _unless(5, F.lit("every_consecutive_three_frame_segment"), F.lit("sampled")).alias("coverage")).alias("fingerprint_definition"),
+        _unless(6, F.col("actual_rows"), F.col("actual_rows") + 1).alias("recorded_rows"), _unless(7, F.col("actual_digest"), F.reverse("actual_digest")).alias("recorded_digest"))
+    out = rules.broken(rec, rules.METADATA, "scenario_id")
+    digest = F.col("rule") == "digest"
+    return out.withColumns({"expected": F.when(digest, "table").otherwise(F.col("expected")), "found": F.when(digest, "record").otherwise(F.col("found"))})
+

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinepair.config import SUBSETS
-from kinepair.operators import metrics
+from kinepair.operators import metrics, rules
 from kinepair.plans import fixtures
 from kinepair.plans.catalogue import query, r6, shown
 from kinepair.plans.oracle_views import VIEWS, r
@@ -244,3 +244,15 @@ def e17(spark, d):
     runs = target_table(spark, d).withColumn("seed", F.col("src") % 3).groupBy("seed").agg(F.count("*").alias("target_rows")).withColumn(
         "target_sha256", F.sha2(F.col("seed").cast("string"), 256))
     return metrics.common_pool(runs).select("one_pool", "row_counts", "rows")
+
+
+@query("e11c_target_identity", """select scenario_id, cast(src as bigint) src, cast(dst as bigint) dst, cast(a as bigint) in_first, cast(b as bigint) in_second from (
+  select scenario_id, src, dst, 1 a, case when city = 'city1' then 2 else 0 end b from targets where city in ('city1', 'city2')
+  union all select scenario_id, src, dst, 1, 0 from targets where city = 'city3' union all select scenario_id, dst, src, 0, 1 from targets where city = 'city3')""")
+def e11c(spark, d):
+    t = target_table(spark, d).select("scenario_id", "city", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+    swapped = F.col("city") == "city3"
+    # Rows of one city doubled, of another lost, of a third turned round.
+    scores = t.where("city <> 'city2'").withColumn("n", F.explode(F.when(F.col("city") == "city1", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).select(
+        "scenario_id", F.when(swapped, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(swapped, F.col("src")).otherwise(F.col("dst")).alias("dst"))
+    return rules.multiset_difference(t, scores, ["scenario_id", "src", "dst"])
