@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinepair.sources.staging import staged
+
 FRAMES = T.StructType([
     T.StructField("track_id", T.StringType()), T.StructField("object_type", T.StringType()),
     T.StructField("object_category", T.IntegerType()), T.StructField("timestep", T.IntegerType()),
@@ -42,12 +44,44 @@ def list_scenarios(spark: SparkSession, root: str, limit: int | None = None) ->
     return names if limit is None else names.limit(limit)
 
 
-def file_schema(found: T.StructType) -> T.StructType:
-    """Schema for reading files whose numbers may be narrower or wider than FRAMES: whole numbers as 64 bit, others as double."""
-    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    wide = {f.name: T.LongType() if isinstance(f.dataType, whole) else T.DoubleType() if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else f.dataType
-            for f in found.fields}
-    return T.StructType([T.StructField(f.name, wide[f.name]) for f in FRAMES.fields if f.name in wide])
+def schema_groups(spark: SparkSession, files: str) -> list[tuple[T.StructType, list[str]]]:
+    """Files by the schema that reads them. Footers are read by the executors, and only the schemas that differ come to the driver.
+
+    Files of one group differ at most in which columns they have and in the width of their numbers.
+    """
+    listed = spark.read.format("binaryFile").load(files).select("path")
+
+    def footers(batches):
+        import pyarrow as pa
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                where, name = pyarrow.fs.FileSystem.from_uri(path)
+                with where.open_input_file(name) as source:
+                    schema = pq.read_schema(source)
+                kinds = {f.name: "long" if pa.types.is_integer(f.type) else "double" if pa.types.is_floating(f.type) else "boolean" if pa.types.is_boolean(f.type) else "string" for f in schema}
+                rows.append(",".join(f"{c}:{kinds[c]}" for c in FRAMES.names if c in kinds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], names=["path", "kinds"])
+
+    read = staged(listed.mapInArrow(footers, "path string, kinds string"), "footers")
+    types = {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
+    groups: list[tuple[dict, list[str]]] = []
+    for r in read.select("kinds").distinct().orderBy("kinds").collect():
+        kinds = dict(x.split(":") for x in r["kinds"].split(",") if x)
+        for known, members in groups:
+            if all(known.get(c, k) == k for c, k in kinds.items()):
+                known.update(kinds)
+                members.append(r["kinds"])
+                break
+        else:
+            groups.append((dict(kinds), [r["kinds"]]))
+    schema = lambda kinds: T.StructType([T.StructField(c, types[kinds[c]]) for c in FRAMES.names if c in kinds])
+    if len(groups) == 1:
+        return [(schema(groups[0][0]), [files])]
+    return [(schema(kinds), [r["path"] for r in read.where(F.col("kinds").isin(members)).toLocalIterator()]) for kinds, members in groups]
 
 
 def as_frames(df: DataFrame) -> list[F.Column]:
@@ -58,11 +92,15 @@ def as_frames(df: DataFrame) -> list[F.Column]:
 def read_frames(spark: SparkSession, root: str) -> DataFrame:
     """Track frames of all scenario folders, with `scenario_id` and the source file.
 
-    Numbers are cast to the types of FRAMES, so 32- and 64-bit files can be read, also side by side.
+    Numbers are cast to the types of FRAMES, so 32- and 64-bit files can be read, also side by side, and a column that only some
+    files have keeps its values there and is NULL for the others.
     """
     files = f"{root}/*/scenario_*.parquet"
-    df = spark.read.schema(file_schema(spark.read.parquet(files).schema)).parquet(files)
-    return df.select(scenario_folder().alias("scenario_id"), *as_frames(df), F.col("_metadata.file_path").alias("source_file"))
+    parts = []
+    for schema, paths in schema_groups(spark, files):
+        df = spark.read.schema(schema).parquet(*paths)
+        parts.append(df.select(scenario_folder().alias("scenario_id"), *as_frames(df), F.col("_metadata.file_path").alias("source_file")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def check_one_file(frames: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinepair.sources.tables import as_frames, file_schema, scenario_folder
+from kinepair.sources.tables import as_frames, scenario_folder, schema_groups
 
 
 def build_new(spark: SparkSession, root: str, out: str, checkpoint: str, build: Callable[[DataFrame], DataFrame],
@@ -22,7 +22,10 @@ def build_new(spark: SparkSession, root: str, out: str, checkpoint: str, build:
     counted twice.
     """
     files = f"{root}/*/scenario_*.parquet"
-    frames = (spark.readStream.schema(file_schema(spark.read.parquet(files).schema)).option("maxFilesPerTrigger", files_per_batch)
+    groups = schema_groups(spark, files)
+    if len(groups) != 1:
+        raise ValueError("a stream needs files whose columns are of one kind each")
+    frames = (spark.readStream.schema(groups[0][0]).option("maxFilesPerTrigger", files_per_batch)
               .parquet(files))
     frames = frames.select(scenario_folder().alias("scenario_id"), *as_frames(frames))
 
