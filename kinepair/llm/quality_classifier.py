@@ -106,8 +106,11 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Log of the ratio of an indicator's share in class 1 to that in class 0."""
     shares = []
     for y in (1, 0):
-        mine = [r for r, v in zip(rows, labels) if v == y]
-        counts = SMOOTH + np.bincount(np.concatenate(mine), minlength=SIZE)
+        counts = np.full(SIZE, SMOOTH)
+        # Indicators of a row are distinct; rows are added one by one, as all of them together take much memory.
+        for r, v in zip(rows, labels):
+            if v == y:
+                counts[r] += 1
         shares.append(counts / counts.sum())
     return np.log(shares[0] / shares[1])
 
@@ -166,7 +169,10 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         return {"constant": float(y[0]) if len(y) else 0.5}
-    rows = [indicators(t) for t in texts]
+    rows = []
+    while texts:
+        rows.append(indicators(texts.pop()))
+    rows.reverse()
     part = np.arange(len(rows)) % 3 == 0
     if len(set(y[~part])) == 2 and len(set(y[part])) == 2:
         seen, held = np.flatnonzero(~part), np.flatnonzero(part)
