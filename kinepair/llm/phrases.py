@@ -43,7 +43,7 @@ PIECE = 300_000
 #: Bits of bitmaps: fixed for words; for longer phrases by the number of words within these bounds.
 WORD_BITS, FEWEST_BITS, MOST_BITS = 26, 16, 29
 #: Bytes of text and positions worked on together.
-PART, SLICE, CHUNK, PENDING = 1 << 19, 2 << 20, 1 << 17, 1 << 20
+PART, SLICE, CHUNK, PENDING = 1 << 18, 1 << 20, 1 << 16, 1 << 19
 BLOCKS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
