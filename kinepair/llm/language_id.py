@@ -33,6 +33,8 @@ from kinepair.sources.staging import staged
 HELD_OUT, FOLDS = 2, 4
 LONGEST, KEPT, PENALTY = 4, 200_000, -7.0
 UNKNOWN = "und"
+#: Languages whose totals are broadcast: one row each for every level.
+FEW = 10_000
 #: Cells of the table of words by languages that a task holds at a time.
 CELLS = 4_000_000
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -88,7 +90,9 @@ def shares(docs: DataFrame) -> DataFrame:
     entries = staged(entries, "lang-entries")
     totals = entries.groupBy("level", "lang").agg(F.sum("n").alias("total"))
     languages = max(1, totals.select("lang").distinct().count())
-    return entries.join(totals, ["level", "lang"]).where(F.col("n") * F.lit(KEPT // languages) >= F.col("total"))
+    # A language may hold most entries, so its few totals go to all tasks as long as there are few languages.
+    sized = F.broadcast(totals) if languages <= FEW else totals
+    return entries.join(sized, ["level", "lang"]).where(F.col("n") * F.lit(KEPT // languages) >= F.col("total"))
 
 
 class Model:
