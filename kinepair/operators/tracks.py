@@ -2,8 +2,8 @@
 
 Input is the long table of track frames, one row per (scenario, track,
 timestep). The operators gather it once into one row per track with array
-columns (at most 50 observed and 60 future samples). Duplicated timesteps are
-reduced before that, with map-side combine, so no group can outgrow the grid.
+columns (at most 50 observed and 60 future samples). Rows are shuffled and sorted by
+track first; duplicated timesteps are merged in that order, so no array outgrows the grid.
 """
 
 from __future__ import annotations
