@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import pickle
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark import cloudpickle
@@ -38,6 +40,18 @@ class Shipped:
         return pickle.loads(self.data.value)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Within it, jobs hand rows to Python in batches of about `size` bytes instead of by number of rows alone, which long rows make large on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that the table does not have yet, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

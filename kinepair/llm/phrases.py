@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinepair.llm.common import Shipped
+from kinepair.llm.common import Shipped, small_batches
 from kinepair.sources.staging import discard, staged
 
 LEAST, LONGEST, TOP = 10, 3, 2000
@@ -42,8 +42,8 @@ UNKNOWN = "und"
 PIECE = 300_000
 #: Bits of bitmaps: fixed for words; for longer phrases by the number of words within these bounds.
 WORD_BITS, FEWEST_BITS, MOST_BITS = 26, 16, 29
-#: Bytes of text and positions worked on together.
-PART, SLICE, CHUNK, PENDING = 1 << 18, 1 << 20, 1 << 16, 1 << 19
+#: Bytes of text and positions worked on together; codes in a written row, far below what the collector treats as a large object.
+PART, SLICE, CHUNK, PENDING, ROW = 1 << 18, 1 << 20, 1 << 16, 1 << 19, 1 << 12
 BLOCKS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -207,11 +207,11 @@ def _bits(width: int, least: int):
         # Sums are cut at `least` each time, so small counters do.
         kind = np.uint8 if least < 128 else np.int64
         for batch in batches:
-            for block, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = sums.setdefault(block, np.zeros(width, dtype=kind))
+            for block, place, n in zip(batch.column(0).to_pylist(), _views(batch.column(1), np.uint32), _views(batch.column(2), np.int32)):
+                if block not in sums:
+                    sums[block] = np.zeros(width, dtype=kind)
                 # Places of one row are distinct.
-                place = np.frombuffer(at, dtype=np.uint32)
-                mine[place] = np.minimum(mine[place] + np.frombuffer(n, dtype=np.int32), least).astype(kind)
+                sums[block][place] = np.minimum(sums[block][place] + n, least).astype(kind)
         for block, mine in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(mine >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
@@ -260,7 +260,7 @@ def _encoded(seed: int, frequent: Shipped):
                 ends = np.flatnonzero(out == 0)
                 begin = 0
                 while begin < len(out) - 1:
-                    k = int(np.searchsorted(ends, begin + CHUNK))
+                    k = int(np.searchsorted(ends, begin + ROW))
                     stop = int(ends[min(k, len(ends) - 1)])
                     yield pa.RecordBatch.from_arrays([pa.array([out[begin:stop + 1].tobytes()], pa.binary())], names=["codes"])
                     begin = stop
@@ -281,10 +281,23 @@ def windows(codes: np.ndarray, size: int, parts: Bitmap | None) -> tuple[np.ndar
     return at, phrase_key(codes, size)[at]
 
 
+def _views(column: pa.Array, kind: type) -> Iterator[np.ndarray]:
+    """The bytes of each row as numbers, where they lie."""
+    return (np.frombuffer(v.as_buffer(), dtype=kind) for v in column)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows put together to about CHUNK codes; as a row begins and ends with 0, no run reaches into the next."""
+    held, total = [], 0
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            yield np.frombuffer(raw, dtype=np.uint64)
+        for codes in _views(batch.column(0), np.uint64):
+            held.append(codes)
+            total += len(codes)
+            if total >= CHUNK:
+                yield np.concatenate(held)
+                held, total = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def _bucketed(size: int, bits: int, least: int, parts: Shipped | None):
@@ -457,8 +470,10 @@ def _added(trie: Shipped, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, sums = trie.get().phrases, {}
         for batch in batches:
-            for block, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-                sums.setdefault(block, np.zeros(_SUMS, dtype=np.int64))[np.frombuffer(at, dtype=np.uint32)] += np.frombuffer(n, dtype=np.int64)
+            for block, at, n in zip(batch.column(0).to_pylist(), _views(batch.column(1), np.uint32), _views(batch.column(2), np.int64)):
+                if block not in sums:
+                    sums[block] = np.zeros(_SUMS, dtype=np.int64)
+                sums[block][at] += n
         for block, n in sums.items():
             at = np.flatnonzero(n >= least)
             words = phrases[at + block * _SUMS].view(np.int64)
@@ -518,7 +533,8 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: int = COVERED) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first `top` phrases of 2 or 3 words."""
-    words, found = frequent_phrases(docs, least, LONGEST)
+    with small_batches(docs.sparkSession):
+        words, found = frequent_phrases(docs, least, LONGEST)
     empty = docs.sparkSession.createDataFrame([], "w0 long, w1 long, w2 long, n long")
     pairs, triples = found.get(2, empty.drop("w2")), found.get(3, empty)
     frequent = words.where(F.col("n") >= least)

@@ -57,7 +57,7 @@ def test_odd_and_random_rows(spark):
 
 
 def test_small_pieces_give_the_same(spark, monkeypatch):
-    for name, value in (("PIECE", 7), ("PENDING", 50), ("CHUNK", 20), ("SLICE", 300), ("PART", 64), ("WORD_BITS", 12), ("FEWEST_BITS", 11), ("MOST_BITS", 11), ("_SUMS", 4)):
+    for name, value in (("PIECE", 7), ("PENDING", 50), ("CHUNK", 20), ("ROW", 7), ("SLICE", 300), ("PART", 64), ("WORD_BITS", 12), ("FEWEST_BITS", 11), ("MOST_BITS", 11), ("_SUMS", 4)):
         monkeypatch.setattr(phrases, name, value)
     compare(spark.createDataFrame(noise(2, 30), "text string, lang string").repartition(3), least=3)
 
