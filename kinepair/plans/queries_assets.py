@@ -8,7 +8,7 @@ from kinepair.operators import manifest, metrics, rules
 from kinepair.plans import fixtures
 from kinepair.plans.catalogue import query
 from kinepair.plans.oracle_views import VIEWS
-from kinepair.sources import assets, tables
+from kinepair.sources import assets, lineage, tables
 
 
 @query("s02_one_file_rule", """select scenario_id, count(distinct track_id like '%7') files from frames group by 1 having count(distinct track_id like '%7') <> 1""")
@@ -195,3 +195,35 @@ def p09(spark, d):
     digest = F.col("rule") == "digest"
     return out.withColumns({"expected": F.when(digest, "table").otherwise(F.col("expected")), "found": F.when(digest, "record").otherwise(F.col("found"))})
 
+
+
+VIEWS["old_sources"] = """select scenario_id, city || '/' || scenario_id || '/' || f relative_path, cast(length(scenario_id) as bigint) size, sha256(scenario_id || f) sha256,
+  'c1' config, city from group_meta, (values ('scenario_x.parquet'), ('log_map_archive_x.json')) v(f)"""
+VIEWS["new_sources"] = """select scenario_id, relative_path, size, case when city = 'city1' and relative_path like '%.json' then sha256('other') else sha256 end sha256,
+  case when city = 'city2' then 'c2' else config end config, city from old_sources where city <> 'city3' or relative_path not like '%.json'"""
+_TREE = """select scenario_id, sha256(sha256(string_agg(relative_path || chr(9) || size || chr(9) || sha256, chr(10) order by relative_path)) || chr(10) || min(config) || chr(10) || 'k1') source_sha256
+  from old_sources group by 1"""
+
+
+def source_trees(spark, d):
+    """Trees of two builds: in the later one a map of one city differs, another city has a further configuration, a third has lost its maps."""
+    m = fixtures.group_meta(spark, d).select("scenario_id", "city")
+    names = F.explode(F.array(F.lit("scenario_x.parquet"), F.lit("log_map_archive_x.json"))).alias("f")
+    files = m.select("scenario_id", "city", names).select(
+        F.concat_ws("/", F.lit("/r"), "city", "scenario_id", "f").alias("path"), F.length("scenario_id").alias("size"), F.sha2(F.concat("scenario_id", "f"), 256).alias("sha256"), "city")
+    maps = F.col("path").endswith(".json")
+    later = files.where((F.col("city") != "city3") | ~maps).withColumn("sha256", F.when((F.col("city") == "city1") & maps, F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256")))
+    config = F.when(F.split(F.col("leaves")[0]["leaf"], "/")[0] == "city2", "c2").otherwise("c1")
+    return (lineage.source_tree(lineage.source_files(files, "/r"), "c1", "k1"), lineage.source_tree(lineage.source_files(later, "/r"), config, "k1"))
+
+
+@query("g11_source_tree", _TREE)
+def g11_tree(spark, d):
+    return source_trees(spark, d)[0].select("scenario_id", "source_sha256")
+
+
+@query("g11b_changed_leaves", """select scenario_id, o.relative_path leaf, case when n.scenario_id is null then 'missing' else 'changed' end state
+  from old_sources o left join new_sources n using (scenario_id, relative_path) where n.sha256 is distinct from o.sha256
+  union all select distinct scenario_id, 'config', 'changed' from new_sources where config <> 'c1'""")
+def g11_changed(spark, d):
+    return lineage.changed_leaves(*source_trees(spark, d))

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a file held at a time.
+BUFFER = 1 << 20
 LINE = r"^([0-9a-f]{64})  (.+)$"
 
 
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+            system, inner = fs.FileSystem.from_uri(path)
+            digest, held = hashlib.sha256(), bytearray(BUFFER)
+            with system.open_input_stream(inner, buffer_size=0) as stream:
+                while n := stream.readinto(held):
+                    digest.update(memoryview(held)[:n])
+            yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [digest.hexdigest()], "size": pa.array([size], pa.int64())})
+
+
 def file_digests(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, sha256, size) of every matching file; each is read once, by the executors."""
-    return spark.read.format("binaryFile").load(glob).select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("size"))
+    """(path, sha256, size) of every matching file, of any size; the executors read each once, in pieces of a fixed size.
+
+    The scan, which gives sizes only here, passes over empty files; they are added from the list of names that was made for it.
+    """
+    files = spark.read.format("binaryFile").load(glob)
+    bare = F.regexp_replace("path", "^file:/*", "/").alias("path")
+    sized = files.select(bare, "length")
+    # Names come encoded, but with a plain plus sign.
+    names = spark.createDataFrame([(v,) for v in files.inputFiles()], "path string").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path")).select(bare)
+    empty = names.join(sized, "path", "left_anti").select("path", F.sha2(F.lit(b""), 256).alias("sha256"), F.lit(0).cast("long").alias("size"))
+    return sized.mapInArrow(_streamed, "path string, sha256 string, size long").unionByName(empty)
 
 
 def parse_digest_lines(lines: DataFrame, column: str = "value") -> DataFrame:
