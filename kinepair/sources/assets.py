@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -18,7 +19,8 @@ LINE = r"^([0-9a-f]{64})  (.+)$"
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, size in zip(*(c.to_pylist() for c in batch.columns)):
-            system, inner = fs.FileSystem.from_uri(path)
+            # Names with a scheme are read as encoded ones, plain local names as they are.
+            system, inner = fs.FileSystem.from_uri(quote(path, safe="/:@") if "://" in path else path)
             digest, held = hashlib.sha256(), bytearray(BUFFER)
             with system.open_input_stream(inner, buffer_size=0) as stream:
                 while n := stream.readinto(held):
@@ -29,7 +31,7 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def file_digests(spark: SparkSession, glob: str) -> DataFrame:
     """(path, sha256, size) of every matching file, of any size; the executors read each once, in pieces of a fixed size.
 
-    The scan, which gives sizes only here, passes over empty files; they are added from the list of names that was made for it.
+    Remote names are opened by the Arrow file system of their scheme (hdfs, s3, gs, abfs). The scan, which gives sizes only here, passes over empty files; they are added from the list of names that was made for it.
     """
     files = spark.read.format("binaryFile").load(glob)
     bare = F.regexp_replace("path", "^file:/*", "/").alias("path")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
+
 from kinepair.sources import assets, lineage
 
 
@@ -26,6 +28,13 @@ def test_digests_of_empty_odd_and_large_files(spark, tmp_path):
     assert got == {k: (hashlib.sha256(v).hexdigest(), len(v)) for k, v in data.items()}
 
 
+def test_names_with_a_scheme(tmp_path):
+    put(tmp_path, "a b é+%41#?x", b"z")
+    name = f"file://{tmp_path}/a b é+%41#?x"
+    got = [b.to_pylist() for b in assets._streamed(iter([pa.RecordBatch.from_pydict({"path": [name], "size": [1]})]))]
+    assert got == [[{"path": name, "sha256": hashlib.sha256(b"z").hexdigest(), "size": 1}]]
+
+
 def test_one_changed_byte_names_its_leaf(spark, tmp_path):
     for s in ("s1", "s2", "s3"):
         put(tmp_path, f"{s}/scenario_{s}.parquet", s.encode() * 9)
