@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinepair.operators import manifest, metrics, rules
+from kinepair.operators import isolation, manifest, metrics, rules, tracks
 from kinepair.plans import fixtures
 from kinepair.plans.catalogue import query
 from kinepair.plans.oracle_views import VIEWS
@@ -227,3 +227,52 @@ def g11_tree(spark, d):
   union all select distinct scenario_id, 'config', 'changed' from new_sources where config <> 'c1'""")
 def g11_changed(spark, d):
     return lineage.changed_leaves(*source_trees(spark, d))
+
+
+VIEWS["bad_frames"] = """select scenario_id, case when sc % 9 = 5 and k % 12 = 1 then 'other' else city end city,
+  case when sc % 9 = 3 and k % 12 = 3 and timestep % 20 = 7 then null else track_id end track_id, case when sc % 9 = 4 and k % 12 = 5 and timestep % 50 = 9 then timestep + 200 else timestep end timestep,
+  case when sc % 9 = 1 and k % 12 = 0 then null else position_x end position_x, position_y
+  from (select *, k // 12 sc from (select *, cast(substr(track_id, 2) as bigint) k from frames)) where not (sc % 9 = 2 and timestep >= 45)"""
+VIEWS["map_texts"] = """select scenario_id, case when sc % 8 = 6 then left(doc, length(doc) - 1) when sc % 8 = 7 then '{"lane_segments":{}}' else doc end map_json
+  from (select *, '{"lane_segments":{"' || sc || '":{"id":' || sc || '}}}' doc from (select distinct scenario_id, cast(substr(scenario_id, 2) as bigint) sc from frames))"""
+VIEWS["faults"] = """with t as (select scenario_id, track_id, count(*) filter (track_id is null or timestep is null) u, count(*) filter (timestep not between 0 and 109) o,
+    count(*) filter (position_x is not null and position_y is not null) p, max(timestep) l, min(city) lo, max(city) hi from bad_frames group by all),
+  s as (select scenario_id, sum(u) u, sum(o) o, count(*) filter (p = 0 and track_id is not null) n, min(track_id) filter (p = 0) f, max(l) l, min(lo) lo, max(hi) hi from t group by 1)
+  select scenario_id, 'map' stage, 'unreadable_map' reason, length(map_json) || ' characters' detail from map_texts where not json_valid(map_json)
+  union all select scenario_id, 'map', 'map_without_lanes', 'lane_segments' from map_texts where json_valid(map_json) and map_json like '%{}}'
+  union all select scenario_id, 'frames', 'rows_without_key', cast(cast(u as bigint) as varchar) from s where u > 0
+  union all select scenario_id, 'frames', 'steps_off_grid', cast(cast(o as bigint) as varchar) from s where o > 0
+  union all select scenario_id, 'frames', 'track_without_positions', n || ' from ' || f from s where n > 0
+  union all select scenario_id, 'frames', 'short_recording', cast(l as varchar) from s where l < 50
+  union all select scenario_id, 'frames', 'several_cities', lo || ' ' || hi from s where lo <> hi"""
+
+
+def damaged_scenarios(spark, d):
+    """Frames and map documents of which some scenarios cannot be built, each in its own way."""
+    sc, i, t = F.floor(F.col("k") / 12), F.col("k") % 12, F.col("timestep")
+    hit = lambda n, more, value, name: F.when((sc % 9 == n) & more, value).otherwise(F.col(name))
+    frames = fixtures.frames(spark, d).where(~((sc % 9 == 2) & (t >= 45))).withColumns({
+        "city": hit(5, i == 1, F.lit("other"), "city"), "track_id": hit(3, (i == 3) & (t % 20 == 7), F.lit(None), "track_id"),
+        "timestep": hit(4, (i == 5) & (t % 50 == 9), t + 200, "timestep"), "position_x": hit(1, i == 0, F.lit(None), "position_x")})
+    n, doc = F.col("n"), F.concat(F.lit('{"lane_segments":{"'), "n", F.lit('":{"id":'), "n", F.lit("}}}"))
+    named = fixtures.frames(spark, d).select("scenario_id", F.substring("scenario_id", 2, 20).cast("bigint").alias("n")).distinct()
+    maps = named.withColumn("doc", doc).select(
+        "scenario_id", F.when(n % 8 == 6, F.expr("left(doc, length(doc) - 1)")).when(n % 8 == 7, F.lit('{"lane_segments":{}}')).otherwise(F.col("doc")).alias("map_json"))
+    return frames, maps
+
+
+@query("s16_scenario_faults", "select * from faults")
+def s16(spark, d):
+    return isolation.validated(*damaged_scenarios(spark, d))
+
+
+@query("s16b_isolated_build", """select scenario_id, 'error' status, arg_min(reason, (stage = 'frames', reason, detail)) reason, count(*) num_faults, cast(null as bigint) num_nodes from faults group by 1
+  union all select scenario_id, case when count(*) < 2 then 'skipped' else 'built' end, case when count(*) < 2 then 'fewer_than_two_nodes' end, null, count(*)
+  from kept where scenario_id not in (select scenario_id from faults) group by 1""")
+def s16b(spark, d):
+    frames, maps = damaged_scenarios(spark, d)
+    faults = isolation.validated(frames, maps)
+    nodes = tracks.build_nodes(isolation.admitted(frames, faults)).groupBy("scenario_id").agg(F.count("*").alias("num_nodes"))
+    few = F.col("num_nodes") < 2
+    built = nodes.select("scenario_id", F.when(few, "skipped").otherwise("built").alias("status"), F.when(few, "fewer_than_two_nodes").alias("reason"), "num_nodes")
+    return isolation.outcome(built, faults)[0].select("scenario_id", "status", "reason", "num_faults", "num_nodes")

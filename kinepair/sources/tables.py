@@ -44,12 +44,15 @@ def list_scenarios(spark: SparkSession, root: str, limit: int | None = None) ->
     return names if limit is None else names.limit(limit)
 
 
-def schema_groups(spark: SparkSession, files: str) -> list[tuple[T.StructType, list[str]]]:
+def schema_groups(spark: SparkSession, files: str, without: DataFrame | None = None) -> list[tuple[T.StructType, list[str]]]:
     """Files by the schema that reads them. Footers are read by the executors, and only the schemas that differ come to the driver.
 
-    Files of one group differ at most in which columns they have and in the width of their numbers.
+    Files of one group differ at most in which columns they have and in the width of their numbers. Files in the folders of the scenarios `without` are left out.
     """
     listed = spark.read.format("binaryFile").load(files).select("path")
+    if without is not None:
+        named = listed.withColumn("scenario_id", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
+        listed = named.join(without.select("scenario_id").distinct(), "scenario_id", "left_anti").select("path")
 
     def footers(batches):
         import pyarrow as pa
@@ -79,7 +82,7 @@ def schema_groups(spark: SparkSession, files: str) -> list[tuple[T.StructType, l
         else:
             groups.append((dict(kinds), [r["kinds"]]))
     schema = lambda kinds: T.StructType([T.StructField(c, types[kinds[c]]) for c in FRAMES.names if c in kinds])
-    if len(groups) == 1:
+    if len(groups) == 1 and without is None:
         return [(schema(groups[0][0]), [files])]
     return [(schema(kinds), [r["path"] for r in read.where(F.col("kinds").isin(members)).toLocalIterator()]) for kinds, members in groups]
 
@@ -89,17 +92,20 @@ def as_frames(df: DataFrame) -> list[F.Column]:
     return [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FRAMES.fields]
 
 
-def read_frames(spark: SparkSession, root: str) -> DataFrame:
-    """Track frames of all scenario folders, with `scenario_id` and the source file.
+def read_frames(spark: SparkSession, root: str, without: DataFrame | None = None) -> DataFrame:
+    """Track frames of all scenario folders, with `scenario_id` and the source file; files of the scenarios `without` are not opened.
 
     Numbers are cast to the types of FRAMES, so 32- and 64-bit files can be read, also side by side, and a column that only some
     files have keeps its values there and is NULL for the others.
     """
     files = f"{root}/*/scenario_*.parquet"
     parts = []
-    for schema, paths in schema_groups(spark, files):
+    for schema, paths in schema_groups(spark, files, without):
         df = spark.read.schema(schema).parquet(*paths)
         parts.append(df.select(scenario_folder().alias("scenario_id"), *as_frames(df), F.col("_metadata.file_path").alias("source_file")))
+    if not parts:
+        nothing = spark.createDataFrame([], FRAMES)
+        return nothing.select(F.lit("").alias("scenario_id"), "*", F.lit("").alias("source_file"))
     return reduce(DataFrame.unionByName, parts)
 
 
