@@ -3,7 +3,7 @@
 Word counts are taken over all training documents. The most frequent words are symbols of
 their own; every other word belongs to one of BUCKETS rare symbols by its last three bytes and, within it, has the
 share of its count (plus a half, and one such half for all words never seen), so every word of a text gets its probability. The
-network (see `gru`) models the symbols. The training documents are read once into symbols, which are written. The network is learned in SLICES rounds; in each, one slice
+network (see `gru`) models the symbols. All documents are read once into symbols, which are written; training and scoring read these. The network is learned in SLICES rounds; in each, one slice
 of these documents, all of which are in a slice, is dealt to tasks of about TASK_TOKENS, every task trains from the same weights and the same sums of squared
 gradients, and both are averaged by the symbols seen. Rates fall from round to round, so no single slice decides. What is learned from thus grows with the input, and no task or driver holds more than its share.
 
@@ -197,20 +197,47 @@ def _coded(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np
     return joined.lower(), starts, ends, code, np.searchsorted(bounds, starts, side="right")
 
 
-def _symbols(lexicon: Shipped):
-    """Training documents as 16-bit symbols."""
+#: Folders of the coded table besides those of the slices: documents that are not learned from, and words to be looked up.
+APART, TAIL = -1, -2
+_CODED = "slot int, key long, symbols binary, row long, doc_id long, n_tokens long, n_known long, base double, rare double, word binary, times long"
+_NAMES = [x.split()[0] for x in _CODED.split(", ")]
+_KINDS = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
+
+
+def _read_task(lexicon: Shipped):
+    """Documents as 16-bit symbols with what is known of them, and apart from them their words that the lexicon lacks."""
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _KINDS)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lexicon.get()
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            texts = _texts(batch, 2)
+            slots, keys, ids = (batch.column(k).to_pylist() for k in range(3))
+            texts = _texts(batch, 3)
             for at in range(0, len(texts), RUN):
-                found = words.read(texts[at:at + RUN])[0]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, RUN), batch.column(1).slice(at, RUN), pa.array([x.astype(np.uint16).tobytes() for x in found], pa.binary())], names=["slot", "key", "symbols"])
+                found, facts, unknown = words.read(texts[at:at + RUN])
+                end = at + len(found)
+                yield rows(len(found), slot=slots[at:end], key=keys[at:end], symbols=[x.astype(np.uint16).tobytes() for x in found], row=row + np.arange(at, end), doc_id=ids[at:end], **facts)
+                owner, tail, times = unknown or (None, [], None)
+                if tail:
+                    yield rows(len(tail), slot=np.full(len(tail), TAIL), row=row + at + owner, word=tail, times=times)
+            row += len(texts)
 
     return run
 
 
+def coded_table(docs: DataFrame, lexicon: Shipped) -> tuple[DataFrame, list[int]]:
+    """The corpus as symbols, in a folder for each slice of the training documents and for APART and TAIL, and the bytes of each slice. Texts are read for this once."""
+    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(SLICES)).cast("int")
+    rows = docs.select(F.when(fold() != HELD_OUT, slot).otherwise(APART).alias("slot"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "text")
+    read = rows.mapInArrow(_read_task(lexicon), _CODED)
+    sizes = [F.sum(F.when(F.col("slot") == k, F.octet_length("symbols"))).alias(f"s{k}") for k in range(SLICES)]
+    coded, found = staged_with(read, "lm-symbols", *sizes, by="slot")
+    return coded, [found[f"s{k}"] or 0 for k in range(SLICES)]
+
+
 def _train_task(params: Shipped, rate: float):
     """Trains weights and step cache on the task's documents."""
 
@@ -244,19 +271,22 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, lexicon: Shipped, frequency: np.ndarray) -> gru.Params:
+    """Weights learned from the training documents of `docs` alone."""
+    coded, sizes = coded_table(docs.where(fold() != HELD_OUT), lexicon)
+    params = learn_coded(coded, sizes, frequency)
+    discard(coded)
+    return params
+
+
+def learn_coded(coded: DataFrame, sizes: list[int], frequency: np.ndarray) -> gru.Params:
     """Weights after all rounds; the driver holds one set of weights and one of the sums that scale the steps."""
     params = gru.initial(frequency, CLASSES, HIDDEN)
     both = {**{f"p.{k}": v for k, v in params.items()}, **{f"c.{k}": v for k, v in gru.fresh_cache(params).items()}}
-    key = F.xxhash64("doc_id", "text")
-    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(SLICES)).cast("int")
-    rows = docs.where(fold() != HELD_OUT).select(slot.alias("slot"), key.alias("key"), "text")
-    read = rows.mapInArrow(_symbols(lexicon), "slot int, key long, symbols binary").select("slot", "key", "symbols", F.octet_length("symbols").alias("size"))
-    coded, found = staged_with(read, "lm-symbols", *[F.sum(F.when(F.col("slot") == k, F.col("size"))).alias(f"s{k}") for k in range(SLICES)], by="slot")
     for k in range(SLICES):
-        if not found[f"s{k}"]:
+        if not sizes[k]:
             continue
-        tasks = math.ceil(found[f"s{k}"] / 2 / TASK_TOKENS)
-        ship = Shipped(docs.sparkSession, both)
+        tasks = math.ceil(sizes[k] / 2 / TASK_TOKENS)
+        ship = Shipped(coded.sparkSession, both)
         # A slice is a folder of its own, so its documents are read together without a shuffle.
         dealt = coded.where(F.col("slot") == k).select("key", "symbols").coalesce(tasks).sortWithinPartitions("key", "symbols").select("symbols")
         tried = dealt.mapInArrow(_train_task(ship, RATE / (1 + k / SLOWING)), "part string, seen double, data binary")
@@ -265,36 +295,20 @@ def learn(docs: DataFrame, lexicon: Shipped, frequency: np.ndarray) -> gru.Param
             v = np.frombuffer(r["data"], dtype=np.float32)
             both[name].reshape(-1)[int(at):int(at) + len(v)] = v
         ship.data.destroy()
-    discard(coded)
     return {k[2:]: v for k, v in both.items() if k.startswith("p.")}
 
 
-_PARTS = "row long, doc_id long, word binary, times long, n_tokens long, n_known long, base double, score double"
+_SCORES = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
 
 
-def _score_task(lexicon: Shipped, params: Shipped):
+def _score_task(params: Shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = lexicon.get(), params.get()
-        row = TaskContext.get().partitionId() << 36
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        names = [x.split()[0] for x in _PARTS.split(", ")]
+        weights = params.get()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), _texts(batch, 1)
-            symbols, kept = [], []
-            # Runs of rows keep the words in memory few; the network runs over the symbols of the whole batch, so that its lanes are full.
-            for at in range(0, len(ids), RUN):
-                found, facts, (owner, tail, times) = words.read(texts[at:at + RUN])
-                symbols += [x.astype(np.uint16) for x in found]
-                kept.append(facts)
-                if tail:
-                    mine = pa.nulls(len(tail), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(row + at + owner), mine, pa.array(tail, pa.binary()), pa.array(times), mine, mine, *[pa.nulls(len(tail), pa.float64())] * 2], names=names)
-            facts = {k: np.concatenate([f[k] for f in kept]) for k in kept[0]} if kept else {}
+            symbols = [np.frombuffer(x, dtype=np.uint16) for x in batch.column(6).to_pylist()]
             if symbols:
-                found = gru.score(weights, symbols) / math.log(10) + facts["rare"]
-                columns = (row + np.arange(len(ids)), ids, [None] * len(ids), [None] * len(ids), facts["n_tokens"], facts["n_known"], facts["base"], found)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-            row += len(ids)
+                found = gru.score(weights, symbols) / math.log(10) + batch.column(5).to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found)], names=[x.split()[0] for x in _SCORES.split(", ")])
 
     return run
 
@@ -305,14 +319,17 @@ def score(docs: DataFrame, counts: DataFrame | None = None, trained: gru.Params
     made = Lexicon(counts)
     total, words = made.total, made.words
     lexicon = Shipped(docs.sparkSession, made)
-    params = Shipped(docs.sparkSession, learn(docs, lexicon, made.frequency) if trained is None else trained)
-    parts = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score_task(lexicon, params), _PARTS), "scores")
+    coded, sizes = coded_table(docs, lexicon)
+    lexicon.data.destroy()
+    params = Shipped(docs.sparkSession, learn_coded(coded, sizes, made.frequency) if trained is None else trained)
+    whole = coded.where(F.col("slot") >= APART).select("row", "doc_id", "n_tokens", "n_known", "base", "rare", "symbols")
+    scores = staged(whole.mapInArrow(_score_task(params), _SCORES), "scores")
     # A word outside the head is at most 1 / HEAD-th of the training tokens, so no key of this join is hot but one unseen in training.
-    tail = parts.where("word is not null").select("row", "word", "times")
+    tail = coded.where(F.col("slot") == TAIL).select("row", "word", "times")
     looked = tail.join(counts.select("word", "n"), "word", "left")
     log = F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)
     more = looked.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_more"), F.sum(log).alias("log_more"))
-    rows = parts.where("word is null").drop("word", "times").join(more, "row", "left").withColumn("log_more", F.coalesce("log_more", F.lit(0.0)))
+    rows = scores.join(more, "row", "left").withColumn("log_more", F.coalesce("log_more", F.lit(0.0)))
     scale = math.log10(total + 0.5 * (words + 1))
     return rows.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known_more", F.lit(0))).alias("n_known"),
                        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("log_more") - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
