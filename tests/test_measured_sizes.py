@@ -1,5 +1,6 @@
-"""What is sent to all tasks is decided by sizes that only show after rows are exploded."""
+"""Sizes that only show after rows are exploded: what is sent to all tasks, and how many tasks make the rows of a view."""
 
+from kinepair.plans import fixtures
 from kinepair.sources.staging import tune
 from pyspark.sql import functions as F
 
@@ -20,3 +21,13 @@ def test_exploded_side_is_not_sent(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_views_are_made_by_more_tasks_as_they_grow(spark, sf_dir, monkeypatch):
+    def tasks(df):
+        return df.rdd.getNumPartitions()
+
+    views = [fixtures.frames, fixtures.lane_points, fixtures.av_frames, fixtures.edge_scores]
+    assert [v.__name__ for v in views if tasks(v(spark, sf_dir)) < 8] == []
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 100)
+    assert [v.__name__ for v in views if tasks(v(spark, sf_dir)) <= 8] == []
