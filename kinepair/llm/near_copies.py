@@ -5,8 +5,10 @@ are posted and no pair is lost. Rare shingles come first in the order: how commo
 counters by hash; a wrong guess there costs time and no result. Size and place of the shared shingle rule out most
 pairs, and the rest is decided on the sets themselves.
 
-In PIVOTS rounds, members of a posting are compared with one of them alone. Only pairs that this leaves in different
-components are formed after that, so a large group of copies is hardly paired within itself.
+Candidates come from SimHash first: a set's fingerprint is the bit majority of its shingle hashes, and sets whose fingerprints differ in at
+most two bits, found through the grid of `simhash`, are compared on the sets. Most copies are linked by that. Similar sets may have
+fingerprints farther apart, and a prefix filter finds those. In PIVOTS rounds, members of a posting are compared with one of them alone. Only pairs
+that this leaves in different components are formed after that, so a large group of copies is hardly paired within itself.
 
 Defined results: null and wordless texts have the empty set and are copies of each other; a text shorter than WIDTH words is one shingle;
 words are told apart by 64-bit hashes after lower-casing A-Z. Of a component, the document with the smallest id stays, a null id
@@ -27,14 +29,16 @@ from pyspark.sql import functions as F
 
 from kinepair.llm.common import Shipped, free_names, one_of_each, order_of, text_digest
 from kinepair.llm.components import components
+from kinepair.llm.simhash import links as close_fingerprints
+from kinepair.llm.simhash import majority
 from kinepair.sources.staging import staged
 
 WIDTH = 5
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
 SLOTS = 1 << 16
-#: Rounds of comparing with one member; their number does not touch the result.
-PIVOTS = 2
+#: Rounds of comparing with one member, after that of the fingerprints; their number does not touch the result.
+PIVOTS = 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -101,8 +105,9 @@ def _posted(counts: Shipped):
             firsts = [prefix(s, common).view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, firsts)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *firsts]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(set_key, sets), pa.binary()), pa.array(list(map(len, sets)), pa.int64()), flat],
-                                             names=["doc_id", "digest", "set", "size", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(set_key, sets), pa.binary()), pa.array(list(map(len, sets)), pa.int64()), flat,
+                                              pa.array(np.array(list(map(majority, sets)), dtype=np.uint64).view(np.int64), pa.int64())],
+                                             names=["doc_id", "digest", "set", "size", "first", "fp"])
 
     return run
 
@@ -144,6 +149,15 @@ def _led(known: DataFrame) -> DataFrame:
     return staged(once.join(back.withColumnRenamed("m", "m2"), "a").select(F.col("a").alias("set"), F.least("m", "m2").alias("root")), "near-led")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) sets with equal or close fingerprints; of each fingerprint (set, fp) the least set stands for it."""
+    each = staged(sets.groupBy("fp").agg(F.min("set").alias("least"), F.count(F.lit(1)).alias("n")), "near-fingerprints")
+    same = sets.join(each.where("n > 1").select("fp", "least"), "fp").where("set != least").select(F.col("set").alias("a"), F.col("least").alias("b"))
+    ends = [each.select(F.col("fp").alias(f), F.col("least").alias(s)) for f, s in (("a", "x"), ("b", "y"))]
+    close = close_fingerprints(each.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionByName(close)
+
+
 def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) keys of similar sets, a < b: enough of them to connect whatever is connected by similar pairs."""
     sets = rows.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.first("first").alias("first"))
@@ -158,20 +172,24 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
         return staged(_verify(pairs, texts.join(wanted, "set", "left_semi").dropDuplicates(["set"])), "near-sure")
 
     known = tried = None
-    for k in range(PIVOTS + 1):
+    for k in range(PIVOTS + 2):
         p, q = now.alias("p"), now.alias("q")
         apart = (F.col("p.root") != F.col("q.root")) & _possible("p", "q")
-        if k < PIVOTS:
+        if k == 0:
+            pairs = fingerprint_pairs(rows.where("size > 0").select("set", "fp").distinct())
+        elif k <= PIVOTS:
             pivot = now.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("set", F.lit(k)).alias("turn"), "set", "size", "place", "root")).alias("q")).select("shingle", "q.*")
             pairs = p.join(pivot.alias("q"), (F.col("p.shingle") == F.col("q.shingle")) & apart)
         else:
             # Whatever is still apart and shares a posting is compared pair by pair.
             pairs = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.set") < F.col("q.set")) & apart)
-        pairs = pairs.select(F.col("p.set").alias("a"), F.col("q.set").alias("b")).select(*ordered).distinct()
+        if k > 0:
+            pairs = pairs.select(F.col("p.set").alias("a"), F.col("q.set").alias("b"))
+        pairs = pairs.select(*ordered).distinct()
         pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         sure = verified(pairs)
         known, tried = (sure, pairs) if tried is None else (known.unionByName(sure), tried.unionByName(pairs))
-        if k < PIVOTS:
+        if k <= PIVOTS:
             roots = _led(known)
             rooted = now.drop("root").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
             mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("shingle")
@@ -183,7 +201,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document (id and text): doc_id, digest, set, root, kept."""
     counts = Shipped(docs.sparkSession, shingle_counts(docs))
     rows = staged(docs.select(F.col("doc_id").cast("long"), "text", text_digest().alias("digest"))
-                  .mapInArrow(_posted(counts), "doc_id long, digest string, set binary, size long, first array<long>"), "near-rows")
+                  .mapInArrow(_posted(counts), "doc_id long, digest string, set binary, size long, first array<long>, fp long"), "near-rows")
     counts.data.destroy()
     each = rows.groupBy("doc_id", "digest").agg(F.first("set").alias("set"))
     roots = components(links(rows, docs))

@@ -51,10 +51,14 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> list[int]:
 
 def fingerprint(text: bytes) -> int:
     """A bit is 1 if set in over half of the shingle hashes."""
-    hashes = shingle_hashes(text)
-    if not hashes:
+    return majority(np.array(shingle_hashes(text), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the 64-bit hashes."""
+    if not len(hashes):
         return 0
-    octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    octets = hashes.view(np.uint8).reshape(-1, 8)
     bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
     counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ bits for k in range(8)])
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])

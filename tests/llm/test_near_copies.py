@@ -73,3 +73,27 @@ def test_fingerprint_survivors_by_row(spark):
     rows = [(1, text), (None, text + " "), (7, text + "  "), (7, "clean of seven in its own words"), (None, "one clean text without an id"), (None, "quite another clean text, no id")]
     got = Counter((r["doc_id"], r["text"]) for r in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == Counter([rows[0], *rows[3:]])
+
+
+def test_fingerprints_link_copies_first(spark):
+    # Copies with one word changed, whose fingerprints differ by two bits at most, beside another text.
+    base = " ".join(f"w{i}" for i in range(40000))
+    texts = [base, *[changed(base, [k]) for k in (5, 9000, 25000)], " ".join(f"c{i}" for i in range(40000))]
+    found = [near_copies.shingles(t.encode()) for t in texts]
+    prints = [simhash.majority(s) for s in found]
+    want = {tuple(sorted((near_copies.set_key(found[a]), near_copies.set_key(found[b])))) for a, b in itertools.combinations(range(5), 2) if bin(prints[a] ^ prints[b]).count("1") <= 2}
+    assert len(want) > 2
+    rows = [(near_copies.set_key(s), p - (1 << 64) if p >> 63 else p) for s, p in zip(found, prints)]
+    pairs = near_copies.fingerprint_pairs(spark.createDataFrame(rows, "set binary, fp long"))
+    parent = {bytes(r[0]): bytes(r[0]) for r in rows}
+
+    def root(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    for r in pairs.collect():
+        a, b = sorted((bytes(r["a"]), bytes(r["b"])))
+        assert (a, b) in want
+        parent[root(b)] = root(a)
+    assert all(root(a) == root(b) for a, b in want)
