@@ -61,8 +61,8 @@ def gather_tracks(frames: DataFrame) -> DataFrame:
     future = F.when(s.isNotNull() & ~F.col("observed"), F.struct(t, s["x"].alias("x"), s["y"].alias("y")))
     optional = [F.min(c).alias(c) for c in ("object_category", "city") if c in frames.columns]
     return distinct.groupBy(*TRACK_KEY).agg(
-        F.array_sort(F.collect_list(observed)).alias("obs"),
-        F.array_sort(F.collect_list(future)).alias("fut"),
+        F.sort_array(F.collect_list(observed)).alias("obs"),
+        F.sort_array(F.collect_list(future)).alias("fut"),
         F.min("object_type").alias("object_type"),
         (F.max("focal") == 1).alias("is_focal"),
         F.sum(F.greatest(F.col("num_samples") - 1, F.lit(0))).cast("bigint").alias("num_duplicate_frames"),

@@ -113,3 +113,9 @@ def test_numbering_is_dense_in_order(spark):
     got = [r.track_id for r in n.where("scenario_id = 's'").orderBy("node_id").collect()]
     assert got == sorted(i for s, i in ids if s == "s")
     assert n.where("scenario_id = 's'").agg(F.min("node_id"), F.max("node_id")).first() == (0, 36)
+
+
+def test_series_are_sorted_natively(spark):
+    # `array_sort` calls a lambda for each comparison.
+    plan = tracks.track_quality(tracks.prepare_tracks(frames(spark, track("a", lambda t: t))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
