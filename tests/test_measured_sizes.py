@@ -31,3 +31,28 @@ def test_views_are_made_by_more_tasks_as_they_grow(spark, sf_dir, monkeypatch):
     assert [v.__name__ for v in views if tasks(v(spark, sf_dir)) < 8] == []
     monkeypatch.setattr(fixtures, "TASK_ROWS", 100)
     assert [v.__name__ for v in views if tasks(v(spark, sf_dir)) <= 8] == []
+
+
+def tuned(spark, run):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+             "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        tune(spark)
+        return run()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_side_that_grows_with_the_input_is_not_sent(spark):
+    # About a megabyte when shuffled: a side of this kind came to the driver for each of the joins of a selection.
+    def run():
+        side = spark.range(200_000).selectExpr("concat('s', id) k").groupBy("k").agg(F.count("*").alias("n"))
+        found = spark.range(400_000).selectExpr("concat('s', id % 200000) k", "id").join(side, "k")
+        assert found.count() == 400_000
+        found.collect()
+        return found._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastExchange" not in tuned(spark, run)
