@@ -31,12 +31,14 @@ from kinepair.llm.common import Shipped, free_names, one_of_each, order_of, text
 from kinepair.llm.components import components
 from kinepair.llm.simhash import links as close_fingerprints
 from kinepair.llm.simhash import majority
-from kinepair.sources.staging import staged
+from kinepair.sources.staging import discard, staged
 
 WIDTH = 5
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
 SLOTS = 1 << 16
+#: Bits of the map of texts that a round compares; a collision there costs time and no result.
+MARKS = 1 << 23
 #: Rounds of comparing with one member, after that of the fingerprints; their number does not touch the result.
 PIVOTS = 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -112,10 +114,41 @@ def _posted(counts: Shipped):
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(MARKS, dtype=bool)
     for batch in batches:
-        texts = batch.column(0).cast(pa.binary()).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([set_key(shingles(t)) for t in texts], pa.binary()), pa.array(texts, pa.binary())], names=["set", "text"])
+        bits[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(MARKS)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(MARKS // 8, dtype=np.uint8)
+    for batch in batches:
+        for b in batch.column(0).to_pylist():
+            bits |= np.frombuffer(b, dtype=np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+
+def marks(hashes: DataFrame) -> np.ndarray:
+    """Bitmap of a column of hashes; a megabyte from each of a few tasks comes to the driver, one after the other."""
+    bits = np.zeros(MARKS // 8, dtype=np.uint8)
+    for r in hashes.mapInArrow(_marked, "bits binary").repartition(4).mapInArrow(_joined, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits
+
+
+def _keyed(wanted: Shipped):
+    """(set, text) of the texts whose hash is marked: all that are wanted, and a few more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.get()
+        for batch in batches:
+            place = (batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(MARKS)).astype(np.int64)
+            taken = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+            texts = batch.column(0).filter(pa.array(taken.astype(bool))).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(shingles(t)) for t in texts], pa.binary()), pa.array(texts, pa.binary())], names=["set", "text"])
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +197,18 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     posts = staged(sets.select("set", "size", F.posexplode("first").alias("place", "shingle")), "near-posts")
     several = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
     now = staged(posts.join(several, "shingle", "left_semi").withColumn("root", F.col("set")), "near-open")
-    texts = docs.select("text").mapInArrow(_keyed, "set binary, text binary")
+    hashed = F.xxhash64("digest")
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
     def verified(pairs):
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        return staged(_verify(pairs, texts.join(wanted, "set", "left_semi").dropDuplicates(["set"])), "near-sure")
+        # Texts are read again in each round, but only those of the pairs are shingled and sent.
+        wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "near-wanted")
+        bits = Shipped(docs.sparkSession, marks(rows.join(wanted, "set", "left_semi").select(hashed)))
+        texts = docs.select("text", F.xxhash64(text_digest())).mapInArrow(_keyed(bits), "set binary, text binary")
+        sure = staged(_verify(pairs, texts.join(wanted, "set", "left_semi").dropDuplicates(["set"])), "near-sure")
+        bits.data.destroy()
+        discard(wanted)
+        return sure
 
     known = tried = None
     for k in range(PIVOTS + 2):

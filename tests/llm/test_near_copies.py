@@ -97,3 +97,29 @@ def test_fingerprints_link_copies_first(spark):
         assert (a, b) in want
         parent[root(b)] = root(a)
     assert all(root(a) == root(b) for a, b in want)
+
+
+def test_only_texts_of_pairs_are_shingled_again(spark, monkeypatch):
+    # One pair among many texts of their own: a round once sent every text to its pairs.
+    base = " ".join(f"w{i}" for i in range(60))
+    made = [(0, base), (1, changed(base, [30]))] + [(10 + d, " ".join(f"d{d}w{i}" for i in range(30))) for d in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    seen = []
+    whole = near_copies._verify
+
+    def counted(pairs, texts):
+        seen.append(texts.count())
+        return whole(pairs, texts)
+
+    monkeypatch.setattr(near_copies, "_verify", counted)
+    keyed = near_copies._keyed
+    sent = []
+
+    def kept(wanted):
+        run = keyed(wanted)
+        sent.append(docs.select("text", F.xxhash64(F.md5(F.col("text").cast("binary")))).mapInArrow(run, "set binary, text binary").count())
+        return run
+
+    monkeypatch.setattr(near_copies, "_keyed", kept)
+    assert near_copies.survivors(docs).count() == 301
+    assert max(seen) == 2 and max(sent) < 20
