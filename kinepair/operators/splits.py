@@ -37,7 +37,9 @@ def recorder_tokens(frames: DataFrame, segment: int = 3, stride: int = 1, quantu
     if segment < 2 or stride < 1:
         raise ValueError("a segment has two frames or more and the stride is positive")
     c = F.col
-    single = frames.where(c("track_id") == "AV").groupBy("scenario_id", "city", "timestep").agg(
+    # One shuffle by recording: it serves this grouping and the windows, and the pieces are small enough to sort.
+    taken = frames.where(c("track_id") == "AV").select("scenario_id", "city", "timestep", "position_x", "position_y", "start_timestamp")
+    single = taken.repartition("scenario_id", "city").groupBy("scenario_id", "city", "timestep").agg(
         F.count("*").alias("_n"), F.min("position_x").cast("double").alias("x"),
         F.min("position_y").cast("double").alias("y"), F.min("start_timestamp").alias("start")).where("_n = 1")
     usable = F.coalesce(finite(c("x")) & finite(c("y")) & finite(c("start").cast("double")), F.lit(False))

@@ -35,7 +35,7 @@ def test_views_are_made_by_more_tasks_as_they_grow(spark, sf_dir, monkeypatch):
 
 def tuned(spark, run):
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
-             "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions")
+             "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
     before = {k: spark.conf.get(k, None) for k in names}
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
@@ -56,3 +56,12 @@ def test_side_that_grows_with_the_input_is_not_sent(spark):
         return found._jdf.queryExecution().executedPlan().toString()
 
     assert "BroadcastExchange" not in tuned(spark, run)
+
+
+def test_tasks_stay_small_whatever_the_shuffle_partitions(spark):
+    # Some fifty megabytes when shuffled; four tasks before.
+    def run():
+        rows = spark.range(800_000).selectExpr("sha2(cast(id as string), 256) k").groupBy("k").count()
+        return rows.rdd.getNumPartitions()
+
+    assert tuned(spark, run) > 5
