@@ -132,20 +132,25 @@ def residual_weights() -> dict[str, list[float]]:
     return weights
 
 
-def pair_frames(pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per pair and grid step, latest step first.
+def pair_frames(pairs: DataFrame, keep: tuple[str, ...] = (), first: int = 0) -> DataFrame:
+    """One row per pair and grid step from `first` on, latest step first.
 
     Columns: step `t` 0..109, relative position and velocity (`rx, ry, rvx,
     rvy`), distance `d` where both sides are valid, closing speed `c` for
     observed steps. Steps run backwards so that an arg-min over them keeps the
-    earliest of equal values.
+    earliest of equal values. Without observed steps the paths are not needed, and the velocities are null.
     """
     ids = [c for c in ("scenario_id", "city", "variant", "a_track_id", "b_track_id") if c in pairs.columns]
     t = F.col("t")
-    pick = pairs.select(*ids, *keep, "a_path", "b_path", "a_future", "b_future",
-                        F.explode(F.sequence(F.lit(GRID_LEN - 1), F.lit(0), F.lit(-1))).alias("t"))
-    p, q = F.get(F.col("a_path"), t), F.get(F.col("b_path"), t)
+    paths = ["a_path", "b_path"] if first < OBS_LEN else []
+    pick = pairs.select(*ids, *keep, *paths, "a_future", "b_future",
+                        F.explode(F.sequence(F.lit(GRID_LEN - 1), F.lit(first), F.lit(-1))).alias("t"))
     f, g = F.get(F.col("a_future"), t - OBS_LEN), F.get(F.col("b_future"), t - OBS_LEN)
+    if not paths:
+        nothing = F.lit(None).cast("double")
+        step = pick.withColumns({"rx": g["x"] - f["x"], "ry": g["y"] - f["y"], "rvx": nothing, "rvy": nothing})
+        return step.withColumn("d", norm2(F.col("rx"), F.col("ry"))).withColumn("c", nothing)
+    p, q = F.get(F.col("a_path"), t), F.get(F.col("b_path"), t)
     seen = (t < OBS_LEN) & p["ok"] & q["ok"]
     step = pick.withColumns({
         "rx": F.when(seen, q["x"] - p["x"]).when(t >= OBS_LEN, g["x"] - f["x"]),
@@ -376,7 +381,7 @@ def summarise_pairs(pairs: DataFrame, cfg: BuildConfig = BuildConfig(), risk: Ri
 
     scalars = [c for c in pairs.columns if c[:2] in ("a_", "b_") and c[2:] in (*NODE_SCALARS[1:], *LANE_SCALARS, "node_id")]
     masks = ["a_ok_mask", "b_ok_mask"] if "history" in parts else []
-    steps = pair_frames(pairs, keep=(*scalars, *masks))
+    steps = pair_frames(pairs, keep=(*scalars, *masks), first=0 if {"history", "residual"} & set(parts) else OBS_LEN)
     aggregates = []
     if "history" in parts:
         aggregates += history_aggregates()

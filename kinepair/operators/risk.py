@@ -144,7 +144,7 @@ def risk_grid(pairs: DataFrame, configs: list[RiskConfig]) -> DataFrame:
     grid = pairs.withColumn("_p", F.explode(params)).select("*", "_p.*").drop("_p")
     ids = [c for c in ("scenario_id", "city", "variant", "a_track_id", "b_track_id") if c in pairs.columns]
     single = replace(configs[0], min_risk_consecutive_frames=1)
-    steps = risk_steps(pair_frames(grid, keep=(*PARAMETERS, "_sets")), single)
+    steps = risk_steps(pair_frames(grid, keep=(*PARAMETERS, "_sets"), first=OBS_LEN), single)
     m, step = F.col("margin"), F.col("t") - OBS_LEN
     bit = F.expr(f"shiftleft(1L, t - {OBS_LEN})")
     row = F.struct(m.alias("margin"), step.alias("step"), F.col("closing").alias("closing"), F.col("limit").alias("limit"))

@@ -80,7 +80,11 @@ def _unwrapped(obs: Column) -> Column:
             p["h"].alias("prev"), shift.alias("shift"),
             F.concat(acc["out"], F.array(p["h"] + shift)).alias("out")))
 
-    return F.aggregate(obs, start, step, lambda acc: acc["out"])
+    # Most tracks never turn past pi; only the others carry a shift from sample to sample, in an array that is copied at each.
+    turns = F.exists(F.zip_with(F.slice(obs, F.lit(2), F.greatest(F.size(obs) - 1, F.lit(0))), F.slice(obs, F.lit(1), F.greatest(F.size(obs) - 1, F.lit(0))),
+                                lambda b, a: unwrap_correction(b["h"] - a["h"])), lambda v: v != 0)
+    return F.when(F.coalesce(turns, F.lit(True)), F.aggregate(obs, start, step, lambda acc: acc["out"])).otherwise(
+        F.transform(obs, lambda p: p["h"] + F.lit(0.0)))
 
 
 def unwrap_headings(tracks: DataFrame) -> DataFrame:
@@ -217,11 +221,13 @@ def build_nodes(frames: DataFrame, cfg: BuildConfig = BuildConfig(), keep_all: b
     """
     tracks = track_quality(prepare_tracks(frames), cfg)
     if not keep_all:
-        tracks = keep_good(tracks)
+        # Exploded rows stop the filter, which would otherwise measure all tracks before the series are made, and the kept ones again after.
+        tracks = keep_good(tracks.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*"))
     nodes = _dense_future(motion_summary(fill_gaps(tracks)))
-    last = F.element_at("path", OBS_LEN)
+    last, seen = F.element_at("path", OBS_LEN), F.try_element_at("obs", F.lit(-1))
     return nodes.withColumns({
-        "cur_x": last["x"], "cur_y": last["y"], "cur_vx": last["vx"], "cur_vy": last["vy"],
+        # The end of the path is the last sample seen; so these need no path.
+        **{f"cur_{k}": F.coalesce(seen[k], F.lit(0.0)) for k in ("x", "y", "vx", "vy")},
         "cur_h": last["h"], "cur_ok": last["ok"],
         "ok_mask": F.aggregate("obs", F.lit(0).cast("bigint"), 
                                lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), p["t"]))),

@@ -225,8 +225,9 @@ def risk_by_city(spark, d):
     """Frames to pairs to dynamic risk, per city."""
     from kinepair.operators import tracks
 
-    # The nodes feed both sides of the join, so they are written once.
-    n = staged(tracks.build_nodes(fixtures.frames(tune(spark), d)), "nodes")
+    # The nodes feed both sides of the join, so they are written once, with what the labels need.
+    built = tracks.build_nodes(fixtures.frames(tune(spark), d))
+    n = staged(built.select("scenario_id", "city", "track_id", "cur_x", "cur_y", "future"), "nodes")
     e = pairs.directed_edges(risk.dynamic_risk(pairs.join_pairs(n)))
     return e.groupBy("city").agg(F.count("*").alias("edges"), F.sum("label_dynamic_risk").alias("positive_edges"),
                                  r6(F.avg("label_dynamic_risk")).alias("positive_rate"))
