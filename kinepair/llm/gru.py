@@ -37,14 +37,6 @@ def initial(counts: np.ndarray, classes: int, hidden: int, seed: int = 5) -> Par
     return {k: v.astype(np.float32) for k, v in params.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; exp is the fastest of numpy's curves. Overflow to infinity gives 0, as it should."""
-    with np.errstate(over="ignore"):
-        np.exp(np.negative(x, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 def windows(docs: list[np.ndarray], lanes: int, length: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
     """(first, symbols, rows): `length` steps of up to `lanes` documents that run side by side, padded with -1.
 
@@ -72,30 +64,40 @@ def run(p: Params, inputs: np.ndarray, state: np.ndarray, back: bool = False, ke
     steps, hidden = len(inputs), state.shape[1]
     states = np.empty((steps + 1, *state.shape), dtype=p["U"].dtype)
     states[0], kept = state, []
-    for t in range(steps):
-        fixed = np.take(p["E"], inputs[t], axis=0)
-        was = states[t] if keep is None else states[t] * keep[t][:, None]
-        moved = was @ p["U"]
-        gate = _sigmoid(fixed[:, :2 * hidden] + moved[:, :2 * hidden])
-        r, z, m = gate[:, :hidden], gate[:, hidden:], moved[:, 2 * hidden:]
-        n = r * m
-        n += fixed[:, 2 * hidden:]
-        # tanh(x) = 2 * sigmoid(2x) - 1.
-        n *= 2
-        n = _sigmoid(n)
-        n *= 2
-        n -= 1
-        new = np.subtract(was, n, out=states[t + 1])
-        new *= z
-        new += n
-        if back:
-            kept.append((r, z, n, m, was))
+    # The curves are made of exp(-x) and exp(-2x); signs and factors go into the weights once, which is exact.
+    turn = np.repeat(np.array([-1, -1, -2], dtype=p["U"].dtype), hidden)
+    table, product = p["E"] * turn, p["U"] * turn
+    # Overflow to infinity gives 0, as it should.
+    fixed, moved, gates = (np.empty((len(state), k * hidden), dtype=states.dtype) for k in (3, 3, 2))
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            # Rows are known to exist; `clip` spares a copy.
+            np.take(table, inputs[t], axis=0, out=fixed, mode="clip")
+            was = states[t] if keep is None else states[t] * keep[t][:, None]
+            np.matmul(was, product, out=moved)
+            gate = np.add(fixed[:, :2 * hidden], moved[:, :2 * hidden], out=None if back else gates)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            r, z, m = gate[:, :hidden], gate[:, hidden:], moved[:, 2 * hidden:]
+            n = r * m
+            n += fixed[:, 2 * hidden:]
+            # tanh(x) = 2 / (1 + exp(-2x)) - 1.
+            np.exp(n, out=n)
+            n += 1
+            np.divide(2, n, out=n)
+            n -= 1
+            new = np.subtract(was, n, out=states[t + 1])
+            new *= z
+            new += n
+            if back:
+                kept.append((r, z, n, m * p["U"].dtype.type(-0.5), was))
     return states, kept
 
 
-def _softmax(x: np.ndarray, chosen: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of the chosen column of each row, and all probabilities if asked for."""
-    if x.max() > 60 or x.min() < -60:
+def _softmax(x: np.ndarray, chosen: np.ndarray, whole: bool, large: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of the chosen column of each row, and all probabilities if asked for. Only where values may be `large` they are looked at."""
+    if large and (x.max() > 60 or x.min() < -60):
         x -= x.max(1, keepdims=True)
     picked = x[np.arange(len(x)), chosen]
     np.exp(x, out=x)
@@ -110,9 +112,12 @@ def output(p: Params, h: np.ndarray, symbols: np.ndarray, grads: Params | None =
     size, back = p["w"].shape[1], None
     # By class, so that each class is one product.
     order = np.argsort(symbols.astype(np.int16) if p["w"].size < 1 << 15 else symbols, kind="stable")
-    h, symbols = h[order], symbols[order]
+    h, symbols = np.take(h, order, axis=0), symbols[order]
+    # No value exceeds the largest state times the sum of a column.
+    reach = float(np.abs(h).max(initial=0))
+    large = max(float((np.abs(p[w]).sum(-2) * reach + np.abs(p[b])).max()) for w, b in (("C", "c"), ("W", "w"))) > 60
     cls, within = symbols // size, symbols % size
-    found, d = _softmax(h @ p["C"] + p["c"], cls, grads is not None)
+    found, d = _softmax(h @ p["C"] + p["c"], cls, grads is not None, large)
     if grads is not None:
         d[np.arange(len(h)), cls] -= 1
         grads["C"] += h.T @ d
@@ -121,16 +126,18 @@ def output(p: Params, h: np.ndarray, symbols: np.ndarray, grads: Params | None =
     ends = np.searchsorted(cls, np.arange(len(p["c"]) + 1))
     for k in np.flatnonzero(np.diff(ends)):
         mine = slice(ends[k], ends[k + 1])
-        got, d = _softmax(h[mine] @ p["W"][k] + p["w"][k], within[mine], grads is not None)
+        got, d = _softmax(h[mine] @ p["W"][k] + p["w"][k], within[mine], grads is not None, large)
         found[mine] += got
         if grads is not None:
             d[np.arange(len(d)), within[mine]] -= 1
             grads["W"][k] += h[mine].T @ d
             grads["w"][k] += d.sum(0)
             back[mine] += d @ p["W"][k].T
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return found[place], back[place] if back is not None else None
+    placed = [np.empty_like(x) if x is not None else None for x in (found, back)]
+    for out, x in zip(placed, (found, back)):
+        if x is not None:
+            out[order] = x
+    return placed[0], placed[1]
 
 
 def _inputs(block: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -146,10 +153,10 @@ def score(p: Params, docs: list[np.ndarray], lanes: int = 1024, length: int = 32
         if first:
             state, before = np.zeros((live, p["U"].shape[0]), dtype=np.float32), np.full(live, -1)
         states, _ = run(p, _inputs(block, before[:live]), state[:live])
-        step, lane = np.nonzero(block >= 0)
+        at = np.flatnonzero(block.ravel() >= 0)
         # The state after reading the symbols before a step predicts the step.
-        found, _ = output(p, states[step + 1, lane], block[step, lane])
-        total[rows] += np.bincount(lane, weights=found, minlength=live)
+        found, _ = output(p, np.take(states[1:].reshape(-1, states.shape[2]), at, axis=0), block.ravel()[at])
+        total[rows] += np.bincount(at % live, weights=found, minlength=live)
         state, before = states[-1], block[-1]
     return total
 
