@@ -6,11 +6,13 @@ again before the next. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinepair.llm import exact_dedup, mixing, near_copies, quality_classifier, sentence_pieces
-from kinepair.sources.staging import staged
+from kinepair.sources.staging import release, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
-STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mixing", mix), ("sentence_pieces", encode)]
+def begun(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, begun without what the one before left on the driver."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [("quality_classifier", begun(quality)), ("exact_dedup", begun(exact)), ("simhash_near_dedup", begun(near)), ("mixing", begun(mix)),
+          ("sentence_pieces", begun(encode))]
 
 #: Fitted models and encoding are beyond SQL; the tests compare each stage with brute force.
 ORACLE_SQL = None
