@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinepair.sources.staging import discard, staged_with
+from kinepair.sources.staging import discard, measured_joins, staged_with
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds go on until a round changes nothing; each is written to the shared folder, so lost executors cost one round, and
     measured while it is written.
     """
+    measured_joins(edges.sparkSession)
     sign = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sign"))
     first = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, found = staged_with(first, "links", *sign)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from kinepair.llm.common import order_of, skew_lookup, text_digest
 from kinepair.llm.components import components
-from kinepair.sources.staging import staged
+from kinepair.sources.staging import measured_joins, staged
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS = 4
@@ -98,6 +98,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """One row per row: doc_id, digest, fp, least (the first document of its component, by id, null last, and digest)."""
+    # The grid has 27 rows a fingerprint, and by the planner's estimate the bytes of one: a side that it takes for small fills the driver.
+    measured_joins(docs.sparkSession)
     rows = staged(fingerprints(docs), "fingerprints")
     each = staged(rows.groupBy("fp").agg(F.min(order_of("digest")).alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(each.select("fp")))

@@ -19,6 +19,13 @@ READ_BYTES = "16m"
 PIECES = 1000
 
 
+def measured_joins(spark: SparkSession) -> SparkSession:
+    """Lets a side of a join be sent to all tasks by its measured size only; see `tune`."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", MEASURED_BROADCAST)
+    return spark
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Keeps generated methods small enough for the JIT; wide pair aggregates depend on it.
 
@@ -28,8 +35,7 @@ def tune(spark: SparkSession) -> SparkSession:
     and a task sorts them uncompressed. Shuffles are dealt into many pieces, as only those can be divided among tasks later.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", MEASURED_BROADCAST)
+    measured_joins(spark)
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
     spark.conf.set("spark.sql.files.maxPartitionBytes", READ_BYTES)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(PIECES, int(spark.conf.get("spark.sql.shuffle.partitions")))))
