@@ -7,13 +7,13 @@ phrases of 2 words, 3 words and so on, what may be frequent is narrowed by what
 * every part one word shorter must be frequent (Apriori), looked up in a bitmap of hashed phrases;
 * the occurrences of all phrases with the same hash, counted together, must reach the least count.
 
-Bitmaps have a fixed size. They may let through too much, and never too little. The phrases that pass both are the candidates. They are cut into tries of at
-most PIECE candidates, each a double array over the digits of the words' numbers, which is broadcast; every task moves the states of all its positions
-on, digit by digit, counts the accepting states by `bincount`, and the sparse counts of the tasks are summed by blocks of candidates. Candidates that
+Bitmaps have a fixed size. They may let through too much, and never too little. The phrases that pass both are the candidates. Every task counts its own
+while it finds them and hands them on in BLOCKS blocks by their hash. The candidates of a block are cut into tries of about PIECE, each a double array over the
+digits of the words' numbers; the states of all that was handed on are moved on, digit by digit, and accepting states add up the tasks' counts by `bincount`. Candidates that
 reach the least count are the phrases; counts are exact.
 
-Texts are coded once, into a written table of runs of frequent words, which all later passes read. The number of passes is two a phrase length and one a trie; what is
-broadcast is bounded by PIECE and the bitmap's size, whatever the corpus. Nothing is grouped by language before the final table of phrases.
+Texts are coded once, into a written table of runs of frequent words, which all later passes read. The number of passes is two a phrase length, however many
+candidates there are; what is broadcast is bounded by the bitmap's size, whatever the corpus. Nothing is grouped by language before the final table of phrases.
 
 Defined results: a null or empty text has no words; a null lang is `und`; rows are counted as often as they occur; ties of scores are ordered by count, then
 by the phrase's bytes; languages without phrases give no rows; an empty table gives an empty result; further columns are ignored.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinepair.llm.common import Shipped, small_batches
-from kinepair.sources.staging import discard, staged
+from kinepair.sources.staging import discard, staged, staged_with
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if a longer one that holds it has this percentage of its count.
@@ -321,39 +321,44 @@ def _bucketed(size: int, bits: int, least: int, parts: Shipped | None):
 
 
 def _candidates(size: int, parts: Shipped | None, counted: Shipped):
-    names = [f"w{k}" for k in range(size)]
+    """Each task's own candidates with their occurrences there, in one row for each of BLOCKS parts of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shorter, enough, held, total = parts and parts.get(), counted.get(), [], 0
 
         def flush():
-            key, *words = (np.concatenate(x) for x in zip(*held))
+            key, *words, n = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(key, kind="stable")
-            key, words = key[order], [w[order] for w in words]
+            key, words, n = key[order], [w[order] for w in words], n[order]
             # Equal phrases have equal keys; if two phrases share a key, both are passed on.
             new = np.ones(len(key), dtype=bool)
             new[1:] = key[1:] != key[:-1]
             for w in words:
                 new[1:] |= w[1:] != w[:-1]
-            return [key[new], *(w[new] for w in words)]
+            return [key[new], *(w[new] for w in words), np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n]
 
         def out(columns):
-            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)) for w in columns[1:]], names=names)
+            key, *words, n = columns
+            block, words = (key >> np.uint64(56)).astype(np.int64), np.stack(words, axis=1)
+            cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            rows = [(int(block[a]), words[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cut, cut[1:]) if b > a]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["block", "words", "n"])
 
         for codes in _chunks(batches):
             at, key = windows(codes, size, shorter)
             ok = enough.holds(key)
             at = at[ok]
-            held.append([key[ok], *(codes[at + k] for k in range(size))])
+            held.append([key[ok], *(codes[at + k] for k in range(size)), np.ones(len(at), dtype=np.int64)])
             total += len(at)
             if total >= PENDING:
                 held = [flush()]
                 total = len(held[0][0])
                 if total >= PENDING // 2:
-                    yield out(held[0])
+                    yield from out(held[0])
                     held, total = [], 0
         if total:
-            yield out(flush())
+            yield from out(flush())
 
     return run
 
@@ -387,8 +392,8 @@ class DoubleArray:
         self.check[slots[1:]] = slots[np.concatenate(parent)]
         self.leaf[slots[node]] = np.arange(len(rows))
 
-    def count(self, codes: np.ndarray) -> np.ndarray:
-        """Occurrences of each phrase, in the order of `phrases`."""
+    def count(self, codes: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+        """Occurrences of each phrase, in the order of `phrases`; with `times`, those at a position count that often."""
         size = self.phrases.shape[1]
         ids = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
         known = self.alphabet[ids] == codes
@@ -403,7 +408,8 @@ class DoubleArray:
                 to = self.base[state] + (ids[at + k] >> (8 * d) & 255)
                 on = self.check[to] == state
                 at, state = at[on], to[on].astype(np.int64)
-        return np.bincount(self.leaf[state], minlength=len(self.phrases))
+        # Sums of weights are doubles, exact up to 2 ** 53.
+        return np.bincount(self.leaf[state], None if times is None else times[at], len(self.phrases)).astype(np.int64)
 
 
 def _place(parent: np.ndarray, digit: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -450,34 +456,39 @@ def _place(parent: np.ndarray, digit: np.ndarray, count: int) -> tuple[np.ndarra
     return base, slots, size
 
 
-#: Candidates whose counts are added in one block.
+#: Phrases handed on together.
 _SUMS = 8192
 
 
-def _accepted(trie: Shipped):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = trie.get()
-        total = np.zeros(len(mine.phrases), dtype=np.int64)
-        for codes in _chunks(batches):
-            total += mine.count(codes)
-        at = np.flatnonzero(total)
-        yield from _sparse(at, total[at], _SUMS)
-
-    return run
-
+def _accepted(size: int, least: int, piece: int):
+    """Phrases of each block that reach `least`: its candidates are cut into tries of about `piece`, and accepting states add up the tasks' occurrences."""
 
-def _added(trie: Shipped, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, sums = trie.get().phrases, {}
+        held: dict[int, list] = {}
         for batch in batches:
-            for block, at, n in zip(batch.column(0).to_pylist(), _views(batch.column(1), np.uint32), _views(batch.column(2), np.int64)):
-                if block not in sums:
-                    sums[block] = np.zeros(_SUMS, dtype=np.int64)
-                sums[block][at] += n
-        for block, n in sums.items():
-            at = np.flatnonzero(n >= least)
-            words = phrases[at + block * _SUMS].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(words[:, k]) for k in range(words.shape[1])), pa.array(n[at])], names=[*(f"w{k}" for k in range(words.shape[1])), "n"])
+            for block, words, n in zip(batch.column(0).to_pylist(), _views(batch.column(1), np.uint64), _views(batch.column(2), np.int64)):
+                held.setdefault(block, []).append((words.reshape(-1, size), n))
+        while held:
+            words, n = (np.concatenate(x) for x in zip(*held.popitem()[1]))
+            key = words[:, 0]
+            for k in range(1, size):
+                key = mixed(key * np.uint64(_BASE) + words[:, k])
+            lots = -(-len(words) // piece)
+            lot = key % np.uint64(lots)
+            for k in range(lots):
+                mine = np.flatnonzero(lot == k)
+                if not len(mine):
+                    continue
+                trie = DoubleArray(np.unique(words[mine], axis=0))
+                # A 0 between the phrases, so none begins in one and ends in the next.
+                runs, times = np.zeros((len(mine), size + 1), dtype=np.uint64), np.zeros((len(mine), size + 1), dtype=np.int64)
+                runs[:, :size], times[:, 0] = words[mine], n[mine]
+                total = trie.count(runs.ravel(), times.ravel())
+                at = np.flatnonzero(total >= least)
+                for a in range(0, len(at), _SUMS):
+                    some = at[a:a + _SUMS]
+                    found = trie.phrases[some].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(found[:, j]) for j in range(size)), pa.array(total[some])], names=[*(f"w{j}" for j in range(size)), "n"])
 
     return run
 
@@ -497,25 +508,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         names = [f"w{k}" for k in range(size)]
         counted = Shipped(spark, _bitmap(codes.mapInArrow(_bucketed(size, bits, least, parts), _SPARSE), bits, least))
         schema = ", ".join(f"{w} long" for w in names)
-        found = staged(codes.mapInArrow(_candidates(size, parts, counted), schema).distinct(), "phrase-candidates")
+        found = codes.mapInArrow(_candidates(size, parts, counted), "block int, words binary, n binary").repartition("block")
+        whole, made = staged_with(found.mapInArrow(_accepted(size, least, PIECE), f"{schema}, n long"), f"phrases-{size}", F.count(F.lit(1)).alias("n"))
         counted.data.destroy()
-        pieces = -(-found.count() // PIECE)
-        # Pieces by hash come out a little uneven.
-        pieces += pieces > 1
-        whole = None
-        for k in range(pieces):
-            piece = found.where(F.pmod(F.xxhash64(*names), F.lit(pieces)) == k).toArrow()
-            if not piece.num_rows:
-                continue
-            trie = Shipped(spark, DoubleArray(np.stack([piece.column(w).to_numpy().view(np.uint64) for w in names], axis=1)))
-            sums = codes.mapInArrow(_accepted(trie), _SPARSE).repartition("block").mapInArrow(_added(trie, least), f"{schema}, n long")
-            mine = staged(sums, f"phrases-{size}")
-            whole = mine if whole is None else whole.unionByName(mine)
-            trie.data.destroy()
-        discard(found)
         if parts is not None:
             parts.data.destroy()
-        if whole is None:
+        if not made["n"]:
             break
         out[size] = whole
         if size < longest:
